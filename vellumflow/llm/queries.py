@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellumflow.llm import canonical, visual
+from vellumflow.llm import canonical, langid, visual
 from vellumflow.session import table
 
 
@@ -18,5 +19,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual.not_plain(mentions, "mention_id", ["text", "wikidata_label"]).select("mention_id", "field")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.where("wrong").select("doc_id", F.explode("held").alias("lang"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p8_found)}
 SQL: dict[str, str] = {}
