@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumflow.llm import canonical, langid, visual
+from vellumflow.llm import canonical, langid, leaks, visual
 from vellumflow.session import table
 
 
@@ -19,10 +19,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual.not_plain(mentions, "mention_id", ["text", "wikidata_label"]).select("mention_id", "field")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select("doc_id", "item_id").distinct()
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.where("wrong").select("doc_id", F.explode("held").alias("lang"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p6_found, p8_found)}
 SQL: dict[str, str] = {}
