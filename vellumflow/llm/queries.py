@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumflow.llm import canonical, langid, leaks, visual
+from vellumflow.llm import canonical, langid, leaks, scans, visual
 from vellumflow.session import table
 
 
@@ -19,6 +19,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual.not_plain(mentions, "mention_id", ["text", "wikidata_label"]).select("mention_id", "field")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.noise(table(spark, sf_dir, "page_scans")).distinct()
+
+
+def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.paragraphs(table(spark, sf_dir, "page_scans"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return found.select("doc_id", "item_id").distinct()
@@ -29,5 +37,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("wrong").select("doc_id", F.explode("held").alias("lang"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p6_found, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_paragraphs, p6_found, p8_found)}
 SQL: dict[str, str] = {}
