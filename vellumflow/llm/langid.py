@@ -31,6 +31,8 @@ MAX_WORDS, MAX_GRAMS = 20_000, 30_000
 LONGEST = 5
 #: A sentence with fewer words takes the language of its neighbours.
 LEAST_WORDS = 5
+#: Independent words that a passage counts as at most, for its confidence.
+EVIDENCE = 4.0
 
 # Names and codes of the languages.
 NAMES = {
@@ -237,11 +239,13 @@ def passages_of(texts: list[str | None], scorer: Scorer, least: int = LEAST_WORD
                 merged[-1][1] = e
                 merged[-1][3] = merged[-1][3] + s
                 merged[-1][4] += n >= least
+                merged[-1][5] += n
             else:
-                merged.append([a, e, b, s, int(n >= least)])
+                merged.append([a, e, b, s, int(n >= least), n])
         rows = []
-        for a, e, b, s, k in merged:
-            p = np.exp(s - s.max())
+        for a, e, b, s, k, n in merged:
+            # Words of a passage aren't independent; their mean counts as so many words.
+            p = np.exp((s - s.max()) * min(1.0, EVIDENCE / max(n, 1)))
             rows.append((a, e, languages[b], float(p[b] / p.sum()), k))
         out.append(rows)
     return out

@@ -1,11 +1,11 @@
-"""Queries of the training-data problems on text (2, 4, 5, 6, 8)."""
+"""Queries of the training-data problems on text (2, 4, 5, 6, 7, 8)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumflow.llm import canonical, langid, leaks, scans, visual
+from vellumflow.llm import canonical, langid, leaks, mixture, scans, visual
 from vellumflow.session import table
 
 
@@ -32,10 +32,23 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
+def p7_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.selection(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", "declared", "found", F.col("confidence").alias("doc_confidence"), F.inline_outer("passages")).drop("n_sentences")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.where("wrong").select("doc_id", F.explode("held").alias("lang"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_paragraphs, p6_found, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_paragraphs, p6_found, p7_selected, p7_shares, p8_found, p8_passages)}
 SQL: dict[str, str] = {}
