@@ -121,6 +121,10 @@ def _classes() -> tuple[re.Pattern, dict[str, str], str]:
     return re.compile(f"[^{members}]?[{members}]+", re.S), folds, members
 
 
+# Letters of the scripts that have look-alikes of Latin letters.
+_OTHER = re.compile(r"[\u0370-\u03ff\u0400-\u052f\u0530-\u058f]")
+
+
 def _script(ch: str) -> str:
     return unicodedata.name(ch, "?").split()[0]
 
@@ -153,16 +157,8 @@ def _words_fixed(text: str) -> str:
 def plain(text: str) -> str:
     """The plain form of a text."""
     pattern, folds, _ = _classes()
-    alike = False
-
-    def segment(m: re.Match) -> str:
-        nonlocal alike
-        folded = "".join(folds.get(c, c) for c in m[0])
-        alike = alike or any(_look_alike(c) for c in folded)
-        return unicodedata.normalize("NFC", folded)
-
-    spliced = pattern.sub(segment, text)
-    return _words_fixed(spliced) if alike else spliced
+    spliced = pattern.sub(lambda m: unicodedata.normalize("NFC", "".join(folds.get(c, c) for c in m[0])), text)
+    return _words_fixed(spliced) if _OTHER.search(spliced) else spliced
 
 
 #: What no value in plain form needs to be looked at for: ASCII and the composed letters of Latin-1 and Latin Extended-A.
