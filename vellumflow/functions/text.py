@@ -66,21 +66,6 @@ def page_sort(page: Column, compat: str = "tuple") -> Column:
     ).otherwise(F.struct(F.lit(2).alias("kind"), F.lit(0).alias("n")))
 
 
-def tokens(text: Column) -> Column:
-    """array<struct<token, start, end>> of the non-space runs, offsets in code points."""
-    runs = F.regexp_extract_all(text, F.lit(r"(\s+|\S+)"), F.lit(1))
-    start = F.aggregate(
-        runs,
-        F.struct(F.array().cast("array<struct<token:string,start:int,end:int>>").alias("out"), F.lit(0).alias("at")),
-        lambda acc, r: F.struct(
-            F.concat(acc["out"], F.array(F.struct(r.alias("token"), acc["at"].alias("start"), (acc["at"] + F.length(r)).alias("end")))).alias("out"),
-            (acc["at"] + F.length(r)).alias("at"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.filter(start, lambda t: F.trim(t["token"]) != "")
-
-
 def context(text: Column, start: Column, end: Column, window: int | None = None) -> Column:
     """Text around a span (the whole text without a window), line breaks as spaces."""
     if window is None:

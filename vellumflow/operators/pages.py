@@ -6,9 +6,13 @@ Bounds are half-open: a page ends where the next one starts, the last has no end
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_RUN = re.compile(r"[^ \t\n\x0b\f\r]+")
 MARKER = r"\[\d+\]"
 ANY_MARKER = r"\[[IVXLCDM\d]+\]"
 
@@ -123,3 +127,17 @@ def remapped(spans: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
         return df.join(c, on).withColumn(out, F.col("out_start") + offset).drop(*[f"_vf_{k}" for k in keys], "_vf_prev", "raw_start", "raw_end", "content_start", "content_end", "out_start")
 
     return place(place(spans, "start", "new_start"), "end", "new_end").where("new_end > new_start")
+
+
+def tokenized(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, id (place of the token), token, start, end of the non-space runs of a text, offsets in code points.
+
+    One linear pass over each text inside its batch, so neither tokens nor texts are
+    shuffled. Null and empty texts give no row.
+    """
+
+    @F.pandas_udf("array<struct<id:int,token:string,start:long,end:long>>")
+    def runs(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"id": k, "token": m[0], "start": m.start(), "end": m.end()} for k, m in enumerate(_RUN.finditer(t or ""))])
+
+    return df.select(F.col(key), F.inline(runs(F.col(text))))

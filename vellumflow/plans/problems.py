@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vellumflow.operators import drift, nested
+from vellumflow.plans.reference import POINTS_SQL
 from vellumflow.session import table
 
 
@@ -31,4 +32,4 @@ def p3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_table, p3_found, p3_regions, p3_lines)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p3_found": POINTS_SQL}

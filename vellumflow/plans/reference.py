@@ -1,0 +1,622 @@
+"""Queries of the text-annotation operators over the given tables, with the SQL they are checked against."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vellumflow.functions import ids
+from vellumflow.functions import text as tx
+from vellumflow.operators import editions, geometry, graph, linking, metrics, nested, pages, runs, spans
+from vellumflow.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+# Spans: capitalised words and numbers of the documents as gold, a shifted and thinned copy as predictions.
+
+_TOKENS = r"""
+runs as (select doc_id, unnest(regexp_extract_all(text, '[^ \t\n\f\r]+|[ \t\n\f\r]+')) as run, generate_subscripts(regexp_extract_all(text, '[^ \t\n\f\r]+|[ \t\n\f\r]+'), 1) as k from documents),
+placed as (select doc_id, run as token, coalesce(sum(length(run)) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0)::bigint as start from runs),
+tokens as (select doc_id, token, start, start + length(token) as "end", row_number() over (partition by doc_id order by start) - 1 as id from placed where not regexp_matches(token, '^[ \t\n\f\r]')),
+gold as (select doc_id * 100000 + id as id, doc_id, case when regexp_matches(token, '^[0-9]') then 'E52_Time_Span' else 'E53_Place' end as label, start, "end" from tokens where regexp_matches(token, '^[A-Z0-9]')),
+pred as (select doc_id * 100000 + id as id, doc_id, case when regexp_matches(token, '^[0-9]') and not regexp_matches(token, ',$') then 'E52_Time_Span' else 'E53_Place' end as label, start + 1 as start, "end" + 1 as "end" from tokens where regexp_matches(token, '^[A-Z0-9]') and length(token) % 5 <> 0),
+"""
+_PAIRS = _TOKENS + """
+pairs as (select g.id, p.id as r_id, g.start, g."end", p.start as r_start, p."end" as r_end from gold g join pred p on g.doc_id = p.doc_id and g.label = p.label and g.start < p."end" and p.start < g."end")
+"""
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    return pages.tokenized(table(spark, d, "documents"), "doc_id")
+
+
+def _gold(spark: SparkSession, d: str) -> DataFrame:
+    t = _tokens(spark, d).where(F.col("token").rlike("^[A-Z0-9]"))
+    return t.select((F.col("doc_id") * 100000 + F.col("id")).alias("id"), "doc_id", F.when(F.col("token").rlike("^[0-9]"), "E52_Time_Span").otherwise("E53_Place").alias("label"), "start", "end")
+
+
+def _pred(spark: SparkSession, d: str) -> DataFrame:
+    t = _tokens(spark, d).where(F.col("token").rlike("^[A-Z0-9]") & (F.length("token") % 5 != 0))
+    number = F.col("token").rlike("^[0-9]") & ~F.col("token").endswith(",")
+    return t.select((F.col("doc_id") * 100000 + F.col("id")).alias("id"), "doc_id", F.when(number, "E52_Time_Span").otherwise("E53_Place").alias("label"), (F.col("start") + 1).alias("start"), (F.col("end") + 1).alias("end"))
+
+
+_PRF = """
+case when tp + fp + fn = 0 then {e} when tp + fp > 0 then tp / (tp + fp)::double else 0.0 end as p,
+case when tp + fp + fn = 0 then {e} when tp + fn > 0 then tp / (tp + fn)::double else 0.0 end as r
+"""
+
+
+def _scored(counts: str, keys: str, empty: str = "1.0", digits: int = 9) -> str:
+    head = f"{keys}, " if keys else ""
+    return f"select {head}tp, fp, fn, round(p, {digits}) as p, round(r, {digits}) as r, round(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end, {digits}) as f1 from (select *, {_PRF.format(e=empty)} from ({counts}))"
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def _prf(df: DataFrame, *keys: str) -> DataFrame:
+    return _rounded(df.select(*keys, *[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")], "p", "r", "f1"), "p", "r", "f1")
+
+
+@query(
+    "with " + _PAIRS + ", c as (select label, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn from (select label, case when id in (select id from pairs) then 1 else 0 end as tp, 0 as fp, case when id in (select id from pairs) then 0 else 1 end as fn from gold union all select label, 0, case when id in (select r_id from pairs) then 0 else 1 end, 0 from pred) group by label) "
+    + _scored("select * from c", "label")
+)
+def ner_relaxed_by_label(spark, d):
+    return _prf(metrics.relaxed(_gold(spark, d), _pred(spark, d), ["doc_id", "label"], ["label"]), "label")
+
+
+@query(
+    "with " + _TOKENS + 'g as (select distinct doc_id, label, start, "end" from gold), p as (select distinct doc_id, label, start - 1 as start, "end" - 1 as "end" from pred), c as (select coalesce(g.label, p.label) as label, count(*) filter (g.label is not null and p.label is not null) as tp, count(*) filter (g.label is null) as fp, count(*) filter (p.label is null) as fn from g full join p on g.doc_id = p.doc_id and g.label = p.label and g.start = p.start and g."end" = p."end" group by 1) '
+    + _scored("select * from c", "label")
+)
+def ner_strict_by_label(spark, d):
+    pred = _pred(spark, d).withColumns({"start": F.col("start") - 1, "end": F.col("end") - 1})
+    return _prf(metrics.strict(_gold(spark, d), pred, ["doc_id", "label"], ["label"]), "label")
+
+
+@query(
+    "with " + _PAIRS + ", first as (select id, r_id, row_number() over (partition by id order by r_start, r_end, r_id) as n from pairs) select 'TP' as type, id, r_id from first where n = 1 union all select 'FN', id, null from gold where id not in (select id from pairs) union all select 'FP', null, id from pred where id not in (select r_id from pairs)"
+)
+def ner_instances(spark, d):
+    return spans.instances(_gold(spark, d), _pred(spark, d), ["doc_id", "label"])
+
+
+@query(
+    "with " + _PAIRS + ', j as (select id, r_id, (least("end", r_end) - greatest(start, r_start)) / (greatest("end", r_end) - least(start, r_start))::double as jaccard from pairs), n as (select *, row_number() over (partition by id order by jaccard desc, r_id) as n from j) select id, r_id, round(jaccard, 9) as jaccard from n where n = 1'
+)
+def gold_best_jaccard(spark, d):
+    return _rounded(spans.best_jaccard(_gold(spark, d), _pred(spark, d), ["doc_id", "label"]), "jaccard")
+
+
+def _nested_spans(spark, d):
+    # A capitalised word, and the word with the next two tokens around every second one.
+    t = _tokens(spark, d)
+    w = Window.partitionBy("doc_id").orderBy("id")
+    wide = t.withColumn("far", F.lead("end", 2).over(w)).where("id % 2 = 0 and far is not null").select("doc_id", (F.col("id") * 2 + 1).alias("id"), "start", F.col("far").alias("end"))
+    return t.where(F.col("token").rlike("^[A-Z]")).select("doc_id", (F.col("id") * 2).alias("id"), "start", "end").unionByName(wide)
+
+
+@query(
+    "with " + _TOKENS + 'wide as (select doc_id, id, start, lead("end", 2) over (partition by doc_id order by id) as far from tokens), s as (select doc_id, id * 2 as id, start, "end" from tokens where regexp_matches(token, \'^[A-Z]\') union all select doc_id, id * 2 + 1, start, far from wide where id % 2 = 0 and far is not null), m as (select *, max("end") over (partition by doc_id order by start, "end" desc, id rows between unbounded preceding and 1 preceding) as m from s) select doc_id, id, start, "end" from m where m is null or "end" > m'
+)
+def spans_not_contained(spark, d):
+    return spans.not_contained(_nested_spans(spark, d).withColumn("id", F.col("id").cast("long")), ["doc_id"])
+
+
+@query()
+def spans_greedy_longest(spark, d):
+    kept = spans.greedy(_nested_spans(spark, d), ["doc_id"], "longest")
+    return kept.select("doc_id", F.inline("kept"))
+
+
+@query(
+    "with " + _TOKENS + 's as (select doc_id, id, start + 1 as start, "end" + 1 as "end" from tokens where regexp_matches(token, \'^[A-Z]\')) select s.doc_id, s.id, min(t.start) as start, max(t."end") as "end" from s join tokens t on s.doc_id = t.doc_id and s.start < t."end" and t.start < s."end" group by s.doc_id, s.id'
+)
+def spans_snapped_to_tokens(spark, d):
+    t = _tokens(spark, d).withColumn("id", F.col("id").cast("long"))
+    s = t.where(F.col("token").rlike("^[A-Z]")).select("doc_id", "id", (F.col("start") + 1).alias("start"), (F.col("end") + 1).alias("end"))
+    return spans.snapped(s, t.select("doc_id", "id", "start", "end"), ["doc_id"])
+
+
+# Pages: paragraphs of a document.
+
+_PARAGRAPHS = r"""
+parts as (select doc_id, unnest(string_split(text, e'\n\n')) as raw, generate_subscripts(string_split(text, e'\n\n'), 1) as k from documents),
+kept as (select doc_id, k, trim(raw, e' \t\r\n') as text from parts where trim(raw, e' \t\r\n') <> ''),
+pages as (select doc_id, row_number() over (partition by doc_id order by k) as page, coalesce(sum(length(text)) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0)::bigint as start_off, text from kept)
+"""
+
+
+@query("with " + _PARAGRAPHS + " select doc_id, page, start_off, md5(text) as h from pages")
+def pages_by_rule(spark, d):
+    rows = pages.by_rule(table(spark, d, "documents"), "doc_id", rule="\n\n")
+    return rows.select(F.col("letter_id").alias("doc_id"), F.col("page").cast("long").alias("page"), "start_off", F.md5("text").alias("h"))
+
+
+@query(
+    "with " + _TOKENS.rstrip().rstrip(",") + ", " + _PARAGRAPHS + ", b as (select doc_id, page, start_off, lead(start_off) over (partition by doc_id order by start_off) as end_off from pages) select b.doc_id, b.page, count(*) as n, sum(g.start - b.start_off)::bigint as offsets from gold g join b on g.doc_id = b.doc_id and g.start >= b.start_off and (b.end_off is null or g.start < b.end_off) group by b.doc_id, b.page"
+)
+def spans_on_pages(spark, d):
+    p = pages.by_rule(table(spark, d, "documents"), "doc_id", rule="\n\n").select(F.col("letter_id").alias("doc_id"), F.col("page").cast("long").alias("page"), "start_off")
+    rows = pages.assigned(_gold(spark, d), p, ["doc_id"])
+    return rows.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("start") - F.col("page_start")).alias("offsets"))
+
+
+@query()
+def pages_by_markers(spark, d):
+    return pages.by_markers(table(spark, d, "documents"), "doc_id").select(F.col("letter_id").alias("doc_id"), "page", "start_off", "text")
+
+
+@query("select e.event_id, e.user_id, p.value as as_of_value from events e asof left join (select * from events where event_type = 'purchase') p on e.user_id = p.user_id and e.ts >= p.ts")
+def last_purchase_as_of(spark, d):
+    e = table(spark, d, "events")
+    return pages.as_of(e.select("event_id", "user_id", "ts"), e.where("event_type = 'purchase'"), ["user_id"], "ts", "ts", "value").select("event_id", "user_id", "as_of_value")
+
+
+# Linking: what a mention is linked to against what most texts of its form are.
+
+_LINKS = """
+norm as (select mention_id, text, label, case when upper(trim(wikidata_qid)) in ('', 'NIL', 'NONE') then null else regexp_replace(trim(wikidata_qid), '^gn:', '') end as gold_wd, case when upper(trim(geonames_id)) in ('', 'NIL', 'NONE') then null else regexp_replace(trim(geonames_id), '^gn:', '') end as gold_gn from qrank_matched),
+said as (select text as t, max(wikidata_qid) as w, min(geonames_id) as g from qrank_matched group by text),
+pred as (select *, case when upper(trim(w)) in ('', 'NIL', 'NONE') then null else regexp_replace(trim(w), '^gn:', '') end as pred_wd, case when upper(trim(g)) in ('', 'NIL', 'NONE') then null else regexp_replace(trim(g), '^gn:', '') end as pred_gn from norm join said on text = t),
+o as (select *, (gold_wd is not null and pred_wd is not null and gold_wd = pred_wd)::int as tp_wd, (gold_wd is not null and (pred_wd is null or gold_wd <> pred_wd))::int as fn_wd, (pred_wd is not null and (gold_wd is null or gold_wd <> pred_wd))::int as fp_wd,
+ (gold_gn is not null and pred_gn is not null and gold_gn = pred_gn)::int as tp_gn, (gold_gn is not null and (pred_gn is null or gold_gn <> pred_gn))::int as fn_gn, (pred_gn is not null and (gold_gn is null or gold_gn <> pred_gn))::int as fp_gn,
+ (coalesce(gold_wd, gold_gn) is not null) as gold_any, (coalesce(pred_wd, pred_gn) is not null) as pred_any from pred),
+c as (select *, (tp_wd = 1 or tp_gn = 1)::int as tp_combined, (gold_any and not (tp_wd = 1 or tp_gn = 1))::int as fn_combined, (not gold_any and pred_any)::int as fp_combined, (not gold_any and not pred_any)::int as tp_nil, (gold_any and not pred_any)::int as fp_nil, (not gold_any and pred_any)::int as fn_nil from o)
+"""
+
+
+def _links(spark, d):
+    m = table(spark, d, "qrank_matched").select("mention_id", "text", "label", F.col("wikidata_qid").alias("gold_wd"), F.col("geonames_id").alias("gold_gn"))
+    # One row for each text before the join, so a text that fills a third of the rows is one row on that side.
+    said = m.groupBy(F.col("text").alias("t")).agg(F.max("gold_wd").alias("pred_wd"), F.min("gold_gn").alias("pred_gn"))
+    return m.join(said, F.col("text") == F.col("t")).drop("t")
+
+
+@query(
+    "with " + _LINKS + ", s as (select label, unnest(['wd', 'gn', 'combined', 'nil']) as part, unnest([sum(tp_wd), sum(tp_gn), sum(tp_combined), sum(tp_nil)])::bigint as tp, unnest([sum(fp_wd), sum(fp_gn), sum(fp_combined), sum(fp_nil)])::bigint as fp, unnest([sum(fn_wd), sum(fn_gn), sum(fn_combined), sum(fn_nil)])::bigint as fn from c group by label) "
+    + _scored("select * from s", "label, part", "0.0")
+)
+def link_scores(spark, d):
+    return _prf(metrics.link_scores(_links(spark, d), ["label"]), "label", "part")
+
+
+@query(
+    "with " + _LINKS + "select mention_id, case when tp_wd = 1 then 'TP' when fp_wd = 1 then 'FP' when fn_wd = 1 then 'FN' else 'TN' end as type_wd, case when tp_gn = 1 then 'TP' when fp_gn = 1 then 'FP' when fn_gn = 1 then 'FN' else 'TN' end as type_gn, case when tp_combined = 1 then 'TP' when pred_any then 'FP' when gold_any then 'FN' else 'TN' end as type_combined, case when tp_nil = 1 then 'TP' when fp_nil = 1 then 'FP' when fn_nil = 1 then 'FN' else 'TN' end as type_nil from c"
+)
+def link_labels(spark, d):
+    return metrics.link_labels(_links(spark, d)).select("mention_id", "type_wd", "type_gn", "type_combined", "type_nil")
+
+
+_KB = "case when upper(trim({c})) in ('', 'NIL', 'NONE') then null else regexp_replace(trim({c}), '^gn:', '') end"
+
+
+@query(
+    f"with k as (select label, {_KB.format(c='wikidata_qid')} as w, {_KB.format(c='geonames_id')} as g from qrank_matched) select label, count(*) as total, 0::bigint as errors, count(w) as linked_wd, count(g) as linked_gn, count(*) filter (w is not null and g is not null) as linked_both, count(*) filter (w is null and g is null) as linked_neither from k group by label"
+)
+def linked_counts(spark, d):
+    return runs.linked_counts(table(spark, d, "qrank_matched"), ["label"], "wikidata_qid", "geonames_id")
+
+
+@query(
+    "with h as (select label, coalesce(upper(trim(wikidata_qid)) not in ('', 'NAN', 'NIL'), false) as w, coalesce(upper(trim(geonames_id)) not in ('', 'NAN', 'NIL'), false) as g from qrank_matched) select label, case when w and g then 'both' when w then 'wikidata' when g then 'geonames' else 'none' end as kb, count(*) as n from h group by 1, 2"
+)
+def kb_coverage(spark, d):
+    return linking.coverage(table(spark, d, "qrank_matched"), ["label"], "wikidata_qid", "geonames_id")
+
+
+@query("select wikidata_qid, text, label, max(qrank) as qrank, count(*) as n_mentions, bool_or(in_qrank) as in_qrank from qrank_matched where regexp_matches(wikidata_qid, '^Q[0-9]+$') group by 1, 2, 3")
+def popularity_per_entity(spark, d):
+    return linking.per_entity(table(spark, d, "qrank_matched"))
+
+
+@query("select m.mention_id, q.qrank as dump_qrank, q.entity is not null as found from qrank_matched m left join qrank q on m.wikidata_qid = q.entity")
+def mentions_in_dump(spark, d):
+    return linking.in_dump(table(spark, d, "qrank_matched"), table(spark, d, "qrank")).select("mention_id", "dump_qrank", "found")
+
+
+@query("select entity, qrank, row_number() over (order by qrank desc, entity) as rank from qrank")
+def popularity_rank(spark, d):
+    return linking.popularity(table(spark, d, "qrank")).select("entity", "qrank", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    "select case when qrank is null or qrank <= 0 then 'not in dump' when qrank < 100 then 'under 100' when qrank < 1000 then 'under 1k' when qrank < 10000 then 'under 10k' when qrank < 100000 then 'under 100k' when qrank < 1000000 then 'under 1M' else '1M and more' end as bucket, count(*) as n from qrank_matched group by 1"
+)
+def popularity_buckets(spark, d):
+    return table(spark, d, "qrank_matched").groupBy(linking.popularity_bucket(F.col("qrank")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "select label, count(qrank) as n, round(avg(qrank), 3) as mean, round(stddev_samp(qrank), 3) as std, min(qrank) as min, round(quantile_cont(qrank, 0.25), 3) as p25, round(median(qrank), 3) as median, round(quantile_cont(qrank, 0.75), 3) as p75, max(qrank) as max from qrank_matched group by label"
+)
+def popularity_described(spark, d):
+    return _rounded(linking.described(table(spark, d, "qrank_matched"), ["label"], "qrank"), "mean", "std", "p25", "median", "p75", digits=3)
+
+
+@query(
+    "select geonameid, concat_ws(', ', case feature_class when 'A' then 'administrative region' when 'H' then 'water' when 'L' then 'area' when 'P' then 'populated place' when 'R' then 'road' when 'S' then 'spot or building' when 'T' then 'mountain or hill' when 'U' then 'undersea' when 'V' then 'vegetation' end, nullif(trim(feature_code), ''), nullif(trim(admin1_code), ''), nullif(trim(country_code), ''), case when population > 0 then 'pop. ' || population end) as description from gazetteer"
+)
+def gazetteer_descriptions(spark, d):
+    return linking.description(table(spark, d, "gazetteer")).select("geonameid", "description")
+
+
+@query()
+def gazetteer_candidates(spark, d):
+    labels = table(spark, d, "qrank_matched").where("label = 'E53_Place'").select(F.col("wikidata_label").alias("text")).distinct()
+    return linking.gazetteer_search(labels.withColumn("mention_key", F.col("text")), table(spark, d, "gazetteer"))
+
+
+@query("select mention_id, text, label from (select *, row_number() over (partition by text, label order by tagged_at, mention_id) as n from qrank_matched) where n = 1")
+def first_mentions(spark, d):
+    m = table(spark, d, "qrank_matched")
+    first = m.groupBy("text", "label").agg(F.min_by("mention_id", F.struct("tagged_at", "mention_id")).alias("mention_id"))
+    return first.select("mention_id", "text", "label")
+
+
+@query("select text, label, arg_min(letter_id, mention_id) filter (letter_id is not null) as letter_id, min(mention_id) as first, count(*) as n_mentions from qrank_matched group by 1, 2")
+def asked_once(spark, d):
+    return linking.once_for_each(table(spark, d, "qrank_matched").where("letter_id is not null"), ["text", "label"], "letter_id", "mention_id")
+
+
+@query(
+    f"select mention_id, case when lower(k) <> 'nan' then regexp_replace(k, '^(-?\\d+)\\.0+$', '\\1') end as id, regexp_matches(coalesce(wikidata_qid, ''), '^Q[0-9]+$') as qid_ok, coalesce(lower(trim(geonames_id)) in ('', 'nan'), true) as blank from (select *, {_KB.format(c='geonames_id')} as k from qrank_matched)"
+)
+def ids_normalised(spark, d):
+    return table(spark, d, "qrank_matched").select("mention_id", ids.integral_id(F.col("geonames_id")).alias("id"), ids.is_qid(F.col("wikidata_qid")).alias("qid_ok"), ids.is_blank(F.col("geonames_id")).alias("blank"))
+
+
+@query("select mention_id, left(regexp_replace(text, '[^A-Za-z0-9]+', '_', 'g'), 30) || case when wikidata_qid is null or wikidata_qid = '' then '' else '_' || left(regexp_replace(wikidata_qid, '[^A-Za-z0-9]+', '_', 'g'), 20) end as slug from qrank_matched")
+def entity_slugs(spark, d):
+    return table(spark, d, "qrank_matched").select("mention_id", ids.slug(F.col("text"), F.col("wikidata_qid")).alias("slug"))
+
+
+@query(
+    "select doc_id, replace(substring(text, greatest(60 - 40, 0) + 1, 80 + 40 - 20), e'\\n', ' ') as context, trim(regexp_replace(text, '[ \\t\\n\\f\\r]+', ' ', 'g')) = regexp_replace(trim(regexp_replace(text, '[ \\t\\n\\f\\r]+', ' ', 'g')), '[ ]+$', '') as tidy from documents"
+)
+def context_windows(spark, d):
+    plain = tx.normal_space(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", tx.context(F.col("text"), F.lit(60), F.lit(80), 40).alias("context"), (plain == F.regexp_replace(plain, "[ ]+$", "")).alias("tidy"))
+
+
+# The log of runs: orders as runs of a status (model) and a priority (configuration) with a date and a score.
+
+_LOG = "select o_orderkey as run_id, o_orderstatus as model, o_orderpriority as config, o_custkey as source, o_orderdate as ran_at, o_totalprice as score from orders"
+
+
+def _log(spark, d):
+    return table(spark, d, "orders").select(*[F.col(f"o_{a}").alias(b) for a, b in (("orderkey", "run_id"), ("orderstatus", "model"), ("orderpriority", "config"), ("custkey", "source"), ("orderdate", "ran_at"), ("totalprice", "score"))])
+
+
+@query(f"with l as ({_LOG}), n as (select *, case when config = '5-LOW' then null else score end as s from l) select source, model, arg_max(s, (ran_at, run_id)) filter (s is not null) as score, arg_max(config, (ran_at, run_id)) as config from n group by 1, 2")
+def runs_latest_values(spark, d):
+    log = _log(spark, d).withColumn("score", F.when(F.col("config") != "5-LOW", F.col("score")))
+    return runs.latest_values(log, ["source", "model"], "ran_at", ["score", "config"], "run_id")
+
+
+@query(f"with l as ({_LOG}) select run_id, source, model, score from (select *, row_number() over (partition by source, model order by run_id desc) as n from l) where n = 1")
+def runs_keep_last(spark, d):
+    return runs.keep(_log(spark, d), ["source", "model"], "run_id", last=True).select("run_id", "source", "model", "score")
+
+
+@query(f"with l as ({_LOG}), m as (select model, config, max(ran_at) as m from l group by 1, 2) select l.run_id, l.model, l.config, l.ran_at from l join m on l.model = m.model and l.config = m.config and l.ran_at = m.m")
+def runs_latest(spark, d):
+    return runs.latest_run(_log(spark, d), ["model", "config"], "ran_at").select("run_id", "model", "config", "ran_at")
+
+
+@query(f"with l as ({_LOG}) select model, round(avg(score), 4) as mean_s, round(avg(score) / 60 / 10 / 60 * 217, 4) as hours from l group by model")
+def runs_durations(spark, d):
+    return _rounded(runs.duration_means(_log(spark, d), "model", "score"), "mean_s", "hours", digits=4)
+
+
+_CONFIGS = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
+
+
+@query(f"""with l as ({_LOG}), p as (select source, max(score) filter (config = '1-URGENT') as a, max(score) filter (config = '2-HIGH') as b, max(score) filter (config = '3-MEDIUM') as c from l group by 1) select source, a as "1-URGENT", b as "2-HIGH", c as "3-MEDIUM", round((coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / nullif((a is not null)::int + (b is not null)::int + (c is not null)::int, 0), 6) as mean from p""")
+def runs_pivot(spark, d):
+    return _rounded(runs.pivoted(_log(spark, d), ["source"], "config", _CONFIGS, F.max("score"), mean="mean"), "mean", digits=6)
+
+
+@query(f"with l as ({_LOG}) select source, run_id, model, config, score from (select *, row_number() over (partition by source order by score desc, run_id) as n from l) where n = 1")
+def runs_best(spark, d):
+    return runs.best(_log(spark, d), ["source"], "score", "run_id").select("source", "run_id", "model", "config", "score")
+
+
+_PAIRED = f"l as ({_LOG}), b as (select source, avg(score) filter (model = 'F') as a, avg(score) filter (model = 'O') as b from l group by 1), p as (select *, a - b as delta from b where a is not null and b is not null)"
+
+
+@query(f"with {_PAIRED} select source, round(delta, 6) as delta, case when delta > 0 then 'F' when delta < 0 then 'O' else 'tie' end as winner from p")
+def runs_paired(spark, d):
+    return _rounded(runs.paired(_log(spark, d), ["source"], "model", "F", "O", "score").select("source", "delta", "winner"), "delta", digits=6)
+
+
+@query(f"with {_PAIRED} select c.c_mktsegment as segment, count(delta) as n, count(*) filter (delta > 0) as above, count(*) filter (delta < 0) as below, count(*) filter (delta = 0) as ties, round(avg(delta), 4) as mean_delta, round(stddev_samp(delta), 4) as std_delta from p join customer c on p.source = c.c_custkey group by 1")
+def runs_tallies(spark, d):
+    deltas = runs.paired(_log(spark, d), ["source"], "model", "F", "O", "score")
+    named = deltas.join(table(spark, d, "customer").select(F.col("c_custkey").alias("source"), F.col("c_mktsegment").alias("segment")), "source")
+    return _rounded(runs.tallies(named, ["segment"]), "mean_delta", "std_delta", digits=4)
+
+
+@query(f"with l as ({_LOG}), p as (select source, max(score) filter (config = '1-URGENT') as a, max(score) filter (config = '2-HIGH') as b, max(score) filter (config = '3-MEDIUM') as c from l group by 1) select source, case when a is not null and b is not null and c is not null then round(greatest(a, b, c) - least(a, b, c), 6) end as spread, case when a is null or b is null or c is null then null when a = greatest(a, b, c) then 'a' when b = greatest(a, b, c) then 'b' else 'c' end as best from p")
+def runs_spread(spark, d):
+    wide = runs.pivoted(_log(spark, d), ["source"], "config", _CONFIGS, F.max("score")).toDF("source", "a", "b", "c")
+    return _rounded(runs.spread(wide, ["a", "b", "c"]).select("source", "spread", "best"), "spread", digits=6)
+
+
+@query("select source, count(*) as n, round(count(*) * 100.0 / sum(count(*)) over (), 1) as percent from documents where source is not null group by source")
+def source_counts(spark, d):
+    return runs.value_counts(table(spark, d, "documents"), "source", percent=True)
+
+
+@query("with e as (select text, label, letter_id, coalesce(wikidata_qid, '-') as q from qrank_matched) select text, label, count(distinct q) as n_models, count(q) as n_runs, string_agg(distinct q, ', ' order by q) as models, round(count(distinct q) / 8.0, 9) as miss_rate from e group by 1, 2")
+def error_consensus(spark, d):
+    e = table(spark, d, "qrank_matched").withColumn("q", F.coalesce("wikidata_qid", F.lit("-")))
+    return _rounded(runs.consensus(e, ["text", "label"], "q", 8), "miss_rate")
+
+
+@query("with e as (select text, label, count(distinct coalesce(wikidata_qid, '-')) / 8.0 as rate from qrank_matched group by 1, 2) select label, count(*) as n, count(*) filter (rate > 0.2) as n_above, round(count(*) filter (rate > 0.2) / count(*)::double, 9) as share from e where label is not null group by label having count(*) filter (rate > 0.2) > 0")
+def error_share(spark, d):
+    e = table(spark, d, "qrank_matched").withColumn("q", F.coalesce("wikidata_qid", F.lit("-")))
+    rates = runs.consensus(e, ["text", "label"], "q", 8)
+    return _rounded(runs.share_above(rates, "label", "miss_rate", 0.2), "share")
+
+
+@query("with grid as (select c_custkey as source, m.model from customer, (values ('F'), ('O'), ('P')) m(model)), done as (select distinct o_custkey as source, o_orderstatus as model from orders) select g.source, count(d.model) as n_done, count(*) as n_cells, coalesce(string_agg(case when d.model is null then g.model end, ', ' order by g.model), '') as missing from grid g left join done d on g.source = d.source and g.model = d.model group by 1")
+def runs_completion(spark, d):
+    grid = table(spark, d, "customer").select(F.col("c_custkey").alias("source"), F.explode(F.array(*map(F.lit, "FOP"))).alias("model"))
+    return runs.completion(grid, _log(spark, d), ["source", "model"], "source", "model")
+
+
+@query("with grid as (select c_custkey as source, m.model from customer, (values ('F'), ('O'), ('P')) m(model)) select source, model from grid where (source, model) not in (select (o_custkey, o_orderstatus) from orders)")
+def runs_pending(spark, d):
+    grid = table(spark, d, "customer").select(F.col("c_custkey").alias("source"), F.explode(F.array(*map(F.lit, "FOP"))).alias("model"))
+    return runs.pending(grid, _log(spark, d), ["source", "model"])
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, round(case when l_quantity > 0 then l_extendedprice / (l_quantity / 60) end, 4) as per_minute from lineitem")
+def runs_efficiency(spark, d):
+    rows = runs.efficiency(table(spark, d, "lineitem"), "l_extendedprice", "l_quantity")
+    return _rounded(rows.select("l_orderkey", "l_linenumber", "l_partkey", "per_minute"), "per_minute", digits=4)
+
+
+# Classes: the label of a line item's flag against its status, as gold and prediction.
+
+_CLASSES = "c as (select l_suppkey as place, case l_returnflag when 'A' then 'IN' when 'N' then 'NEAR' else 'TO' end as gold, case when l_quantity < 17 then 'IN' when l_quantity < 34 then 'NEAR' when l_linestatus = 'F' then 'TO' else 'FROM' end as pred from lineitem)"
+
+
+def _classes(spark, d):
+    gold = F.when(F.col("l_returnflag") == "A", "IN").when(F.col("l_returnflag") == "N", "NEAR").otherwise("TO")
+    pred = F.when(F.col("l_quantity") < 17, "IN").when(F.col("l_quantity") < 34, "NEAR").when(F.col("l_linestatus") == "F", "TO").otherwise("FROM")
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("place"), gold.alias("gold"), pred.alias("pred"))
+
+
+@query(f"with {_CLASSES} select g.gold, " + ", ".join(f"count(*) filter (c.pred = '{x}') as \"{x}\"" for x in ids.CATEGORIES) + " from (values " + ", ".join(f"('{x}')" for x in ids.CATEGORIES) + ") g(gold) left join c on c.gold = g.gold group by 1")
+def relation_confusion(spark, d):
+    return metrics.confusion(_classes(spark, d))
+
+
+_FINE = "k as (select place, gold as class, gold, pred from c union select place, pred, gold, pred from c where pred <> gold), e as (select c.place, x.class, count(*) filter (gold = x.class and pred = x.class) as tp, count(*) filter (gold <> x.class and pred = x.class) as fp, count(*) filter (gold = x.class and pred <> x.class) as fn from c, (select unnest(['IN', 'NEAR', 'TO', 'FROM']) as class) x where gold = x.class or pred = x.class group by 1, 2)"
+
+
+@query(f"with {_CLASSES}, {_FINE} " + _scored("select * from e", "place, class", "0.0"))
+def relation_fine_grained(spark, d):
+    return _prf(metrics.fine_grained(_classes(spark, d), ["place"]), "place", "class")
+
+
+@query(f"with {_CLASSES}, {_FINE}, s as (select *, {_PRF.format(e='0.0')} from e), a as (select place, avg(p) as mp, avg(r) as mr, sum(tp) as t, sum(tp + fn) as n from s group by 1) select place, round(mp, 9) as macro_p, round(mr, 9) as macro_r, round(case when mp + mr > 0 then 2 * mp * mr / (mp + mr) else 0.0 end, 9) as macro_f1, round(t / n::double, 9) as micro_f1 from a")
+def relation_macro_micro(spark, d):
+    return _rounded(metrics.macro_micro(metrics.fine_grained(_classes(spark, d), ["place"]), ["place"]), "macro_p", "macro_r", "macro_f1", "micro_f1")
+
+
+_BINARY = "{b} as (select {k} count(*) filter (g and p) as tp, count(*) filter (not g and p) as fp, count(*) filter (g and not p) as fn, count(*) filter (not g and not p) as tn from {f} group by all)"
+
+
+def _binary_sql(source: str, keys: str) -> str:
+    head = f"{keys}, " if keys else ""
+    return f"with {_CLASSES}, m as (select place, gold <> 'NEAR' as g, pred <> 'NEAR' as p from c){source}, " + _BINARY.format(b="b", k=head, f="m" if not source else "pl") + f" select {head}tp, fp, fn, tn, round(p, 9) as p, round(r, 9) as r, round(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end, 9) as f1, round((tp + tn) / (tp + fp + fn + tn)::double, 9) as accuracy from (select *, {_PRF.format(e='0.0')} from b)"
+
+
+def _visits(spark, d):
+    return _classes(spark, d).select("place", (F.col("gold") != "NEAR").alias("gold"), (F.col("pred") != "NEAR").alias("pred"))
+
+
+@query(_binary_sql("", "place"))
+def relation_binary(spark, d):
+    return _rounded(metrics.binary(_visits(spark, d), ["place"]), "p", "r", "f1", "accuracy")
+
+
+@query(_binary_sql(", pl as (select place, bool_or(g) as g, bool_or(p) as p from m group by 1)", ""))
+def relation_binary_by_place(spark, d):
+    return _rounded(metrics.binary_by_place(_visits(spark, d), []), "p", "r", "f1", "accuracy")
+
+
+@query("with c as (select l_partkey as part, l_returnflag as gold, l_linestatus as pred from lineitem) select part, count(*) as n, count(*) filter (gold = pred) as n_correct, string_agg(distinct gold, ', ' order by gold) as gold_classes, string_agg(distinct pred, ', ' order by pred) as pred_classes, round(count(*) filter (gold = pred) / count(*)::double, 9) as accuracy, count(distinct pred) > 1 as varied from c group by part")
+def relation_consistency(spark, d):
+    c = table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("gold"), F.col("l_linestatus").alias("pred"))
+    return _rounded(runs.consistency(c, "part"), "accuracy")
+
+
+@query(f"with {_CLASSES}, {_FINE}, n as (select place, gold as class, count(*) as gold_count from c group by 1, 2) select e.place, e.class, e.tp + e.fn as tp_fn, n.gold_count, n.gold_count - (e.tp + e.fn) as unmatched from e join n using (place, class)")
+def relation_sanity(spark, d):
+    c = _classes(spark, d)
+    counts = c.groupBy("place", F.col("gold").alias("class")).agg(F.count(F.lit(1)).alias("gold_count"))
+    return runs.sanity(metrics.fine_grained(c, ["place"]), counts, ["place", "class"])
+
+
+# Geometry of page scans.
+
+_POINT = "^[+-]?[0-9]+([.][0-9]+)?,[+-]?[0-9]+([.][0-9]+)?$"
+_LINES = f"""
+r as (select rec_id, '' as parent_region_id, u.region_id, u.coords, u.text_lines, u.custom, false as is_sub from (select rec_id, unnest(regions) as u from page_scans) where u is not null),
+s as (select rec_id, p as parent_region_id, u.region_id, u.coords, u.text_lines, u.custom, true as is_sub from (select rec_id, g.region_id as p, unnest(g.sub_regions) as u from (select rec_id, unnest(regions) as g from page_scans) where g is not null) where u is not null),
+a as (select * from r union all select * from s),
+l as (select rec_id, parent_region_id, region_id, is_sub, x.line_id, x.coords.points as coords, x.baseline.points as baseline from (select *, unnest(text_lines) as x from a) where x is not null),
+pts as (select rec_id, parent_region_id, region_id, '' as line_id, 'coords' as child, coords.points as points from a union all select rec_id, parent_region_id, region_id, line_id, 'coords', coords from l union all select rec_id, parent_region_id, region_id, line_id, 'baseline', baseline from l),
+tok as (select rec_id, parent_region_id, region_id, line_id, child, list_filter(regexp_split_to_array(points, '[ \\t\\n\\f\\r]+'), lambda t: regexp_matches(t, '{_POINT}')) as ts from pts where points is not null)
+"""
+
+POINTS_SQL = "with " + _LINES + "select rec_id, parent_region_id, coalesce(region_id, '') as region_id, coalesce(line_id, '') as line_id, child, unnest(range(len(ts)))::int as point_no from tok"
+
+
+def _line_rows(spark, d):
+    return nested.lines(table(spark, d, "page_scans"))
+
+
+@query("with " + _LINES + ", b as (select rec_id, parent_region_id, region_id, line_id, list_transform(ts, lambda t: string_split(t, ',')[1]::double) as xs, list_transform(ts, lambda t: string_split(t, ',')[2]::double) as ys from tok where child = 'coords' and line_id <> '') select rec_id, parent_region_id, region_id, line_id, list_min(xs) as x0, list_min(ys) as y0, list_max(xs) as x1, list_max(ys) as y1 from b where len(xs) > 0")
+def line_boxes(spark, d):
+    rows = _line_rows(spark, d).select("rec_id", "parent_region_id", "region_id", "line_id", geometry.bbox(geometry.point_list(F.col("coords"))).alias("b"))
+    return rows.where("b is not null").select("rec_id", "parent_region_id", "region_id", "line_id", "b.*")
+
+
+_BASE = _LINES + ", base as (select rec_id, parent_region_id, region_id, line_id, list_median(ys) as y from (select *, list_transform(ts, lambda t: string_split(t, ',')[2]::double) as ys from tok where child = 'baseline') where len(ys) > 0)"
+
+
+def _baselines(spark, d):
+    rows = _line_rows(spark, d).select("rec_id", "parent_region_id", "region_id", "line_id", geometry.median_y(geometry.point_list(F.col("baseline"))).alias("y"))
+    return rows.where("y is not null")
+
+
+@query("with " + _BASE + " select rec_id, parent_region_id, region_id, line_id, round(y, 6) as y, round(lag(y) over w, 6) as prev_y, round(lead(y) over w, 6) as next_y from base window w as (partition by rec_id, parent_region_id, region_id order by y, line_id)")
+def baseline_neighbours(spark, d):
+    return _rounded(geometry.neighbours(_baselines(spark, d), ["rec_id", "parent_region_id", "region_id"], "y", "line_id"), "y", "prev_y", "next_y", digits=6)
+
+
+@query("with " + _BASE + ", g as (select rec_id, y - lag(y) over (partition by rec_id, parent_region_id, region_id order by y, line_id) as gap from base) select rec_id, round(coalesce(median(gap) filter (gap > 0), 72.0), 6) as pitch from g group by rec_id")
+def page_pitch(spark, d):
+    return _rounded(geometry.pitch(_baselines(spark, d), ["rec_id"], ["parent_region_id", "region_id"], "y", "line_id"), "pitch", digits=6)
+
+
+@query(
+    "with " + _TOKENS.rstrip().rstrip(",") + ", s as (select doc_id, id, length(token) as len, sum(length(token)) over (partition by doc_id) as total from tokens), w as (select doc_id, id, round_even(1000.0 * len / total, 0) as w from s) select doc_id, id, w, 100.0 + coalesce(sum(w) over (partition by doc_id order by id rows between unbounded preceding and 1 preceding), 0.0) as x from w"
+)
+def word_positions(spark, d):
+    t = _tokens(spark, d).select("doc_id", F.col("id").cast("long").alias("id"), F.length("token").alias("len")).withColumns({"x0": F.lit(100.0), "width": F.lit(1000.0)})
+    return geometry.word_boxes(t, ["doc_id"], "id", "x0", "width", "len").select("doc_id", "id", "w", "x")
+
+
+@query()
+def line_geometry(spark, d):
+    rows = _line_rows(spark, d).withColumn("box", geometry.bbox(geometry.point_list(F.col("coords")))).withColumn("base", geometry.point_list(F.col("baseline")))
+    rows = rows.withColumn("y", geometry.median_y(F.col("base")))
+    near = geometry.neighbours(rows, ["rec_id", "parent_region_id", "region_id"], "y", "line_idx")
+    p = geometry.pitch(rows.where("y is not null"), ["rec_id"], ["parent_region_id", "region_id"], "y", "line_idx").withColumnRenamed("rec_id", "_r")
+    joined = near.join(p, F.col("rec_id") == F.col("_r"), "left")
+    return joined.select("rec_id", "region_id", "line_id", geometry.line_box(F.col("box"), F.col("y"), F.coalesce("pitch", F.lit(geometry.PITCH)), F.col("prev_y"), F.col("next_y")).alias("b"), geometry.angle(F.col("base")).alias("angle"), geometry.baseline_text(F.col("base")).alias("baseline"))
+
+
+# A graph of events: each user's events in order, purchases as moves.
+
+_E = "e as (select 'BRF.' || user_id || '.RS.' || event_id as event, 'L' || event_type as place, * from events)"
+_TRIPLES = f"""{_E},
+t as (select event as s, 'type' as p, c as o from e, (select unnest(['E1', 'E2', 'E4', 'E5', 'E7', 'E92']) as c) union select event, 'type', 'E9' from e where event_type = 'purchase'
+ union select s, 'P183', o from (select event as s, lead(event) over (partition by user_id order by ts, event_id) as o from e) where o is not null
+ union select event, 'P26', place from e where event_type = 'purchase' and value > 5 union select event, 'P7', place from e where event_type <> 'purchase' and event_type <> 'error'
+ union select place, 'type', 'E53' from e where event_type <> 'click' union select event, 'P11', 'U' || user_id from e where event_type <> 'view')
+"""
+
+
+def _triples(spark, d):
+    e = table(spark, d, "events").withColumn("event", F.concat(F.lit("BRF."), F.col("user_id").cast("string"), F.lit(".RS."), F.col("event_id").cast("string"))).withColumn("place", F.concat(F.lit("L"), "event_type")).withColumn("falls_within", F.lit(None).cast("string"))
+    row = lambda df, s, p, o: df.select(F.col(s).alias("s"), F.lit(p).alias("p"), (F.lit(o[1:]) if o.startswith("=") else F.col(o)).alias("o"))
+    buys = F.col("event_type") == "purchase"
+    return graph.as_set(
+        graph.event_types(e.withColumn("is_move", buys)),
+        graph.ordering(e, ["user_id"], ["ts", "event_id"]),
+        row(e.where(buys & (F.col("value") > 5)), "event", "P26", "place"),
+        row(e.where(~buys & (F.col("event_type") != "error")), "event", "P7", "place"),
+        row(e.where(F.col("event_type") != "click"), "place", "type", "=E53"),
+        row(e.where(F.col("event_type") != "view").withColumn("who", F.concat(F.lit("U"), F.col("user_id").cast("string"))), "event", "P11", "who"),
+    )
+
+
+@query(f"with {_TRIPLES} select s, p, o from t")
+def graph_triples(spark, d):
+    return _triples(spark, d)
+
+
+@query(f"with {_E}, n as (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as depth, count(*) over (partition by user_id) as k from e), h as (select user_id, event as head from n where depth = 0 and k > 1) select h.head, n.event, n.depth from n join h on n.user_id = h.user_id")
+def graph_route(spark, d):
+    return graph.route(_triples(spark, d))
+
+
+@query(f"with {_TRIPLES}, top as (select distinct s as x from t where p = 'type' and o = 'E53') select o as place, count(distinct s) as n_events, string_agg(distinct p, ', ' order by p) as roles from t where p in ('P7', 'P26', 'P27', 'proximity') and o in (select x from top) group by o")
+def graph_visited(spark, d):
+    return graph.visited(_triples(spark, d))
+
+
+@query(
+    f"""with {_TRIPLES}, ev as (select distinct s as x from t where p = 'type' and o in ('E7', 'E9')), mv as (select distinct s as x from t where p = 'type' and o = 'E9'), pl as (select distinct s as x from t where p = 'type' and o = 'E53'),
+ ch as (select s, o from t where p = 'P183'), f as (select distinct s as x from ch where s not in (select o from ch)), z as (select distinct o as x from ch where o not in (select s from ch))
+ select 'V2' as rule, 'error' as severity, x as subject, 'P26' as object from mv where x not in (select s from t where p = 'P26')
+ union all select 'V2', 'error', x, 'P27' from mv where x not in (select s from t where p = 'P27')
+ union all select 'V3', 'warn', x, '' from ev where x not in (select x from mv) and x not in (select s from t where p in ('P7', 'P8'))
+ union all select 'V4', 'error', s, o from t where p in ('P7', 'P26', 'P27') and o not in (select x from pl)
+ union all select 'V6', 'error', 'first', count(*)::varchar from f having count(*) <> 1
+ union all select 'V6', 'error', 'last', count(*)::varchar from z having count(*) <> 1
+ union all select 'V6', 'warn', x, '' from ev where x not in (select s from ch) and x not in (select o from ch)
+ union all select 'V10', 'warn', x, '' from ev where x not in (select s from t where p = 'P11')"""
+)
+def graph_violations(spark, d):
+    return graph.violations(_triples(spark, d))
+
+
+@query(f"with {_TRIPLES} select count(*) filter (p = 'type' and o = 'E7') as n_events, count(*) filter (p = 'type' and o = 'E9') as n_moves, count(*) filter (p = 'P183') as n_links, 0::bigint as n_citations, 0::bigint as n_near, (select count(*) from (select distinct s as x from t where p = 'type' and o = 'E53') where x not in (select o from t where p in ('P7', 'P26', 'P27', 'proximity'))) as n_mentioned_only from t")
+def graph_summary(spark, d):
+    return graph.summary(_triples(spark, d))
+
+
+@query(f"""with {_TRIPLES}, q as (select s, case when p = 'type' then 'a' else 'ex:' || p end as p, case when regexp_matches(o, '^[A-Za-z_][A-Za-z0-9_]*$') then 'ex:' || o else '"' || o || '"' end as o from t), l as (select s, p, string_agg(o, ', ' order by o) as os from q group by 1, 2) select s, 'ex:' || s || ' ' || string_agg(p || ' ' || os, e' ;\\n    ' order by p || ' ' || os) || ' .' as block from l group by s""")
+def graph_turtle(spark, d):
+    return graph.turtle(_triples(spark, d))
+
+
+@query(f"with {_TRIPLES} select s as x from (select distinct s from t where p = 'P183') where s not in (select o from t where p = 'P183')")
+def graph_heads(spark, d):
+    links = _triples(spark, d).where("p = 'P183'")
+    return links.select(F.col("s").alias("x")).subtract(links.select(F.col("o").alias("x")))
+
+
+# Editions.
+
+
+@query("select doc_id, true as lossless from documents")
+def tei_lossless(spark, d):
+    letters = table(spark, d, "documents").select("doc_id", "text")
+    ents = _gold(spark, d).select("doc_id", "start", "end", "label", F.lit(None).cast("string").alias("ref"), F.col("id").cast("string").alias("ent_key"))
+    return editions.check_loss(letters, editions.tei(letters, ents))
+
+
+@query(
+    "with " + _TOKENS.rstrip().rstrip(",") + ", m as (select doc_id, string_agg('[' || substring(d.text, (g.start + 1)::int, (g.\"end\" - g.start)::int) || '](' || g.label || ')', ' ' order by g.start) as names from gold g join documents d using (doc_id) group by doc_id) select doc_id, md5(names) as h from m"
+)
+def annotated_names(spark, d):
+    g = _gold(spark, d)
+    named = g.join(table(spark, d, "documents").select(F.col("doc_id").alias("_d"), "text"), F.col("doc_id") == F.col("_d"))
+    piece = F.concat(F.lit("["), F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")), F.lit("]("), "label", F.lit(")"))
+    rows = named.select("doc_id", "start", piece.alias("piece")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))), lambda x: x["piece"]), " ").alias("names"))
+    return rows.select("doc_id", F.md5("names").alias("h"))
+
+
+@query()
+def page_overlay(spark, d):
+    rows = _line_rows(spark, d).withColumn("b", geometry.bbox(geometry.point_list(F.col("coords"))))
+    return editions.overlay(rows.select("rec_id", F.struct("region_idx", "is_sub", "region_id", "line_idx").alias("seq"), "text", "b.*"), ["rec_id"])
