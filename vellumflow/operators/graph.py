@@ -66,7 +66,7 @@ def route(t: DataFrame, max_depth: int = 40) -> DataFrame:
     2^max_depth events, and a chain that comes back to itself has no head, so it
     isn't walked. Rounds stop when no jump is left.
     """
-    links = _objects(t, NEXT).distinct()
+    links = cut(_objects(t, NEXT).distinct())
     single = links.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("o")).where("n = 1").select("s", "o")
     targets = links.select(F.col("o").alias("s")).distinct()
     heads = links.select("s").distinct().join(targets, "s", "left_anti")
@@ -166,6 +166,7 @@ def uris(mentions: DataFrame, keys: list[str]) -> DataFrame:
 
 def violations(t: DataFrame) -> DataFrame:
     """rule, severity, subject, object of each breach of the constraint rules; object is '' where a triple is missing."""
+    t = cut(t.distinct())  # read many times
     empty = F.lit("")
     events, moves = _typed(t, "E7", "E9"), _typed(t, "E9")
     root = F.regexp_count("x", F.lit(r"\.RS")) == 1
@@ -234,6 +235,7 @@ def containment_counts(t: DataFrame) -> DataFrame:
 
 def summary(t: DataFrame) -> DataFrame:
     """One row of counts: events, moves, translocations, citations, near places, places told only."""
+    t = cut(t.distinct())
     is_type = lambda c: (F.col("p") == TYPE) & (F.col("o") == c)
     counts = t.agg(
         F.count_if(is_type("E7")).alias("n_events"), F.count_if(is_type("E9")).alias("n_moves"), F.count_if(F.col("p") == NEXT).alias("n_links"),

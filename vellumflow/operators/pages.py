@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumflow.session import spread
+
 _RUN = re.compile(r"[^ \t\n\x0b\f\r]+")
 MARKER = r"\[\d+\]"
 ANY_MARKER = r"\[[IVXLCDM\d]+\]"
@@ -140,4 +142,4 @@ def tokenized(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     def runs(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"id": k, "token": m[0], "start": m.start(), "end": m.end()} for k, m in enumerate(_RUN.finditer(t or ""))])
 
-    return df.select(F.col(key), F.inline(runs(F.col(text))))
+    return spread(df.select(key, text), key).select(F.col(key), F.inline(runs(F.col(text))))

@@ -45,11 +45,24 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_id: str
     return a.join(b, on & overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")) & first).drop("_vf_bin", "_vf_rbin")
 
 
+def _both_sides(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
+    """Full outer form of ``overlapping``: spans of either side without a partner stand alone (once for each of their bins).
+
+    Each side is read once; what is grouped from it afterwards reuses its exchange.
+    """
+    a = _binned(gold, "start", "end")
+    b = _binned(pred.select(*[F.col(c).alias(f"r_{c}") for c in pred.columns]), "r_start", "r_end").withColumnRenamed("_vf_bin", "_vf_rbin")
+    on = F.col("_vf_bin") == F.col("_vf_rbin")
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"r_{k}"))
+    return a.join(b, on & overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")), "full")
+
+
 def matched(gold: DataFrame, pred: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(gold, pred) with ``hit``: whether a span of the other side with equal keys overlaps. Both have a unique ``id``."""
-    pairs = overlapping(gold, pred, keys, "id", "id").select("id", "r_id")
-    g = gold.join(pairs.select(F.col("id").alias("_vf_id")).distinct(), F.col("id") == F.col("_vf_id"), "left").withColumn("hit", F.col("_vf_id").isNotNull()).drop("_vf_id")
-    p = pred.join(pairs.select(F.col("r_id").alias("_vf_id")).distinct(), F.col("id") == F.col("_vf_id"), "left").withColumn("hit", F.col("_vf_id").isNotNull()).drop("_vf_id")
+    both = _both_sides(gold, pred, keys)
+    g = both.where("id is not null").groupBy(*gold.columns).agg(F.bool_or(F.col("r_id").isNotNull()).alias("hit"))
+    p = both.where("r_id is not null").groupBy(*[F.col(f"r_{c}").alias(c) for c in pred.columns]).agg(F.bool_or(F.col("_vf_bin").isNotNull()).alias("hit"))
     return g, p
 
 
@@ -58,12 +71,11 @@ def instances(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
 
     First means by (start, end, id); a prediction may serve several gold spans.
     """
-    pairs = overlapping(gold, pred, keys, "id", "id")
-    first = Window.partitionBy("id").orderBy("r_start", "r_end", "r_id")
-    tp = pairs.withColumn("_vf_n", F.row_number().over(first)).where("_vf_n = 1").select(F.lit("TP").alias("type"), "id", "r_id")
-    fn = gold.join(pairs.select(F.col("id").alias("_vf_id")).distinct(), F.col("id") == F.col("_vf_id"), "left_anti").select(F.lit("FN").alias("type"), "id", F.lit(None).cast(pred.schema["id"].dataType).alias("r_id"))
-    fp = pred.join(pairs.select(F.col("r_id").alias("_vf_id")).distinct(), F.col("id") == F.col("_vf_id"), "left_anti").select(F.lit("FP").alias("type"), F.lit(None).cast(gold.schema["id"].dataType).alias("id"), F.col("id").alias("r_id"))
-    return tp.unionByName(fn).unionByName(fp)
+    both = _both_sides(gold, pred, keys)
+    first = both.where("id is not null").groupBy("id").agg(F.min(F.when(F.col("r_id").isNotNull(), F.struct("r_start", "r_end", "r_id"))).alias("f"))
+    gold_side = first.select(F.when(F.col("f").isNull(), "FN").otherwise("TP").alias("type"), "id", F.col("f.r_id").alias("r_id"))
+    alone = both.where("r_id is not null").groupBy("r_id").agg(F.bool_or(F.col("_vf_bin").isNotNull()).alias("hit")).where("not hit")
+    return gold_side.unionByName(alone.select(F.lit("FP").alias("type"), F.lit(None).cast(gold.schema["id"].dataType).alias("id"), "r_id"))
 
 
 def best_jaccard(gold: DataFrame, mentions: DataFrame, keys: list[str]) -> DataFrame:

@@ -33,3 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of ``df``: survives the loss of executors, ends the lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores where its input comes in fewer pieces than there are cores; else as it is.
+
+    Only for tables that are small (one file, one row group) but costly by row. keys
+    are unique columns, so the pieces are even and a lost one is made again alike.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
