@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumflow.session import spread
+
 #: Labelled documents of a language that the model is fitted on, about.
 SAMPLE = 800
 #: Rounds of labelling the sample's sentences anew.
@@ -259,6 +261,7 @@ def passages(documents: DataFrame, model: Model, text: str = "text", out: str =
     ``MAX_WORDS + MAX_GRAMS`` entries for a language).
     """
     spark = documents.sparkSession
+    documents = spread(documents, text)
     shared = spark.sparkContext.broadcast((model.languages, model.words, model.grams))
     key = (spark.sparkContext.applicationId, shared._jbroadcast.id())
 

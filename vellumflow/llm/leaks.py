@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from vellumflow.llm.canonical import distance, skeleton
 from vellumflow.llm.visual import plain
+from vellumflow.session import spread
 
 SHARD_WORDS = 1_000_000
 BLOCK_WORDS = 2_000_000
@@ -231,6 +232,7 @@ def leaks(documents: DataFrame, items: DataFrame, part: float = PART, seed: int
         blocks[-1].append((r.i, r.t))
         words += size
     narrow = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    narrow = spread(narrow, "doc_id")
     found = []
     for own in blocks:
         shared = spark.sparkContext.broadcast(own)

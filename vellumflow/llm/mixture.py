@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumflow.session import cut
+from vellumflow.session import cut, spread
 
 #: Vocabulary of the public tokenizer that sizes are counted with.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -62,7 +62,7 @@ def sizes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     """doc_id, source, n_tokens, h: each document with a source, its size and its place in the order of hashes."""
     h = F.xxhash64(F.lit(seed), F.col(doc_id)).bitwiseAND(F.lit((1 << sum(BITS)) - 1))
     rows = documents.select(F.col(doc_id).alias("doc_id"), source_name(F.col(source)).alias("source"), F.col(text).alias("_vf_t"), h.alias("h"))
-    return rows.where("source is not null").select("doc_id", "source", token_count(F.col("_vf_t"), vocabulary).alias("n_tokens"), "h")
+    return spread(rows.where("source is not null"), "doc_id").select("doc_id", "source", token_count(F.col("_vf_t"), vocabulary).alias("n_tokens"), "h")
 
 
 def budgets(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
