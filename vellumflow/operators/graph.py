@@ -165,66 +165,66 @@ def uris(mentions: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def violations(t: DataFrame) -> DataFrame:
-    """rule, severity, subject, object of each breach of the constraint rules; object is '' where a triple is missing."""
-    t = cut(t.distinct())  # read many times
-    empty = F.lit("")
-    events, moves = _typed(t, "E7", "E9"), _typed(t, "E9")
-    root = F.regexp_count("x", F.lit(r"\.RS")) == 1
-    journeys = F.col("x").endswith(".RS") & root
-    found: list[DataFrame] = []
-
-    def add(rule: str, severity: str, df: DataFrame, subject: str = "x", obj: Column = empty) -> None:
-        found.append(df.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.col(subject).alias("subject"), obj.alias("object")))
-
-    def lacks(df: DataFrame, *properties: str) -> DataFrame:
-        return df.join(t.where(F.col("p").isin(*properties)).select(F.col("s").alias("x")).distinct(), "x", "left_anti")
-
-    def bad_target(rule: str, severity: str, properties: tuple[str, ...], classes: tuple[str, ...]) -> None:
-        hits = t.where(F.col("p").isin(*properties)).select("s", F.col("o").alias("x"))
-        add(rule, severity, hits.join(_typed(t, *classes), "x", "left_anti"), "s", F.col("x"))
-
-    def bad_source(rule: str, severity: str, properties: tuple[str, ...], classes: tuple[str, ...]) -> None:
-        hits = t.where(F.col("p").isin(*properties)).select(F.col("s").alias("x"), "o")
-        add(rule, severity, hits.join(_typed(t, *classes), "x", "left_anti"), "x", F.col("o"))
-
-    held = t.where((F.col("p") == TYPE) & F.col("o").isin(*EVENT_CLASSES)).groupBy(F.col("s").alias("x")).agg(F.count_distinct("o").alias("n"))
-    add("V1a", "warn", events.join(held, "x", "left").where(F.coalesce("n", F.lit(0)) < len(EVENT_CLASSES)))
-    linked = t.where(F.col("p").isin(NEXT, "P26", "P27", "P7")).select(F.col("s").alias("x")).distinct()
-    add("V1b", "error", linked.join(events, "x", "left_anti"))
-    for prop in ("P26", "P27"):
-        add("V2", "error", lacks(moves.where(~journeys), prop), obj=F.lit(prop))
-    add("V3", "warn", lacks(_typed(t, "E7").join(moves, "x", "left_anti"), "P7", "P8"))
-    bad_target("V4", "error", ("P7", "P26", "P27"), PLACES)
-    bad_target("V5", "warn", ("P8",), OBJECTS)
+    """rule, severity, subject, object of each breach of the constraint rules; object is '' where a triple is missing.
+
+    One aggregation gives each node its classes and properties, from which all rules
+    about a node itself are read at once. Rules about what a property leads from or
+    to look at the distinct (property, node) pairs only, so a place that a third of
+    all triples lead to is looked up once.
+    """
+    t = cut(t.distinct())  # read several times
+    is_type = F.col("p") == TYPE
+    nodes = cut(
+        t.groupBy(F.col("s").alias("x")).agg(
+            F.collect_set(F.when(is_type, F.col("o"))).alias("classes"), F.collect_set("p").alias("props"), F.bool_or((F.col("p") == "P129") & F.col("o").startswith("TS")).alias("cites_time")
+        )
+    )
+
+    def of(column: str, *values: str) -> Column:
+        return F.arrays_overlap(F.col(column), F.array(*map(F.lit, values)))
+
+    event, move, letter = of("classes", "E7", "E9"), of("classes", "E9"), of("classes", "F2") & (F.instr("x", ".") == 0)
+    journey = F.col("x").endswith(".RS") & (F.regexp_count("x", F.lit(r"\.RS")) == 1)
+    sub = move & F.col("x").rlike(r"\.VP\d{4}$")
+    row = lambda rule, severity, obj="": F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(obj).alias("object"))
+    own = [
+        (event & (F.size(F.array_intersect("classes", F.array(*map(F.lit, EVENT_CLASSES)))) < len(EVENT_CLASSES)), row("V1a", "warn")),
+        (of("props", NEXT, "P26", "P27", "P7") & ~event, row("V1b", "error")),
+        *[(move & ~journey & ~of("props", p), row("V2", "error", p)) for p in ("P26", "P27")],
+        (of("classes", "E7") & ~move & ~of("props", "P7", "P8"), row("V3", "warn")),
+        (event & ~of("props", "P11"), row("V10", "warn")),
+        (event & (~F.col("x").startswith("BRF") | (F.instr("x", "RS") == 0)), row("V11", "warn")),
+        (F.col("cites_time") & ~of("props", "P4"), row("V12", "warn")),
+        (letter & ~of("props", "P129"), row("V17", "warn")),
+        *[(sub & ~of("props", p), row("V19", "error", p)) for p in ("P26", "P27", PART_OF)],
+    ]
+    found = [nodes.select(F.col("x").alias("subject"), F.inline(F.array_compact(F.array(*[F.when(c, r) for c, r in own])))).select("rule", "severity", "subject", "object")]
+
+    # (rule, severity, properties, classes of which the node needs one, other classes that excuse it)
+    targets = [
+        ("V4", "error", ("P7", "P26", "P27"), PLACES, ()), ("V5", "warn", ("P8",), OBJECTS, ()), ("V13", "error", ("P4",), ("E52",), ()), ("V14", "error", ("P59",), PLACES, ()), ("V15", "warn", ("P101",), ("E55",), ()),
+        ("V16", "warn", ("P16",), ("E22",), ()), ("V18", "warn", ("P12",), (*OBJECTS, "E53", "F2"), ("E74",)), ("V20", "error", ("proximity",), ("E53", "E18"), ()),
+    ]
+    sources = [("V14", "error", ("P59",), ("E18",), ()), ("V20", "error", ("proximity",), ("E5",), ())]
+    for rules, end in ((targets, "o"), (sources, "s")):
+        props = sorted({p for _, _, ps, _, _ in rules for p in ps})
+        edges = t.where(F.col("p").isin(*props))
+        known = nodes.select(F.col("x").alias("_vf_x"), "classes")
+        seen = edges.select("p", F.col(end).alias("x")).distinct().join(known, F.col("x") == F.col("_vf_x"), "left").withColumn("classes", F.coalesce("classes", F.array().cast("array<string>")))
+        bad = [F.when(F.col("p").isin(*ps) & ~of("classes", *need, *excuse), F.struct(F.lit(r).alias("rule"), F.lit(sev).alias("severity"))) for r, sev, ps, need, excuse in rules]
+        wrong = seen.select(F.col("p").alias("_vf_p"), "x", F.inline(F.array_compact(F.array(*bad))))
+        found.append(edges.join(wrong, (F.col("p") == F.col("_vf_p")) & (F.col(end) == F.col("x"))).select("rule", "severity", F.col("s").alias("subject"), F.col("o").alias("object")))
+
     chain = _objects(t, NEXT)
-    firsts = chain.select(F.col("s").alias("x")).distinct().join(chain.select(F.col("o").alias("x")), "x", "left_anti")
-    lasts = chain.select(F.col("o").alias("x")).distinct().join(chain.select(F.col("s").alias("x")), "x", "left_anti")
-    for ends, name in ((firsts, "first"), (lasts, "last")):
-        n = ends.agg(F.count(F.lit(1)).alias("n"))
-        add("V6", "error", n.where("n <> 1").select(F.lit(name).alias("x"), F.col("n").cast("string").alias("n")), obj=F.col("n"))
-    inside = chain.select(F.col("s").alias("x")).unionByName(chain.select(F.col("o").alias("x"))).distinct()
-    add("V6", "warn", events.where(~journeys).join(inside, "x", "left_anti").join(children(t).select(F.col("child").alias("x")), "x", "left_anti"))
-    letters = _typed(t, "F2").where(F.instr("x", ".") == 0)
-    told = t.where(F.col("p") == "P67").select(F.col("s").alias("x"), "o").join(letters, "x", "left_semi").select(F.col("o").alias("x"))
-    seen = t.where(F.col("p").isin(*VISITS)).select(F.col("o").alias("x"))
-    add("V8", "error", told.intersect(seen))
-    add("V10", "warn", lacks(events, "P11"))
-    add("V11", "warn", events.where(~F.col("x").startswith("BRF") | (F.instr("x", "RS") == 0)))
-    add("V12", "warn", lacks(t.where((F.col("p") == "P129") & F.col("o").startswith("TS")).select(F.col("s").alias("x")).distinct(), "P4"))
-    bad_target("V13", "error", ("P4",), ("E52",))
-    bad_source("V14", "error", ("P59",), ("E18",))
-    bad_target("V14", "error", ("P59",), PLACES)
-    bad_target("V15", "warn", ("P101",), ("E55",))
-    bad_target("V16", "warn", ("P16",), ("E22",))
-    add("V17", "warn", lacks(letters, "P129"))
-    groups = _typed(t, "E74")
-    twelve = t.where(F.col("p") == "P12").select("s", F.col("o").alias("x")).join(groups, "x", "left_anti")
-    add("V18", "warn", twelve.join(_typed(t, *OBJECTS, "E53", "F2"), "x", "left_anti"), "s", F.col("x"))
-    subs = moves.where(F.col("x").rlike(r"\.VP\d{4}$"))
-    for prop in ("P26", "P27", PART_OF):
-        add("V19", "error", lacks(subs, prop), obj=F.lit(prop))
-    bad_target("V20", "error", ("proximity",), ("E53", "E18"))
-    bad_source("V20", "error", ("proximity",), ("E5",))
+    starts, ends = chain.select(F.col("s").alias("x")).distinct(), chain.select(F.col("o").alias("x")).distinct()
+    for name, one, other in (("first", starts, ends), ("last", ends, starts)):
+        n = one.join(other, "x", "left_anti").agg(F.count(F.lit(1)).alias("n")).where("n <> 1")
+        found.append(n.select(F.lit("V6").alias("rule"), F.lit("error").alias("severity"), F.lit(name).alias("subject"), F.col("n").cast("string").alias("object")))
+    outside = nodes.where(event & ~journey).select("x").join(starts, "x", "left_anti").join(ends, "x", "left_anti").join(children(t).select(F.col("child").alias("x")), "x", "left_anti")
+    found.append(outside.select(F.lit("V6").alias("rule"), F.lit("warn").alias("severity"), F.col("x").alias("subject"), F.lit("").alias("object")))
+    told = t.where("p = 'P67'").select(F.col("s").alias("x"), "o").join(nodes.where(letter).select("x"), "x", "left_semi").select(F.col("o").alias("x"))
+    both = told.intersect(t.where(F.col("p").isin(*VISITS)).select(F.col("o").alias("x")))
+    found.append(both.select(F.lit("V8").alias("rule"), F.lit("error").alias("severity"), F.col("x").alias("subject"), F.lit("").alias("object")))
     return reduce(DataFrame.unionByName, found)
 
 
