@@ -261,7 +261,7 @@ def passages(documents: DataFrame, model: Model, text: str = "text", out: str =
     ``MAX_WORDS + MAX_GRAMS`` entries for a language).
     """
     spark = documents.sparkSession
-    documents = spread(documents, text)
+    documents = spread(documents)
     shared = spark.sparkContext.broadcast((model.languages, model.words, model.grams))
     key = (spark.sparkContext.applicationId, shared._jbroadcast.id())
 
