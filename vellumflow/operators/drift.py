@@ -145,7 +145,7 @@ def ingest(files: DataFrame, fields: tuple[Field, ...] = RUN_FIELDS, body: str =
         found = F.col(f"_vf_{f.name}")
         columns += [_scalar(found, f).alias(f.name), found["path"].alias(f"{f.name}_path"), found["kind"].alias(f"{f.name}_kind")]
     unread = F.to_json(F.array(F.col(body)))
-    rescued = F.when(F.col("_vf_v").isNotNull(), _object(rest)).otherwise(F.substr(unread, F.lit(2), F.length(unread) - 2))
+    rescued = F.when(F.col("_vf_v").isNotNull(), _object(rest)).when(F.col(body).isNotNull(), F.substr(unread, F.lit(2), F.length(unread) - 2))
     return df.select(*kept, *columns, rescued.alias("_rescued"), F.col("_vf_v").isNotNull().alias("_readable"))
 
 
