@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vellumflow.operators import drift, nested
-from vellumflow.plans.reference import POINTS_SQL
+from vellumflow.plans.annotation import POINTS_SQL
 from vellumflow.session import table
 
 
