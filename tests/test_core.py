@@ -184,6 +184,17 @@ def test_gazetteer_search_finds_what_comparing_every_pair_finds(spark):
     assert got == brute and got
 
 
+def test_common_subsequence_equals_the_plain_table():
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+        assert linking._common(linking._masks(a), len(a), b) == rows[-1][-1]
+
+
 def test_linking_pipeline(spark):
     a = spark.createDataFrame([(1, "wd", "Q1", 0), (1, "wd", "Q2", 1), (2, "gn", "77", 0)], "mention_key long, kb string, id string, pos int")
     b = spark.createDataFrame([(1, "wd", "Q2", 0), (1, "wd", "Q3", 1)], "mention_key long, kb string, id string, pos int")

@@ -78,17 +78,28 @@ def description(gazetteer: DataFrame) -> DataFrame:
     return gazetteer.withColumn("description", F.concat_ws(", ", mapped(F.col("feature_class"), FEATURE_CLASSES), known(F.col("feature_code")), known(F.col("admin1_code")), known(F.col("country_code")), people))
 
 
+def _masks(text: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for k, c in enumerate(text):
+        out[c] = out.get(c, 0) | (1 << k)
+    return out
+
+
+def _common(masks: dict[str, int], size: int, other: str) -> int:
+    """Length of the longest common subsequence, all rows of a column in the bits of one number."""
+    whole = (1 << size) - 1
+    state = whole
+    for c in other:
+        hit = state & masks.get(c, 0)
+        state = ((state + hit) | (state - hit)) & whole
+    return size - state.bit_count()
+
+
 def indel_ratio(a: str, b: str) -> float:
     """Similarity 0 to 100 by insertions and deletions: twice the longest common subsequence over both lengths."""
     if not a and not b:
         return 100.0
-    last = [0] * (len(b) + 1)
-    for x in a:
-        now = [0]
-        for j, y in enumerate(b, 1):
-            now.append(last[j - 1] + 1 if x == y else max(last[j], now[-1]))
-        last = now
-    return 200.0 * last[-1] / (len(a) + len(b))
+    return 200.0 * _common(_masks(a), len(a), b) / (len(a) + len(b))
 
 
 def partial_ratio(a: str, b: str) -> float:
@@ -96,7 +107,11 @@ def partial_ratio(a: str, b: str) -> float:
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if not short:
         return 100.0 if not long else 0.0
-    return max(indel_ratio(short, long[max(0, k) : k + len(short)]) for k in range(1 - len(short), len(long)))
+    masks, best = _masks(short), 0.0
+    for k in range(1 - len(short), len(long)):
+        part = long[max(0, k) : k + len(short)]
+        best = max(best, 200.0 * _common(masks, len(short), part) / (len(short) + len(part)))
+    return best
 
 
 @F.pandas_udf(DoubleType())

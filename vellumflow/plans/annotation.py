@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellumflow import external
 from vellumflow.functions import ids
 from vellumflow.functions import text as tx
-from vellumflow.operators import editions, geometry, graph, linking, metrics, nested, pages, runs, spans
+from vellumflow.operators import align, editions, geometry, graph, linking, metrics, nested, pages, relations, runs, spans
 from vellumflow.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -620,3 +621,127 @@ def annotated_names(spark, d):
 def page_overlay(spark, d):
     rows = _line_rows(spark, d).withColumn("b", geometry.bbox(geometry.point_list(F.col("coords"))))
     return editions.overlay(rows.select("rec_id", F.struct("region_idx", "is_sub", "region_id", "line_idx").alias("seq"), "text", "b.*"), ["rec_id"])
+
+
+# Relations: each user's events as a model's answer, props.k as the mention.
+
+def _answers(spark, d):
+    e = table(spark, d, "events").withColumn("m", F.concat(F.lit("e"), F.get_json_object("props", "$.k")))
+    kind = F.col("event_type")
+    body = F.struct(
+        F.concat(F.lit("ev"), F.col("event_id").cast("string")).alias("id"), kind.alias("type"), F.when(kind == "purchase", F.col("m")).alias("moved_to"),
+        F.when(kind == "click", F.col("m")).alias("took_place_at"), F.when(kind == "view", F.array("m")).alias("near_places"),
+    )
+    lists = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", body.alias("b")))), lambda x: x["b"]).alias("events"))
+    return lists.select(F.col("user_id").alias("doc_id"), F.to_json(F.struct("events")).alias("body"))
+
+
+_ANSWERS = "a as (select user_id as doc, 'e' || json_extract_string(props, '$.k') as mention_id, event_id, ts, event_type from events), r as (select *, case event_type when 'purchase' then 'TO' when 'click' then 'IN' when 'view' then 'NEAR' end as category from a)"
+
+
+@query(f"with {_ANSWERS} select doc, mention_id, coalesce(arg_min(category, (ts, event_id)) filter (category is not null), 'NO_REL') as category from r group by 1, 2")
+def relation_predictions(spark, d):
+    answers = _answers(spark, d)
+    tops = table(spark, d, "events").select(F.col("user_id").alias("doc"), F.concat(F.lit("e"), F.get_json_object("props", "$.k")).alias("mention_id")).distinct()
+    return relations.predictions(relations.events(answers), relations.toponym_relations(answers), tops)
+
+
+@query(f"with {_ANSWERS}, u as (select doc, mention_id, event_id, ts, case event_type when 'purchase' then 'moved_to' when 'click' then 'took_place_at' else 'near_places' end as role from r where category is not null) select doc, mention_id, string_agg(distinct role, ',' order by role) as roles, count(distinct event_id) as n_events, 'ev' || arg_min(event_id, (ts, event_id)) as first_event from u group by 1, 2")
+def relation_role_map(spark, d):
+    rows = relations.role_map(relations.events(_answers(spark, d)))
+    return rows.select("doc", "mention_id", F.array_join("roles", ",").alias("roles"), F.size("events").cast("long").alias("n_events"), F.get("events", F.lit(0)).alias("first_event"))
+
+
+@query(f"with {_ANSWERS} select doc, 'missing' as issue, mention_id as subject, '' as detail from (select distinct doc, mention_id from r)")
+def relation_issues(spark, d):
+    answers = _answers(spark, d)
+    tops = table(spark, d, "events").select(F.col("user_id").alias("doc"), F.concat(F.lit("e"), F.get_json_object("props", "$.k")).alias("mention_id")).distinct().withColumn("is_toponym", F.lit(True))
+    return relations.issues(relations.events(answers), relations.toponym_relations(answers), tops)
+
+
+# Graph: links to knowledge bases, via points, citations.
+
+
+@query(f"select distinct s, 'closeMatch' as p, o from (select mention_id::varchar as s, {_KB.format(c='wikidata_qid')} as o from qrank_matched union all select mention_id::varchar, {_KB.format(c='geonames_id')} from qrank_matched) where o is not null")
+def graph_kb_links(spark, d):
+    return graph.kb_links(table(spark, d, "qrank_matched").select(F.col("mention_id").cast("string").alias("uri"), F.col("wikidata_qid").alias("wd"), F.col("geonames_id").alias("gn")))
+
+
+@query("with m as (select o_orderkey, o_custkey from orders), v as (select l_orderkey, l_linenumber - 1 as k, l_partkey, l_suppkey from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice) as n from lineitem) where n = 1), o as (select l_orderkey, row_number() over (partition by l_orderkey order by k) - 1 as k, l_partkey from v), known as (select * from o where l_partkey in (select p_partkey from part where p_size > 10)) select 'E' || l_orderkey as event, 'E' || l_orderkey || '.VP' || lpad((k + 1)::varchar, 4, '0') as sub_event, coalesce(lag('p' || l_partkey) over (partition by l_orderkey order by k), 'c' || o_custkey) as \"from\", 'p' || l_partkey as \"to\" from known join m on l_orderkey = o_orderkey")
+def graph_via_points(spark, d):
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_extendedprice")).alias("x"))
+    via = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "x"))), lambda e: F.concat(F.lit("p"), e["x"]["l_partkey"].cast("string"))).alias("via"))
+    moves = via.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("E"), F.col("o_orderkey").cast("string")).alias("event"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("moved_from"), "via")
+    known = table(spark, d, "part").where("p_size > 10").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("mention"))
+    return graph.via_points(moves, known)
+
+
+@query("select 'P' || l_partkey as mention, arg_min('E' || l_orderkey, (l_shipdate, l_orderkey)) as event from lineitem group by 1")
+def graph_citations(spark, d):
+    l = table(spark, d, "lineitem")
+    t = l.select(F.concat(F.lit("E"), F.col("l_orderkey").cast("string"), F.lit("/"), F.date_format("l_shipdate", "yyyyMMdd")).alias("s"), F.lit("P129").alias("p"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("o"))
+    order = l.select(F.concat(F.lit("E"), F.col("l_orderkey").cast("string"), F.lit("/"), F.date_format("l_shipdate", "yyyyMMdd")).alias("event"), F.struct("l_shipdate", "l_orderkey").alias("seq")).distinct()
+    return graph.citations(t, order).select("mention", F.split("event", "/")[0].alias("event"))
+
+
+@query("with t as (select 'e' || c_custkey as e, c_nationkey as letter, c_custkey as pos, case when c_custkey % 3 = 0 then null else 'Q' || floor(c_acctbal / 500)::bigint end as wd from customer) select letter, pos, coalesce(min(pos) over (partition by letter, wd), pos) as uri_of from t where wd is not null union all select letter, pos, pos from t where wd is null")
+def graph_shared_uris(spark, d):
+    c = table(spark, d, "customer")
+    wd = F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("Q"), F.floor(F.col("c_acctbal") / 500).cast("string")))
+    rows = c.select(F.col("c_nationkey").alias("letter"), F.col("c_custkey").alias("pos"), wd.alias("wd"), F.lit(None).cast("string").alias("gn"))
+    return graph.uris(rows, ["letter"]).select("letter", "pos", "uri_of")
+
+
+# Runs by their file names, alignment, editions, models asked once.
+
+_RUN = r"^(.*)__([^_]+(?:_[^_]+)*?)_t([0-9]+(?:\.[0-9]+)?)(?:_think([A-Za-z]+))?"
+
+
+@query(f"with s as (select file_id, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') as stem from run_files) select file_id, nullif(regexp_extract(stem, '{_RUN}', 1), '') as source, regexp_replace(nullif(regexp_extract(stem, '{_RUN}', 2), ''), '-([0-9]+(?:\\.[0-9]+)?[bB])$', ':\\1') as model, try_cast(regexp_extract(stem, '{_RUN}', 3) as double) as temperature, nullif(regexp_extract(stem, '{_RUN}', 4), '') as think from s")
+def run_names(spark, d):
+    return table(spark, d, "run_files").select("file_id", ids.linking_run(ids.letter_label(F.col("path"))).alias("r")).select("file_id", "r.*")
+
+
+@query()
+def lines_in_transcription(spark, d):
+    # A page's lines against its own text, as it was joined for reading.
+    lines = _line_rows(spark, d).where("text is not null and not is_sub")
+    listed = lines.groupBy(F.col("rec_id").alias("key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("region_reading_idx", "region_idx", "reading_idx", "line_idx", "text"))), lambda x: x["text"]).alias("lines"))
+    return align.tiled(listed.select("key", F.array_join("lines", " ").alias("text"), "lines"))
+
+
+@query("select doc_id, length(text) - length(replace(substring(text, 1, 200), e'\\n', '')) - greatest(length(text) - 200, 0) as line_idx from documents")
+def line_of_position(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return align.line_of(docs.select("doc_id", F.lit(200).alias("start")), docs, "doc_id").select("doc_id", F.col("line_idx").cast("long").alias("line_idx"))
+
+
+@query()
+def alto_editions(spark, d):
+    boxes = _line_rows(spark, d).withColumn("b", geometry.bbox(geometry.point_list(F.col("coords")))).where("b is not null and text is not null")
+    keyed = boxes.select(F.concat_ws("/", F.col("rec_id").cast("string"), "parent_region_id", "region_id", "line_id").alias("doc_id"), "rec_id", "region_id", "region_idx", "line_id", "line_idx", "text", "b")
+    tokens = pages.tokenized(keyed, "doc_id").withColumn("len", F.length("token"))
+    known = keyed.select(F.col("doc_id").alias("_k"), "rec_id", "region_id", "region_idx", "line_id", "line_idx", F.col("b.x0").alias("x0"), (F.col("b.x1") - F.col("b.x0")).alias("width"), F.col("b.y0").alias("y"), (F.col("b.y1") - F.col("b.y0")).alias("h"))
+    words = geometry.word_boxes(tokens.join(known, F.col("doc_id") == F.col("_k")), ["doc_id"], "id", "x0", "width", "len")
+    return editions.alto_pages(
+        words.select("rec_id", F.col("region_id").alias("block_id"), F.col("region_idx").alias("block_seq"), "line_id", F.col("line_idx").alias("line_seq"), F.col("id").alias("word_seq"), F.col("token").alias("text"), "x", "y", "w", "h", F.lit(None).cast("string").alias("tagrefs")), ["rec_id"]
+    )
+
+
+@query()
+def linked_by_model(spark, d):
+    """The whole linking pipeline with the deterministic stand-ins: eligible mentions, two lanes, ranking, selection."""
+    mentions = linking.eligible(table(spark, d, "qrank_matched")).select(F.col("wikidata_label").alias("text"), "label", "wikidata_qid", "mention_id")
+    once = linking.once_for_each(mentions.where("text is not null"), ["text", "label"], "wikidata_qid", "mention_id").withColumnRenamed("first", "mention_key")
+    by_name = linking.gazetteer_search(once, table(spark, d, "gazetteer")).select("mention_key", F.lit("gn").alias("kb"), F.col("geonameid").cast("string").alias("id"), F.col("name").alias("label"), "pos")
+    by_dump = once.where(ids.is_qid(F.col("wikidata_qid"))).select("mention_key", F.lit("wd").alias("kb"), F.col("wikidata_qid").alias("id"), F.col("text").alias("label"), F.lit(1).alias("pos"))
+    candidates = linking.merged_lanes([by_name, by_dump])
+    listed = candidates.withColumns({"description": F.lit(""), "source": F.col("kb")})
+
+    def asked(rows: DataFrame, order: str, model) -> DataFrame:
+        prompts = rows.groupBy("mention_key", "kb").agg(tx.candidate_list(F.transform(F.array_sort(F.collect_list(F.struct(order, "id", "label", "description", "source"))), lambda x: x)).alias("prompt"))
+        answers = external.asked(prompts, model).select(F.col("prompt").alias("_p"), "answer")
+        return prompts.join(answers, F.col("prompt") == F.col("_p"), "left").select("mention_key", "kb", "answer")
+
+    top = linking.reranked(listed, asked(listed, "pos", external.rerank_stub))
+    return linking.selected(top, asked(top, "rank", external.select_stub))

@@ -19,6 +19,10 @@ def p1_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p1_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.changes(table(spark, sf_dir, "run_files"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.points(table(spark, sf_dir, "page_scans")).drop("x", "y")
 
@@ -31,5 +35,5 @@ def p3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.lines(table(spark, sf_dir, "page_scans"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_table, p3_found, p3_regions, p3_lines)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_table, p3_found, p3_regions, p3_lines)}
 SQL: dict[str, str] = {"p3_found": POINTS_SQL}
