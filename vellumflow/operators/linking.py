@@ -149,6 +149,8 @@ def gazetteer_search(mentions: DataFrame, gazetteer: DataFrame, key: str = "ment
     left = texts.select("t", F.size(_grams(F.col("t"))).alias("n"), F.explode(_grams(F.col("t"))).alias("g"))
     right = names.select("geonameid", "form", F.explode(_grams(F.col("form"))).alias("g"))
     shared = left.join(right, "g").groupBy("t", "n", "geonameid", "form").agg(F.count(F.lit(1)).alias("k")).where("3 * k >= n")
+    # Few bytes but much work by row: keep all partitions, which coalescing by bytes would merge.
+    shared = shared.repartition(int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", "geonameid", "form")
     scored = shared.withColumn("s", name_similarity("t", "form")).where(F.col("s") >= least).groupBy("t", "geonameid").agg(F.max("s").alias("s"))
     info = gazetteer.select("geonameid", "name", F.coalesce("population", F.lit(0)).alias("population"), "feature_class")
     full = scored.join(info, "geonameid")
