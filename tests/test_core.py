@@ -279,3 +279,45 @@ def test_nested_points_with_all_kinds_of_gaps(spark):
 def test_spread_keeps_rows(spark):
     df = spark.range(100).coalesce(1)
     assert spread(df, "id").rdd.getNumPartitions() >= 4 and spread(df, "id").count() == 100
+
+
+def test_page_labels_sort_by_each_convention(spark):
+    df = spark.createDataFrame([(x,) for x in ("10", "XIV", "2", "IX", "los", None)], "page string")
+    order = lambda how: [r.page for r in df.orderBy(tx.page_sort(F.col("page"), how), "page").collect()]
+    assert [x for x in order("tuple") if x] == ["2", "10", "IX", "XIV", "los"]
+    assert [x for x in order("lookup") if x] == ["IX", "XIV", "2", "10", "los"]
+    assert [r.n for r in df.orderBy("page").select(tx.page_sort(F.col("page"), "int").alias("n")).where("n is not null").collect()] == [10, 2]
+
+
+def test_via_points_keep_their_numbers(spark):
+    moves = spark.createDataFrame([("E", "a", ["x", "?", "y"]), ("F", "b", [])], "event string, moved_from string, via array<string>")
+    known = spark.createDataFrame([("x",), ("y",)], "mention string")
+    assert _rows(graph.via_points(moves, known), "sub_event", "from", "to") == [("E.VP0001", "a", "x"), ("E.VP0003", "x", "y")]
+
+
+def test_ordering_leaves_sub_events_out(spark):
+    df = spark.createDataFrame([("l", 1, "a", None), ("l", 2, "b", "a"), ("l", 3, "c", "null"), ("m", 1, "d", None)], "letter string, seq int, event string, falls_within string")
+    assert _rows(graph.ordering(df, ["letter"], ["seq"]), "s", "p", "o") == [("a", "P183", "c")]
+
+
+def test_pitch_and_boxes(spark):
+    df = spark.createDataFrame([(1, "r", 10.0, 1), (1, "r", 30.0, 2), (1, "s", 5.0, 1), (1, "s", 45.0, 2), (2, "r", 7.0, 1)], "page int, region string, y double, i int")
+    assert _rows(geometry.pitch(df, ["page"], ["region"], "y", "i"), "page", "pitch") == [(1, 30.0), (2, 72.0)]
+    box = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(9.0).alias("x1"), F.lit(50.0).alias("y1"))
+    one = lambda base, prev: tuple(spark.range(1).select(geometry.line_box(box, base, F.lit(20.0), prev, F.lit(None).cast("double")).alias("b")).first().b)
+    assert one(F.lit(30.0), F.lit(None).cast("double")) == (0.0, 16.0, 9.0, 36.0)
+    assert one(F.lit(30.0), F.lit(10.0)) == (0.0, 20.0, 9.0, 36.0)
+    assert one(F.lit(None).cast("double"), F.lit(10.0)) == (0.0, 0.0, 9.0, 50.0)
+
+
+def test_completion_consensus_and_statuses(spark):
+    grid = spark.createDataFrame([("m", "a"), ("m", "b"), ("n", "a")], "model string, cell string")
+    done = spark.createDataFrame([("m", "a"), ("m", "a")], "model string, cell string")
+    assert _rows(runs.completion(grid, done, ["model", "cell"], "model", "cell"), "model", "n_done", "n_cells", "missing") == [("m", 1, 2, "b"), ("n", 0, 1, "a")]
+    assert _rows(runs.pending(grid, done, ["model", "cell"]), "model", "cell") == [("m", "b"), ("n", "a")]
+    errors = spark.createDataFrame([(None, "m1"), (None, "m2"), (None, "m2"), ("x", "m1")], "text string, model string")
+    assert _rows(runs.consensus(errors, ["text"], "model", 4), "text", "n_models", "n_runs", "models", "miss_rate") == [("x", 1, 1, "m1", 0.25), (None, 2, 3, "m1, m2", 0.5)]
+    scans = spark.createDataFrame([(1,), (2,), (3,)], "scan int")
+    mapping = spark.createDataFrame([(1, "I"), (2, "II")], "scan int, page string")
+    truth = spark.createDataFrame([("I", "tekst"), ("II", " ")], "page string, text string")
+    assert _rows(align.correction_status(scans, mapping, truth), "scan", "status") == [(1, "mapping_attempted"), (2, "no_gt"), (3, "no_mapping")]
