@@ -156,14 +156,19 @@ def test_text_functions(spark):
     one = lambda c, **v: spark.range(1).select(*[F.lit(x).alias(k) for k, x in v.items()]).select(c.alias("r")).first().r if v else spark.range(1).select(c.alias("r")).first().r
     assert one(tx.roman(F.lit("XIV"))) == 14 and one(tx.roman(F.lit("xl"))) == 40 and one(tx.roman(F.lit("12"))) is None
     assert one(tx.rerank_scores(F.lit("1: 8.5\n2) 7\n3. 6,5\n4 - 3"), F.lit(5))) == [0.85, 0.7, 0.65, 0.3, 0.0]
-    assert one(tx.rerank_scores(F.lit("8 en 4"), F.lit(3))) == [0.8, 0.4, 0.0] and one(tx.rerank_scores(F.lit(None).cast("string"), F.lit(2))) == [0.0, 0.0]
+    assert one(tx.rerank_scores(F.lit("8\n 4,5 \nja 3"), F.lit(3))) == [0.8, 0.45, 0.0] and one(tx.rerank_scores(F.lit("1: 0\n7\n1: 2"), F.lit(1))) == [0.2] and one(tx.rerank_scores(F.lit(None).cast("string"), F.lit(2))) == [0.0, 0.0]
     c = F.array(F.lit("Q9"), F.lit("456"))
-    for answer, wanted in {"Q123 want": "Q123", "gn:456": "456", "NIL": None, "2": "456", "het is 456!": "456", "niets": None}.items():
+    for answer, wanted in {"Q123 want": "Q123", "gn:456": "gn:456", "NIL": None, "2": "456", "het is 456!": "456", "niets": None, "2 of 3": None, "0": None}.items():
         assert one(tx.selected_id(F.lit(answer), c)) == wanted, answer
     for answer, wanted in {'```json\n{"a": "}"}\n```': '{"a": "}"}', 'proza {"a": {"b": 1}} en {"c": 2}': '{"a": {"b": 1}}', '{"a": 1': None, "niets": None}.items():
         assert one(tx.json_in(F.lit(answer))) == wanted, answer
     assert one(tx.location_terms(F.lit("Utrecht, Europa; de; Den Haag"))) == ["utrecht", "den haag"]
-    assert one(tx.specific_vehicle(F.lit("de trekschuit"))) and not one(tx.specific_vehicle(F.lit("te voet")))
+    for mode, wanted in {"de trekschuit": True, "te voet": False, "Postwagens": True, "per schip": False, "trekschuit": False}.items():
+        assert one(tx.specific_vehicle(F.lit(mode))) == wanted, mode
+    assert one(tx.mode_of(F.lit("reis met de kar met paarden."))) == "paarden" and one(tx.mode_of(F.lit("reis"))) is None
+    assert tuple(one(tx.entity_refs(F.lit(None).cast("string"), F.lit("7")))) == ("https://sws.geonames.org/7/", "7")
+    assert one(ids.cidoc_type(F.lit("crm/F2_E18"), F.lit("x"), ids.TYPE_BY_ID, ids.TYPE_BY_VALUE)) == "E18_Physical_Thing"
+    assert one(ids.cidoc_type(F.lit(""), F.lit("Mode of Transportation"), ids.TYPE_BY_ID, ids.TYPE_BY_VALUE)) == "Mode_of_Transportation"
     assert one(tx.markup(F.lit("ab cd"), F.array(F.struct(F.lit(3).alias("start"), F.lit(5).alias("end"), F.lit("P").alias("label"), F.lit("e1").alias("id"))))) == "ab [cd](P, e1)"
     assert one(ids.integral_id(F.lit(" gn:2935704.0"))) == "2935704" and one(ids.kb_id(F.lit("none"))) is None and one(ids.integral_id(F.lit("nan"))) is None
     r = one(ids.ner_run(F.lit("1816_third_letter__gemma4:31b_t0.1_fewshot_dutch")))
@@ -245,7 +250,7 @@ def test_editions_lose_nothing(spark):
     ents = spark.createDataFrame([(1, 21, 25, "E53_Place", "Q1", 'k"1'), (1, 4, 11, "X", None, None)], "doc_id long, start long, end long, label string, ref string, ent_key string")
     tei = editions.tei(letters, ents)
     xml = tei.where("doc_id = 1").first().xml
-    assert '<pb n="12"/>' in xml and "<note>illustratie van X</note>" in xml and '<placeName ref="Q1" key="k&quot;1">&lt;N.&gt;</placeName>' in xml
+    assert '<pb n="12"/>' in xml and '<note type="editorial">illustratie van X</note>' in xml and '<placeName ref="Q1" key="k&quot;1">&lt;N.&gt;</placeName>' in xml
     assert {r.lossless for r in editions.check_loss(letters, tei).collect()} == {True}
     words = spark.createDataFrame([(1, "b", 0, "l", 0, 1, "x<", 5.0, 1.0, 2.0, 3.0, "ne_e1"), (1, "b", 0, "l", 0, 0, "a", 1.0, 1.0, 2.0, 3.0, None)], "page long, block_id string, block_seq int, line_id string, line_seq int, word_seq int, text string, x double, y double, w double, h double, tagrefs string")
     alto = editions.alto_pages(words, ["page"]).first().xml
@@ -305,8 +310,9 @@ def test_pitch_and_boxes(spark):
     assert _rows(geometry.pitch(df, ["page"], ["region"], "y", "i"), "page", "pitch") == [(1, 30.0), (2, 72.0)]
     box = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(9.0).alias("x1"), F.lit(50.0).alias("y1"))
     one = lambda base, prev: tuple(spark.range(1).select(geometry.line_box(box, base, F.lit(20.0), prev, F.lit(None).cast("double")).alias("b")).first().b)
-    assert one(F.lit(30.0), F.lit(None).cast("double")) == (0.0, 16.0, 9.0, 36.0)
-    assert one(F.lit(30.0), F.lit(10.0)) == (0.0, 20.0, 9.0, 36.0)
+    assert one(F.lit(30.0), F.lit(None).cast("double")) == (0.0, 20.0, 9.0, 34.0)
+    assert one(F.lit(30.0), F.lit(18.0)) == (0.0, 24.0, 9.0, 34.0)
+    assert one(F.lit(30.0), F.lit(90.0)) == (0.0, 20.0, 9.0, 34.0)  # crossing baselines
     assert one(F.lit(None).cast("double"), F.lit(10.0)) == (0.0, 0.0, 9.0, 50.0)
 
 

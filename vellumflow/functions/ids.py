@@ -130,6 +130,22 @@ def winner(delta: Column, above: str, below: str, equal: str = "tie") -> Column:
 LABELS = ("E53_Place", "E18_Physical_Thing", "Mode_of_Transportation", "E52_Time_Span", "F2_Expression", "E19_Physical_Object", "E20_Biological_Object", "E31_Document")
 #: Labels that are never linked.
 NOT_LINKED = ("Mode_of_Transportation", "E52_Time_Span", "F2_Expression", "E19_Physical_Object", "E20_Biological_Object", "E31_Document")
+#: Label of a tagging body, by a part of its id (in this order), else by its value.
+TYPE_BY_ID = [("E53", "E53_Place"), ("E18", "E18_Physical_Thing"), ("E52", "E52_Time_Span"), ("E31", "E31_Document"), ("E19", "E19_Physical_Object"), ("E20", "E20_Biological_Object"), ("F2", "F2_Expression")]
+TYPE_BY_VALUE = {
+    "E53 Place": "E53_Place", "E18 Physical Thing": "E18_Physical_Thing", "E52 Time-Span": "E52_Time_Span", "E31 Document": "E31_Document", "E19 Physical Object": "E19_Physical_Object",
+    "E20 Biological Object": "E20_Biological_Object", "Mode of Transportation": "Mode_of_Transportation", "F2 Expression": "F2_Expression",
+}
+#: Tags of a letter's annotators and their labels, by the beginning of the letter's name.
+TAG_MAPS = {
+    "1816": TYPE_BY_VALUE | {"E22 Human-made Object": "Mode_of_Transportation", "Mode_of_Transportation": "Mode_of_Transportation"},
+    "1809": TYPE_BY_VALUE | {"Mode_of_Transportation": "Mode_of_Transportation"},
+}
+#: Readable names of the labels, for models that take them as prompts.
+ALIASES = {
+    "place or location": "E53_Place", "building or physical structure": "E18_Physical_Thing", "mode of transportation": "Mode_of_Transportation", "time or date": "E52_Time_Span",
+    "artistic or creative expression": "F2_Expression", "movable physical object": "E19_Physical_Object", "biological object": "E20_Biological_Object", "specific document, book or publication": "E31_Document",
+}
 #: Spatial categories.
 CATEGORIES = ("IN", "NEAR", "THRU", "TO", "FROM", "NO_REL")
 #: Category that each role of an event stands for.

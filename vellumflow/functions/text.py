@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 #: Terms too broad to filter places by.
-BROAD_TERMS = frozenset(
-    "europe europa world wereld earth aarde germany duitsland netherlands nederland holland country land region regio province provincie state staat north south".split()
-)
+BROAD_TERMS = (
+    "germany", "deutschland", "duitsland", "france", "frankrijk", "netherlands", "nederland", "belgium", "belgie", "belgië",
+    "europe", "europa", "austria", "oostenrijk", "switzerland", "zwitserland", "italy", "italie", "italië", "luxembourg", "luxemburg",
+)
 #: Characters stripped from the ends of a token.
-TOKEN_PUNCTUATION = ".,;:!?()[]{}\"'«»„“”‘’…—–-"
+TOKEN_PUNCTUATION = ".,;:!?\"'()[]…‘’“”·"
 _ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 
 
@@ -77,61 +78,70 @@ def context(text: Column, start: Column, end: Column, window: int | None = None)
 def location_terms(text: Column) -> Column:
     """Terms between commas and semicolons: trimmed, lower-case, longer than three letters, not too broad."""
     parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"[,;]\s*"), lambda x: F.lower(F.trim(x)))
-    return F.filter(parts, lambda x: (F.length(x) > 3) & ~x.isin(*sorted(BROAD_TERMS)))
+    return F.filter(parts, lambda x: (F.length(x) > 3) & ~x.isin(*BROAD_TERMS))
 
 
-#: Patterns of vehicles in general, words of vehicles, articles.
-GENERIC_VEHICLES = r"^(?:te voet|te paard|per |met de wagen|on foot|by )"
-VEHICLE_WORDS = ("schip", "trekschuit", "schuit", "boot", "diligence", "postwagen", "wagen", "koets", "rytuig", "kar", "veerpont", "marktschip", "muilezel")
-ARTICLES = ("de", "het", "een", "eene", "den", "the", "a", "an")
+#: Ways of travelling in general, words of vehicles, words that single one out.
+GENERIC_MODES = ("walking", "wandelen", "wandeling", "te voet", "te paard", "per schip", "per boot", "varen", "vliegen", "rijden")
+VEHICLE_WORDS = ("wagen", "rytuig", "rijtuig", "koets", "kar", "karos", "chaise", "postwagen", "extrapost", "diligence", "sjees", "calèche", "barouchette", "munstersche")
+SINGLING_WORDS = ("de", "het", "een", "onze", "mijn")
 
 
 def specific_vehicle(text: Column) -> Column:
-    """Whether a mode names one vehicle: general patterns don't, vehicle words and articles do."""
+    """Whether a mode names one vehicle: general modes don't, then vehicle words and singling words do (the first two anywhere in the text)."""
     low = F.lower(F.trim(text))
-    words = F.split(low, r"\s+")
-    return F.when(low.rlike(GENERIC_VEHICLES), False).when(F.arrays_overlap(words, F.array(*map(F.lit, VEHICLE_WORDS))), True).otherwise(F.arrays_overlap(words, F.array(*map(F.lit, ARTICLES))))
+    holds = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    return F.when(holds(GENERIC_MODES), False).when(holds(VEHICLE_WORDS), True).otherwise(F.arrays_overlap(F.split(low, r"\s+"), F.array(*map(F.lit, SINGLING_WORDS))))
 
 
 def rerank_scores(answer: Column, n: Column) -> Column:
-    """Scores (0 to 1) of n candidates from a ranking answer: ``1: 8.5`` or ``2) 7`` lines by number, else bare numbers by place, else 0."""
-    lines = F.split(F.coalesce(answer, F.lit("")), "\n")
+    """Scores (0 to 1) of n candidates from a ranking answer.
+
+    Lines that begin with a place, a mark and a number (``1: 8.5``, ``2) 7``) score
+    that place, the last one counts. If all come to 0, the lines that are a bare
+    number score the candidates in turn. What has no score has 0.
+    """
+    lines = F.transform(F.split(F.coalesce(answer, F.lit("")), "\n"), lambda x: F.trim(x))
+    number = lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("double")
+    said = r"^(\d+)\s*[):.\-_]\s*(\d+(?:[.,]\d+)?)"
     numbered = F.transform(
-        F.filter(lines, lambda x: x.rlike(r"^\s*\d+\s*[):.\-_]\s*\d")),
-        lambda x: F.struct(
-            F.regexp_extract(x, r"^\s*(\d+)\s*[):.\-_]\s*(\d+(?:[.,]\d+)?)", 1).try_cast("int").alias("k"),
-            F.replace(F.regexp_extract(x, r"^\s*(\d+)\s*[):.\-_]\s*(\d+(?:[.,]\d+)?)", 2), F.lit(","), F.lit(".")).try_cast("double").alias("v"),
-        ),
+        F.filter(lines, lambda x: x.rlike(said)), lambda x: F.struct(F.regexp_extract(x, said, 1).try_cast("int").alias("k"), number(F.regexp_extract(x, said, 2)).alias("v"))
     )
-    bare = F.transform(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"(\d+(?:[.,]\d+)?)"), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("double"))
+    bare = F.transform(F.filter(lines, lambda x: x.rlike(r"^\d+(?:[.,]\d+)?$")), number)
     places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    by_number = F.transform(places, lambda k: F.coalesce(F.get(F.filter(numbered, lambda s: s["k"] == k), F.lit(0))["v"], F.lit(0.0)) / 10)
+    by_number = F.transform(places, lambda k: F.coalesce(F.get(F.reverse(F.filter(numbered, lambda s: s["k"] == k)), F.lit(0))["v"], F.lit(0.0)) / 10)
     by_place = F.transform(places, lambda k: F.coalesce(F.get(bare, k - 1), F.lit(0.0)) / 10)
-    return F.when(F.size(numbered) > 0, by_number).otherwise(by_place)
+    return F.when(F.exists(by_number, lambda v: v != 0), by_number).otherwise(by_place)
 
 
 def selected_id(answer: Column, candidates: Column) -> Column:
-    """Id that a selecting answer names, null for none.
+    """Id that a selecting answer names, null (NIL) for none.
 
-    First ``Q123``, then ``gn:123``, then NIL, then any candidate's id in the text,
-    then a bare number as the place in the list. A Q-id that is no candidate counts.
+    First ``Q123``, then ``gn:123`` (prefix kept), then NIL, then the first candidate
+    whose id stands in the text, then an answer that is a bare number as the place in
+    the list. A Q-id that is no candidate counts.
     """
     qid = F.nullif(F.regexp_extract(answer, r"(Q\d+)", 1), F.lit(""))
-    gn = F.nullif(F.regexp_extract(answer, r"gn:(\d+)", 1), F.lit(""))
+    gn = F.nullif(F.regexp_extract(answer, r"(gn:\d+)", 1), F.lit(""))
     listed = F.get(F.filter(candidates, lambda c: F.contains(answer, c)), F.lit(0))
-    place = F.regexp_extract(F.trim(answer), r"^(\d+)\b", 1).try_cast("int")
-    return F.when(qid.isNotNull(), qid).when(gn.isNotNull(), gn).when(F.upper(answer).contains("NIL"), None).otherwise(F.coalesce(listed, F.get(candidates, place - 1)))
+    place = F.trim(answer).try_cast("int")
+    return F.when(qid.isNotNull(), qid).when(gn.isNotNull(), gn).when(F.upper(answer).contains("NIL"), None).otherwise(F.coalesce(listed, F.when(place > 0, F.get(candidates, place - 1))))
+
+
+#: How the lane of a candidate is shown.
+SOURCE_TAGS = {"wikidata_text": "[Wikidata]", "wikidata_hybrid_epg": "[Wikidata]", "wikipedia_epg": "[Wikipedia]", "geonames_epg": "[GeoNames]"}
 
 
 def candidate_list(candidates: Column) -> Column:
-    """Numbered lines of array<struct<id,label,description,source>>."""
+    """Numbered text of array<struct<id,label,description,source>>: id and tag, then label and description on lines of their own."""
+    from vellumflow.functions.ids import mapped
+
     return F.array_join(
         F.transform(
             candidates,
             lambda c, i: F.concat(
-                (i + 1).cast("string"), F.lit(". "), c["id"], F.lit(" | "), F.coalesce(c["label"], F.lit("")),
-                F.when(F.coalesce(c["description"], F.lit("")) != "", F.concat(F.lit(" — "), c["description"])).otherwise(F.lit("")),
-                F.when(F.coalesce(c["source"], F.lit("")) != "", F.concat(F.lit(" ["), c["source"], F.lit("]"))).otherwise(F.lit("")),
+                (i + 1).cast("string"), F.lit(". "), c["id"], F.lit(" "), F.coalesce(mapped(c["source"], SOURCE_TAGS), F.lit("")),
+                F.lit("\n   Naam: "), F.coalesce(c["label"], F.lit("")), F.lit("\n   Beschrijving: "), F.coalesce(c["description"], F.lit("")),
             ),
         ),
         "\n",
@@ -145,8 +155,8 @@ def xml_escaped(text: Column) -> Column:
     return out
 
 
-#: TEI element of each label.
-TEI_TAGS = {"E53_Place": "placeName", "E18_Physical_Thing": "objectName", "E19_Physical_Object": "objectName", "E20_Biological_Object": "rs", "E52_Time_Span": "date", "F2_Expression": "title", "E31_Document": "title", "Mode_of_Transportation": "rs"}
+#: TEI element of each label; others are ``rs``.
+TEI_TAGS = {"E53_Place": "placeName", "E21_Person": "persName", "E39_Actor": "persName", "E74_Group": "orgName", "E52_Time-Span": "date"}
 
 
 def tei_tag(label: Column) -> Column:
@@ -155,14 +165,20 @@ def tei_tag(label: Column) -> Column:
     return F.coalesce(mapped(label, TEI_TAGS), F.lit("rs"))
 
 
-def event_kind(types: Column) -> Column:
-    """move, indoor stay or outdoor stay, from the set of an event's types and roles."""
-    return F.when(F.array_contains(types, "E9"), "move").when(F.array_contains(types, "P8"), "indoor stay").otherwise("outdoor stay")
+def entity_refs(wd: Column, gn: Column) -> Column:
+    """struct<ref, key>: addresses of both knowledge bases and the first id there is; nulls without any."""
+    ref = F.concat_ws(" ", F.concat(F.lit("http://www.wikidata.org/entity/"), wd), F.concat(F.lit("https://sws.geonames.org/"), gn, F.lit("/")))
+    return F.struct(F.nullif(ref, F.lit("")).alias("ref"), F.coalesce(wd, gn).alias("key"))
+
+
+def event_kind(is_move: Column, within: Column) -> Column:
+    """translocation, indoor_tour (something is visited from within) or outdoor_tour/stay."""
+    return F.when(is_move, "translocation").when(within.isNotNull(), "indoor_tour").otherwise("outdoor_tour/stay")
 
 
 def mode_of(label: Column) -> Column:
-    """What follows the last `` met `` of a label, null if there is none."""
-    return F.when(F.contains(label, F.lit(" met ")), F.substring_index(label, " met ", -1))
+    """What follows the last `` met `` of a label, without closing stops; null if there is none."""
+    return F.when(F.contains(F.lower(label), F.lit(" met ")), F.rtrim(F.substring_index(label, " met ", -1), F.lit(".")))
 
 
 def balanced_object(text: str | None) -> str | None:

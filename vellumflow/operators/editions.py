@@ -47,14 +47,14 @@ def alto_pages(words: DataFrame, keys: list[str], tags: DataFrame | None = None)
 
 
 def tei_body(text: Column, spans: Column) -> Column:
-    """A letter's text with its entities as TEI elements, page markers as ``pb``, editors' notes as ``note``, line breaks as ``lb``.
+    """A letter's text with its entities as TEI elements, page markers as ``pb``, other text in brackets as editors' notes, line breaks as ``lb``.
 
     spans: array<struct<start,end,label,ref,key>>, without overlaps. What is escaped
     is escaped once; no character of the text is lost.
     """
     def plain(piece: Column) -> Column:
         marked = F.regexp_replace(xml_escaped(piece), r"\[([IVXLCDM]+|\d+)\]", '<pb n="$1"/>')
-        noted = F.regexp_replace(marked, r"\[((?:illustratie|noot|afbeelding|illustration|note)[^\]]*)\]", "<note>$1</note>")
+        noted = F.regexp_replace(marked, r"\[([^\]]+)\]", '<note type="editorial">$1</note>')
         return F.regexp_replace(noted, r"\n", "<lb/>\n")
 
     ordered = F.array_sort(spans)
@@ -93,7 +93,7 @@ def overlay(lines: DataFrame, keys: list[str]) -> DataFrame:
 def check_loss(letters: DataFrame, editions: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, lossless: whether an edition without its elements holds the letter's text, markers and notes included."""
     bare = F.regexp_replace("xml", r'<pb n="([^"]*)"/>', "[$1]")
-    bare = F.regexp_replace(bare, r"<note>(.*?)</note>", "[$1]")
+    bare = F.regexp_replace(bare, r'(?s)<note type="editorial">(.*?)</note>', "[$1]")
     bare = F.regexp_replace(bare, r"<[^>]+>", "")
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(a), F.lit(b))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellumflow.operators.nested import usable_points
 
 #: Pitch of lines in pixels where a page tells none, and parts of it above and below a baseline.
-PITCH, ABOVE, BELOW = 72.0, 0.70, 0.30
+PITCH, ABOVE, BELOW = 72.0, 0.5, 0.2
 
 
 def point_list(points: Column) -> Column:
@@ -68,17 +68,18 @@ def pitch(lines: DataFrame, page: list[str], region: list[str], y: str, order: s
 def line_box(box: Column, base: Column, page_pitch: Column, prev_y: Column, next_y: Column) -> Column:
     """struct<x0,y0,x1,y1> of a line around its baseline, within its polygon's box and the middle to its neighbours.
 
-    Without a baseline, or where nothing is left, the polygon's box.
+    Where nothing is left between these (crossing baselines), the reach around the
+    baseline alone; without a baseline, the polygon's box. Null without a polygon.
     """
-    top = F.greatest(box["y0"], base - ABOVE * page_pitch, F.coalesce((base + prev_y) / 2, box["y0"]))
-    low = F.least(box["y1"], base + BELOW * page_pitch, F.coalesce((base + next_y) / 2, box["y1"]))
-    own = F.struct(box["x0"].alias("x0"), F.bround(top).alias("y0"), box["x1"].alias("x1"), F.bround(low).alias("y1"))
-    whole = F.struct(box["x0"].alias("x0"), box["y0"].alias("y0"), box["x1"].alias("x1"), box["y1"].alias("y1"))
-    return F.when(base.isNull() | (low <= top), whole).otherwise(own)
+    high, deep = base - ABOVE * page_pitch, base + BELOW * page_pitch
+    top = F.greatest(box["y0"], high, F.coalesce((base + prev_y) / 2, box["y0"]))
+    low = F.least(box["y1"], deep, F.coalesce((base + next_y) / 2, box["y1"]))
+    made = lambda t, b: F.struct(F.bround(box["x0"]).alias("x0"), F.bround(t).alias("y0"), F.bround(box["x1"]).alias("x1"), F.bround(b).alias("y1"))
+    return F.when(box.isNull(), None).when(base.isNull(), made(box["y0"], box["y1"])).when(low < top, made(high, deep)).otherwise(made(top, low))
 
 
 def word_boxes(tokens: DataFrame, keys: list[str], order: str, x0: str, width: str, length: str) -> DataFrame:
-    """Tokens with ``x`` and ``w``: the line's width shared by length, each share rounded half to even."""
+    """Tokens with ``x`` and ``w``: the line's width shared by length over all runs given (words, and spaces if they are there), each share rounded half to even."""
     line = Window.partitionBy(*keys)
     share = F.bround(F.col(width) * F.col(length) / F.sum(length).over(line))
     before = line.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -11,8 +11,26 @@ from vellumflow.functions.ids import NOT_LINKED, is_qid
 from vellumflow.functions.text import rerank_scores, selected_id
 from vellumflow.operators.spans import first_by
 
-#: Classes of the gazetteer.
-FEATURE_CLASSES = {"A": "administrative region", "H": "water", "L": "area", "P": "populated place", "R": "road", "S": "spot or building", "T": "mountain or hill", "U": "undersea", "V": "vegetation"}
+# Names of the gazetteer's classes, of its codes, and of the states of Germany.
+FEATURE_CLASSES = {
+    "P": "populated place", "A": "administrative region", "H": "water feature", "L": "lake", "T": "mountain/hill", "S": "spot/building", "R": "road/railroad", "V": "forest/vegetation", "U": "undersea",
+}
+FEATURE_CODES = {
+    "PPL": "city/town/village", "PPLA": "administrative seat", "PPLA2": "district seat", "PPLA3": "municipality seat", "PPLA4": "borough seat", "PPLC": "capital city", "PPLCH": "historical capital",
+    "PPLF": "farm/village", "PPLG": "seat of government", "PPLH": "historical populated place", "PPLQ": "abandoned place", "PPLR": "religious populated place", "PPLS": "populated locality",
+    "PPLW": "destroyed place", "PPLX": "section of populated place", "ST": "stream", "STM": "stream", "STMI": "intermittent stream", "STMR": "meandering stream", "STMSB": "stream bend", "LK": "lake",
+    "LKI": "intermittent lake", "LKN": "salt lake", "RSV": "reservoir", "RSVT": "water tank", "CNL": "canal", "DTCH": "ditch", "MT": "mountain", "MTT": "mountain range", "HLL": "hill", "HLLS": "hills",
+    "PK": "peak", "RK": "rock", "VLC": "volcano", "VAL": "valley", "PLN": "plain", "FLD": "field", "FRM": "farm", "CH": "church", "CHS": "church (historical)", "MNA": "monastery", "MN": "mine",
+    "MUS": "museum", "HTL": "hotel", "INN": "inn", "CAST": "castle", "PAL": "palace", "FT": "fort", "BTL": "battlefield", "PARK": "park", "GDN": "garden", "SQ": "square", "BRDG": "bridge",
+    "RSTN": "railroad station", "RSTP": "railroad stop", "BD": "border post", "PRK": "parking area", "PYR": "pyramid", "TOWR": "tower", "MNMT": "monument", "FCL": "facility", "HSP": "hospital",
+    "SCH": "school", "UNIV": "university", "THTR": "theater", "LCTY": "locality", "AREA": "area", "RG": "region", "RGN": "region", "ISL": "island", "PEN": "peninsula", "PT": "point", "BAY": "bay",
+    "GULF": "gulf", "STRT": "strait", "CHN": "channel", "HBR": "harbor", "BCH": "beach", "CLF": "cliff", "CAPE": "cape", "FRST": "forest", "PRT": "port", "RUIN": "ruin", "SHRN": "shrine", "WLL": "well",
+    "SPNG": "spring", "FLLS": "waterfall", "GLCR": "glacier", "DAM": "dam", "PIER": "pier", "WHF": "wharf", "LTHSE": "lighthouse", "AIRP": "airport", "CMP": "camp", "CSTL": "castle",
+}
+STATES_DE = {
+    "01": "Baden-Württemberg", "02": "Bayern", "03": "Bremen", "04": "Hamburg", "05": "Hessen", "06": "Niedersachsen", "07": "Nordrhein-Westfalen", "08": "Rheinland-Pfalz", "09": "Saarland",
+    "10": "Schleswig-Holstein", "11": "Brandenburg", "12": "Mecklenburg-Vorpommern", "13": "Sachsen", "14": "Sachsen-Anhalt", "15": "Thüringen", "16": "Berlin",
+}
 
 
 def popularity(dump: DataFrame, entity: str = "entity", score: str = "qrank") -> DataFrame:
@@ -45,10 +63,10 @@ def per_entity(mentions: DataFrame) -> DataFrame:
 
 
 def popularity_bucket(score: Column) -> Column:
-    """Six buckets by powers of ten; null, zero and negative scores are not in the dump."""
+    """Buckets by powers of ten; null, zero and negative scores are not in the dump."""
     return (
-        F.when(score.isNull() | (score <= 0), "not in dump").when(score < 100, "under 100").when(score < 1_000, "under 1k").when(score < 10_000, "under 10k")
-        .when(score < 100_000, "under 100k").when(score < 1_000_000, "under 1M").otherwise("1M and more")
+        F.when(score.isNull() | (score <= 0), "tail (not in QRank)").when(score < 10_000, "tail (<1e4)").when(score < 100_000, "mid  (1e4-1e5)").when(score < 1_000_000, "mid  (1e5-1e6)")
+        .when(score < 10_000_000, "head (1e6-1e7)").otherwise("head (>=1e7)")
     )
 
 
@@ -70,12 +88,14 @@ def coverage(mentions: DataFrame, by: list[str], wd: str, gn: str) -> DataFrame:
 
 
 def description(gazetteer: DataFrame) -> DataFrame:
-    """Gazetteer with ``description``: class, code, admin code, country and population, those that are there."""
+    """Gazetteer with ``description``: name, (class — code), German state, country and population, those that are there."""
     from vellumflow.functions.ids import mapped
 
     known = lambda c: F.when(F.trim(c) != "", c)
+    kind = F.nullif(F.concat_ws(" — ", mapped(F.col("feature_class"), FEATURE_CLASSES), mapped(F.col("feature_code"), FEATURE_CODES)), F.lit(""))
+    state = F.when(F.col("country_code") == "DE", mapped(F.col("admin1_code"), STATES_DE))
     people = F.when(F.col("population") > 0, F.concat(F.lit("pop. "), F.col("population").cast("string")))
-    return gazetteer.withColumn("description", F.concat_ws(", ", mapped(F.col("feature_class"), FEATURE_CLASSES), known(F.col("feature_code")), known(F.col("admin1_code")), known(F.col("country_code")), people))
+    return gazetteer.withColumn("description", F.concat_ws(", ", known(F.coalesce("name", "asciiname")), F.concat(F.lit("("), kind, F.lit(")")), state, known(F.col("country_code")), people))
 
 
 def _masks(text: str) -> dict[str, int]:
@@ -152,10 +172,11 @@ def gazetteer_search(mentions: DataFrame, gazetteer: DataFrame, key: str = "ment
     # Few bytes but much work by row: keep all partitions, which coalescing by bytes would merge.
     shared = shared.repartition(int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", "geonameid", "form")
     scored = shared.withColumn("s", name_similarity("t", "form")).where(F.col("s") >= least).groupBy("t", "geonameid").agg(F.max("s").alias("s"))
-    info = gazetteer.select("geonameid", "name", F.coalesce("population", F.lit(0)).alias("population"), "feature_class")
+    everything = F.lower(F.concat_ws(" ", "name", "asciiname", F.array_join(listed, " "))).alias("everything")
+    info = gazetteer.select("geonameid", "name", F.coalesce("population", F.lit(0)).alias("population"), "feature_class", everything)
     full = scored.join(info, "geonameid")
-    low_t, low_n = F.lower("t"), F.lower("name")
-    bonus = F.when(F.contains(low_n, low_t) | F.contains(low_t, low_n), 10).otherwise(0)
+    low = F.lower("t")
+    bonus = F.when(F.contains(F.col("everything"), low) | F.contains(low, F.col("everything")), 10).otherwise(0)
     s = F.least(F.lit(100.0), F.col("s") + bonus)
     s = F.least(F.lit(100.0), s + F.least(F.lit(20.0), F.col("population") / 10_000))
     s = F.least(F.lit(100.0), s + F.when(F.col("feature_class") == "P", 5).when(F.col("feature_class").isin("H", "L"), 3).otherwise(0))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vellumflow.session import spread
 
 _RUN = re.compile(r"[^ \t\n\x0b\f\r]+")
+_RUN_OR_SPACE = re.compile(r"[^ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+")
 MARKER = r"\[\d+\]"
 ANY_MARKER = r"\[[IVXLCDM\d]+\]"
 
@@ -131,15 +132,17 @@ def remapped(spans: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
     return place(place(spans, "start", "new_start"), "end", "new_end").where("new_end > new_start")
 
 
-def tokenized(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, id (place of the token), token, start, end of the non-space runs of a text, offsets in code points.
+def tokenized(df: DataFrame, key: str, text: str = "text", spaces: bool = False) -> DataFrame:
+    """key, id (place of the token), token, start, end of the non-space runs of a text (and the runs of space), offsets in code points.
 
     One linear pass over each text inside its batch, so neither tokens nor texts are
     shuffled. Null and empty texts give no row.
     """
 
+    pattern = _RUN_OR_SPACE if spaces else _RUN
+
     @F.pandas_udf("array<struct<id:int,token:string,start:long,end:long>>")
     def runs(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"id": k, "token": m[0], "start": m.start(), "end": m.end()} for k, m in enumerate(_RUN.finditer(t or ""))])
+        return texts.map(lambda t: [{"id": k, "token": m[0], "start": m.start(), "end": m.end()} for k, m in enumerate(pattern.finditer(t or ""))])
 
     return spread(df.select(key, text), key).select(F.col(key), F.inline(runs(F.col(text))))

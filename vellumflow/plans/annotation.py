@@ -241,7 +241,7 @@ def popularity_rank(spark, d):
 
 
 @query(
-    "select case when qrank is null or qrank <= 0 then 'not in dump' when qrank < 100 then 'under 100' when qrank < 1000 then 'under 1k' when qrank < 10000 then 'under 10k' when qrank < 100000 then 'under 100k' when qrank < 1000000 then 'under 1M' else '1M and more' end as bucket, count(*) as n from qrank_matched group by 1"
+    "select case when qrank is null or qrank <= 0 then 'tail (not in QRank)' when qrank < 10000 then 'tail (<1e4)' when qrank < 100000 then 'mid  (1e4-1e5)' when qrank < 1000000 then 'mid  (1e5-1e6)' when qrank < 10000000 then 'head (1e6-1e7)' else 'head (>=1e7)' end as bucket, count(*) as n from qrank_matched group by 1"
 )
 def popularity_buckets(spark, d):
     return table(spark, d, "qrank_matched").groupBy(linking.popularity_bucket(F.col("qrank")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
@@ -254,8 +254,12 @@ def popularity_described(spark, d):
     return _rounded(linking.described(table(spark, d, "qrank_matched"), ["label"], "qrank"), "mean", "std", "p25", "median", "p75", digits=3)
 
 
+def _case(column: str, table_: dict[str, str]) -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then '{v}'" for k, v in table_.items()) + " end"
+
+
 @query(
-    "select geonameid, concat_ws(', ', case feature_class when 'A' then 'administrative region' when 'H' then 'water' when 'L' then 'area' when 'P' then 'populated place' when 'R' then 'road' when 'S' then 'spot or building' when 'T' then 'mountain or hill' when 'U' then 'undersea' when 'V' then 'vegetation' end, nullif(trim(feature_code), ''), nullif(trim(admin1_code), ''), nullif(trim(country_code), ''), case when population > 0 then 'pop. ' || population end) as description from gazetteer"
+    f"select geonameid, concat_ws(', ', nullif(trim(coalesce(name, asciiname)), ''), '(' || nullif(concat_ws(' — ', {_case('feature_class', linking.FEATURE_CLASSES)}, {_case('feature_code', linking.FEATURE_CODES)}), '') || ')', case when country_code = 'DE' then {_case('admin1_code', linking.STATES_DE)} end, nullif(trim(country_code), ''), case when population > 0 then 'pop. ' || population end) as description from gazetteer"
 )
 def gazetteer_descriptions(spark, d):
     return linking.description(table(spark, d, "gazetteer")).select("geonameid", "description")
@@ -720,9 +724,9 @@ def line_of_position(spark, d):
 def alto_editions(spark, d):
     boxes = _line_rows(spark, d).withColumn("b", geometry.bbox(geometry.point_list(F.col("coords")))).where("b is not null and text is not null")
     keyed = boxes.select(F.concat_ws("/", F.col("rec_id").cast("string"), "parent_region_id", "region_id", "line_id").alias("doc_id"), "rec_id", "region_id", "region_idx", "line_id", "line_idx", "text", "b")
-    tokens = pages.tokenized(keyed, "doc_id").withColumn("len", F.length("token"))
+    tokens = pages.tokenized(keyed, "doc_id", spaces=True).withColumn("len", F.length("token"))
     known = keyed.select(F.col("doc_id").alias("_k"), "rec_id", "region_id", "region_idx", "line_id", "line_idx", F.col("b.x0").alias("x0"), (F.col("b.x1") - F.col("b.x0")).alias("width"), F.col("b.y0").alias("y"), (F.col("b.y1") - F.col("b.y0")).alias("h"))
-    words = geometry.word_boxes(tokens.join(known, F.col("doc_id") == F.col("_k")), ["doc_id"], "id", "x0", "width", "len")
+    words = geometry.word_boxes(tokens.join(known, F.col("doc_id") == F.col("_k")), ["doc_id"], "id", "x0", "width", "len").where(F.col("token").rlike(r"^\S"))
     return editions.alto_pages(
         words.select("rec_id", F.col("region_id").alias("block_id"), F.col("region_idx").alias("block_seq"), "line_id", F.col("line_idx").alias("line_seq"), F.col("id").alias("word_seq"), F.col("token").alias("text"), "x", "y", "w", "h", F.lit(None).cast("string").alias("tagrefs")), ["rec_id"]
     )
