@@ -231,8 +231,8 @@ def test_relations(spark):
 
 
 def test_tiles_never_overlap_and_hold_the_text(spark):
-    text = "Wij reden naar Utrecht en aten daar. Wij reden naar huis, moe maar blij."
-    lines = ["Wij reden naar", "Wij reden naar", "utrecht  en aten", "huis moe maar blijd", "", None, "iets heel anders dan dit"]
+    text = "Wij reden naar Utrecht en aten daar. Wij reden naar huis, moe maar heel blij."
+    lines = ["Wij reden naar", "Wij reden naar", "utrecht  en aten", "huis moe maar heel blijd", "", None, "iets heel anders dan dit"]
     got = align.tile(text, lines)
     assert [g and g[2] for g in got] == ["exact", "exact", "plain words", "similar", None, None, None]
     placed = sorted(g[:2] for g in got if g)

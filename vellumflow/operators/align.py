@@ -26,7 +26,8 @@ def tile(text: str, lines: list[str]) -> list[tuple[int, int, str] | None]:
 
     Four matchers in turn, each at the first free place: the very text, its words
     whatever the space between them, its words without case and punctuation, and the
-    free run of the text's words that agrees best (half of them at least).
+    free run of the text's words that agrees best (half of the line, four words at least,
+    three of them in a row at its beginning).
     """
     taken: list[tuple[int, int]] = []
     words = _words(text)
@@ -51,8 +52,11 @@ def tile(text: str, lines: list[str]) -> list[tuple[int, int, str] | None]:
                 if k + m > len(bare) or not free(words[k][1], words[k + m - 1][2]):
                     break
                 blocks = difflib.SequenceMatcher(None, own, bare[k : k + m], autojunk=False).get_matching_blocks()
-                share = sum(b.size for b in blocks) / n
-                if share >= FUZZY_SHARE and (best is None or share > best[0]):
+                agreed = sum(b.size for b in blocks)
+                share = agreed / n
+                # The line has to begin where it says: three words in a row from its first or second word on.
+                anchored = blocks[0].a <= 1 and blocks[0].size >= RUN
+                if anchored and agreed >= FUZZY_RUN and share >= FUZZY_SHARE and (best is None or share > best[0]):
                     best = (share, words[k][1], words[k + m - 1][2])
         return best[1:] if best else None
 
