@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumflow.operators.ordered import with_neighbours
 from vellumflow.session import cut
 
 # Properties and classes by their local names.
@@ -40,10 +41,14 @@ def event_types(events: DataFrame) -> DataFrame:
 
 
 def ordering(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Triples (event, P183, next) of top-level events in order; falls_within null or ``null`` is top level."""
-    top = events.where("falls_within is null or falls_within = 'null'")
-    nxt = top.withColumn("o", F.lead("event").over(Window.partitionBy(*keys).orderBy(*order)))
-    return nxt.where("o is not null").select(F.col("event").alias("s"), F.lit(NEXT).alias("p"), "o")
+    """Triples (event, P183, next) of top-level events in order; falls_within null or ``null`` is top level.
+
+    One key may hold most events: the next one is looked up by ranges of the order,
+    whose last column has to be unique.
+    """
+    top = events.where("falls_within is null or falls_within = 'null'").select(*dict.fromkeys([*keys, *order, "event"]))
+    nxt = with_neighbours(top, keys, order, following={"_vf_next": ["event"]})
+    return nxt.where("_vf_next is not null").select(F.col("event").alias("s"), F.lit(NEXT).alias("p"), F.col("_vf_next.event").alias("o"))
 
 
 def via_points(moves: DataFrame, known: DataFrame) -> DataFrame:
@@ -123,10 +128,9 @@ def mention_places(t: DataFrame) -> DataFrame:
 
 
 def citations(t: DataFrame, order: DataFrame) -> DataFrame:
-    """Of each cited mention the first event that cites it. order: event, seq."""
+    """mention, event: of each cited mention the first event that cites it. order: event, seq."""
     cited = _objects(t, "P129").select(F.col("s").alias("event"), F.col("o").alias("mention")).join(order, "event")
-    first = Window.partitionBy("mention").orderBy("seq", "event")
-    return cited.withColumn("_vf_n", F.row_number().over(first)).where("_vf_n = 1").select("mention", "event")
+    return cited.groupBy("mention").agg(F.min_by("event", F.struct("seq", "event")).alias("event"))
 
 
 def kb_links(mentions: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumflow.operators.ordered import with_neighbours
 from vellumflow.session import spread
 
 _RUN = re.compile(r"[^ \t\n\x0b\f\r]+")
@@ -96,14 +97,19 @@ def assigned(spans: DataFrame, pages: DataFrame, keys: list[str], at: str = "sta
 
 
 def as_of(points: DataFrame, marks: DataFrame, keys: list[str], at: str, mark_at: str, value: str) -> DataFrame:
-    """Points with the value of the last mark at or before them (null if none): a window over both, no range join."""
-    left = points.select("*", F.lit(1).alias("_vf_side"), F.col(at).alias("_vf_at"), F.lit(None).cast(marks.schema[value].dataType).alias("_vf_value"))
+    """Points with ``as_of_value``, the value of the last mark at or before them (null if none); marks with a null value don't count.
+
+    Both are put in one order, which is split by ranges (``ordered.with_neighbours``),
+    so neither a range join is needed nor all of one key in one task. Of marks at the
+    same time the one with the larger value is the last.
+    """
+    kind = marks.schema[value].dataType
+    left = points.select("*", F.lit(1).alias("_vf_side"), F.col(at).alias("_vf_at"), F.lit(None).cast(kind).alias("_vf_value"))
     right = marks.select(
         *[F.col(c).alias(c) if c in keys else F.lit(None).cast(points.schema[c].dataType).alias(c) for c in points.columns],
         F.lit(0).alias("_vf_side"), F.col(mark_at).alias("_vf_at"), F.col(value).alias("_vf_value"),
     )
-    run = Window.partitionBy(*keys).orderBy("_vf_at", "_vf_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = left.unionByName(right).withColumn("as_of_value", F.last("_vf_value", ignorenulls=True).over(run))
+    seen = with_neighbours(left.unionByName(right), keys, ["_vf_at", "_vf_side", "_vf_value"], last_seen={"as_of_value": "_vf_value"})
     return seen.where("_vf_side = 1").drop("_vf_side", "_vf_at", "_vf_value")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumflow.operators.spans import first_by
@@ -20,9 +20,12 @@ def keep(log: DataFrame, keys: list[str], order: str, last: bool = False) -> Dat
 
 
 def latest_run(log: DataFrame, keys: list[str], time: str) -> DataFrame:
-    """All rows of each key's latest time."""
-    w = Window.partitionBy(*keys)
-    return log.withColumn("_vf_m", F.max(time).over(w)).where(F.col(time) == F.col("_vf_m")).drop("_vf_m")
+    """All rows of each key's latest time. The times are aggregated first, so no key's rows meet in one task; null times are never latest."""
+    latest = log.groupBy(*[F.col(k).alias(f"_vf_{k}") for k in keys]).agg(F.max(time).alias("_vf_m"))
+    on = F.col(time) == F.col("_vf_m")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_vf_{k}"))
+    return log.join(latest, on).select(*log.columns)
 
 
 def pivoted(log: DataFrame, rows: list[str], column: str, values: list, aggregate: Column, mean: str | None = None) -> DataFrame:
@@ -68,9 +71,13 @@ def spread(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, column: str, percent: bool = False) -> DataFrame:
-    """column, n by falling n, nulls left out; percent of all with one decimal."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 1)) if percent else counts
+    """column, n; nulls are left out. percent: also the share of all with one decimal."""
+    held = df.where(F.col(column).isNotNull())
+    counts = held.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    if not percent:
+        return counts
+    total = held.agg(F.count(F.lit(1)).alias("_vf_total"))  # one row
+    return counts.crossJoin(total).withColumn("percent", F.round(F.col("n") * 100.0 / F.col("_vf_total"), 1)).drop("_vf_total")
 
 
 def consensus(errors: DataFrame, keys: list[str], model: str, models_in_all: int) -> DataFrame:
