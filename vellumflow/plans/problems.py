@@ -35,5 +35,38 @@ def p3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.lines(table(spark, sf_dir, "page_scans"))
 
 
+#: Names under which the run files of the tables hold each field: canonical first, then by code points.
+_PATHS = {
+    "epg_temp": ["epg_temp", "epgTemp", "epg_temperature", "stages.epg_temp", "temp_epg", "temps.epg"],
+    "think": ["think", "options.think", "params.thinking", "reasoning", "think_mode", "thinking"],
+    "inference_type": ["inference_type", "host.type", "infer_kind", "inference", "inferenceType", "run.inference_type"],
+}
+
+
+def _changes_sql() -> str:
+    def cases(paths: list[str], what: str) -> str:
+        return "case " + " ".join(f"when json_exists(b, '$.{p}') then " + what.format(p=p) for p in paths) + " end"
+
+    kinds = "case {t} when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'NULL' then null when null then null else 'number' end"
+    columns = ", ".join(
+        f"{cases(paths, chr(39) + '{p}' + chr(39))} as path_{f}, {cases(paths, 'json_type(b, ' + chr(39) + '$.{p}' + chr(39) + ')')} as type_{f}" for f, paths in _PATHS.items()
+    )
+    plain = ", ".join(f"path_{f}, {kinds.format(t=f'type_{f}')} as kind_{f}" for f in _PATHS)
+    before = ", ".join(f"lag(path_{f}) over w as was_{f}, last_value(kind_{f} ignore nulls) over (partition by series order by modified_at, file_id rows between unbounded preceding and 1 preceding) as seen_{f}" for f in _PATHS)
+    parts = []
+    for f in _PATHS:
+        for change, when in (
+            ("added", f"was_{f} is null and path_{f} is not null"),
+            ("removed", f"was_{f} is not null and path_{f} is null"),
+            ("renamed", f"was_{f} <> path_{f}"),
+            ("retyped", f"was_{f} is not null and path_{f} is not null and seen_{f} <> kind_{f}"),
+        ):
+            parts.append(f"select file_id, '{f}' as field, '{change}' as change from o where before is not null and {when}")
+    return f"""with f as (select file_id, series, modified_at, ltrim(body, chr(65279)) as b from run_files), ok as (select * from f where json_valid(b) and json_type(b) = 'OBJECT'),
+    k as (select file_id, series, modified_at, {columns} from ok), n as (select file_id, series, modified_at, {plain} from k),
+    o as (select *, lag(file_id) over w as before, {before} from n window w as (partition by series order by modified_at, file_id))
+    """ + " union ".join(parts)
+
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_table, p3_found, p3_regions, p3_lines)}
-SQL: dict[str, str] = {"p3_found": POINTS_SQL}
+SQL: dict[str, str] = {"p1_found": _changes_sql(), "p3_found": POINTS_SQL}
