@@ -51,4 +51,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_paragraphs, p6_found, p7_selected, p7_shares, p8_found, p8_passages)}
-SQL: dict[str, str] = {}
+# A value is not in plain form if it isn't composed, holds a wide form, a ligature, another space or hyphen or something invisible, or mixes Latin with Greek or Cyrillic.
+_NOT_PLAIN = r"""
+nfc_normalize(v) <> v
+or regexp_matches(v, '[\p{Cf}\x{034F}\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{2010}\x{2011}\x{2212}\x{FF01}-\x{FF5E}\x{FB00}-\x{FB06}\x{01C4}-\x{01CC}\x{01F1}-\x{01F3}\x{0132}\x{0133}]')
+or (regexp_matches(v, '\p{Latin}') and regexp_matches(v, '[\p{Greek}\p{Cyrillic}]'))
+"""
+SQL: dict[str, str] = {
+    "p4_found": f"select mention_id, field from (select mention_id, 'text' as field, text as v from qrank_matched union all select mention_id, 'wikidata_label', wikidata_label from qrank_matched) where {_NOT_PLAIN}"
+}
