@@ -75,3 +75,11 @@ def test_boundaries_bound_every_page():
         got = scans.boundaries([1.0] * n)
         assert got and all(0 < k < n for k in got) and got == sorted(set(got))
     assert scans.boundaries([1.0] * 5 + [0.0] + [1.0] * 5) == [5]
+
+
+def test_digits_in_words_are_misread_at_every_size():
+    for size in (1, 10, 100):
+        words = {"door": 400 * size, "kasteel": 50 * size, "do0r": 4 * size, "kast^el": 4 * size, "n/m": 30 * size}
+        lexicon = scans.Lexicon(words, {}, {}, sum(words.values()))
+        assert [lexicon.misread(t) for t in ("do0r", "Do0r,", "kast^el", "n/m", "door")] == [True, True, True, False, False], size
+        assert scans.corrected("do0r", lexicon) == "door"

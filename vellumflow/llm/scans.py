@@ -196,11 +196,24 @@ class Lexicon:
         plain = re.sub(r"['’]s$|['’]$", "", plain)
         if any(not c.isalpha() and c not in "-‐" for c in plain):
             # A digit or a mark inside the word; an abbreviation's stop or a known form is none.
-            return not (self.count(low) >= 20 or re.fullmatch(r"(?:\w\.)+\w?", low) and not any(c.isdigit() for c in low))
+            return not (self._own_form(low, plain) or re.fullmatch(r"(?:\w\.)+\w?", low) and not any(c.isdigit() for c in low))
         if any(c.islower() and d.isupper() for c, d in zip(word, word[1:])):
             return True
         return any(self._unlikely(p, word[:1].isupper()) for p in ([plain] if "-" not in plain or self.count(plain) >= KNOWN else plain.split("-")) if p)
 
+    def _own_form(self, low: str, plain: str) -> bool:
+        """Whether a form with a digit or mark inside is known as such: it occurs more often than every word it may be read as."""
+        own = self.count(low)
+        if own < KNOWN or _PAGE_NUMBER.match(low):
+            return False
+        read: set[str] = set()
+        for x in {low, plain}:
+            for y in {x, x.translate(DIGITS)}:
+                read |= {y, re.sub(r"[^\w'’-]", "", y), re.sub(r"[\W\d_]", "", y)}
+        near = {w for x in read for w, _ in self.near(x)}
+        # Readings that hold a digit or mark themselves say nothing.
+        return own > max((self.count(w) for w in read | near if w and w.replace("-", "").isalpha()), default=0)
+
     def _unlikely(self, low: str, capital: bool) -> bool:
         own = self.count(low)
         for w, usual in self.near(low):
