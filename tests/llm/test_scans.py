@@ -83,3 +83,24 @@ def test_digits_in_words_are_misread_at_every_size():
         lexicon = scans.Lexicon(words, {}, {}, sum(words.values()))
         assert [lexicon.misread(t) for t in ("do0r", "Do0r,", "kast^el", "n/m", "door")] == [True, True, True, False, False], size
         assert scans.corrected("do0r", lexicon) == "door"
+
+
+def test_titles_of_few_scans_are_told_in_a_long_volume(spark):
+    rng = random.Random(7)
+    rows = []
+    for s in range(1, 121):
+        body = [" ".join(rng.choice(WORDS) for _ in range(7)) for _ in range(6)]
+        # Every chapter of eight scans has its own title on two of them, misread on the second.
+        name = "".join(rng.choice("abdegklmoprstvz") for _ in range(9)) if s % 8 == 1 else name
+        head = {2: f"{s} Van {name} naar telangen", 4: f"{s} Van {name} naar te1angcn", 6: f"HOOFDSTUK {'I' * (s // 8 + 1)}."}.get(s % 8)
+        rows.append((s, "v1", s, None, [("r1", None, None, [_line(k, t) for k, t in enumerate([head] * bool(head) + body)], None)], "x"))
+    got = {r.rec_id for r in scans.noise(spark.createDataFrame(rows, SCHEMA)).where("noise = 'header'").collect()}
+    assert got == {s for s in range(1, 121) if s % 8 in (2, 4)}
+
+
+def test_a_title_recurs_on_the_same_edge_and_near():
+    form = ("van hier naar ginder", True, "", True)
+    assert scans.near_titles([(1, [form]), (9, [form])]) == {1: [form[0]], 9: [form[0]]}
+    assert scans.near_titles([(1, [form]), (10, [form])]) == {}
+    assert scans.near_titles([(1, [form]), (2, [(form[0], False, "", True)])]) == {}
+    assert scans.near_titles([(1, [form]), (1, [form])]) == {}

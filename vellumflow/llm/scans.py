@@ -8,8 +8,8 @@ are told from the running text at the edges of the scans of a volume. Paragraph
 boundaries are chosen by dynamic programming over the lines of a scan.
 
 A page is the unit of work: it needs the lexicon (bounded, broadcast), the titles
-of its volume and the first token of the next scan, which come by joins on
-(volume) and (volume, scan number). No volume is ever collected, so one that holds
+of its volume and of the scans near it, and the first token of the next scan, which
+come by joins on (volume) and (volume, scan number). No volume is ever collected, so one that holds
 a third of all scans does no harm.
 """
 
@@ -35,8 +35,8 @@ MAX_LEXICON = 60_000
 KNOWN = 4
 #: A token may be a misreading if it occurs at most this part as often as the word.
 RARE = 0.03
-#: Titles of a volume that are told apart at most.
-MAX_TITLES = 12
+#: Scan numbers on either side in which a title of few scans, a chapter's say, has to recur.
+NEAR = 8
 #: Lines at the top and at the bottom of a scan that may be a title or a page number.
 EDGE = 2
 
@@ -111,6 +111,46 @@ def edge_titles(lines: list[str]) -> list[tuple[str, bool]]:
     return [(title_form(lines[k]), _looks_like_title(lines[k])) for k in places if len(title_form(lines[k])) >= 8]
 
 
+def edge_forms(lines: list[str]) -> list[tuple[str, bool, str, bool]]:
+    """(title form, at the top, line if it names a chapter, begins with a capital) of the lines of a scan that may be a title of few scans.
+
+    Headings of chapters differ by their number only, so they are compared as they stand.
+    """
+    out = []
+    for k in sorted({*range(min(EDGE, len(lines))), *range(max(0, len(lines) - EDGE), len(lines))}):
+        form = title_form(lines[k])
+        if len(form) >= 8:
+            out.append((form, k < EDGE, "".join(c for c in lines[k].lower() if c.isalpha()) if _CHAPTER.search(lines[k]) else "", next((c for c in lines[k] if c.isalpha()), "").isupper()))
+    return out
+
+
+def _alike(a: str, grams: set[str], b: str, others: set[str]) -> bool:
+    """Whether two title forms are one, misreadings allowed; an edit takes four three-letter grams at most, so most pairs need no distance."""
+    most = max(1, max(len(a), len(b)) // 6)
+    return a == b or abs(len(a) - len(b)) <= most and len(grams & others) >= len(grams) - 4 * most and distance(a, b, most) <= most
+
+
+def near_titles(scans: list[tuple[int, list[tuple[str, bool, str, bool]]]]) -> dict[int, list[str]]:
+    """Of each scan the forms that recur, misreadings allowed, on the same edge of another scan at most ``NEAR`` numbers away.
+
+    One of both has to begin with a capital, as lines inside a sentence do not.
+    """
+    places: dict[int, list] = defaultdict(list)
+    for number, forms in scans:
+        places[number] += [(form, top, chapter, capital, {form[i : i + 3] for i in range(len(form) - 2)}) for form, top, chapter, capital in forms]
+    out: dict[int, list[str]] = {}
+    for number, own in places.items():
+        others = [x for m in range(number - NEAR, number + NEAR + 1) if m != number for x in places.get(m, ())]
+        kept = {
+            form
+            for form, top, chapter, capital, grams in own
+            if any(top == t and chapter == c and (capital or u) and (form == f or not chapter and _alike(form, grams, f, g)) for f, t, c, u, g in others)
+        }
+        if kept:
+            out[number] = sorted(kept)
+    return out
+
+
 def noise_lines(lines: list[str], titles: list[str], expected: int | None = None) -> list[str]:
     """Of each line ``header``, ``page_no`` or '' (running text); only lines at the edges can be noise.
 
@@ -325,10 +365,12 @@ def pages(scans: DataFrame) -> DataFrame:
 
 
 def titles_of(paged: DataFrame) -> DataFrame:
-    """volume, titles: the running titles of each volume, at most ``MAX_TITLES``, most frequent first.
+    """volume, titles: the running titles of each volume, most frequent first.
 
-    A title is a line at a scan's edge that is all in capitals, or whose letters
-    recur at the edge of every eighth scan of the volume, three at least.
+    A title is a line at a scan's edge whose letters recur at the edge of every
+    eighth scan of the volume, three at least; if it is all in capitals, of every
+    fiftieth. A scan has few edge lines, so a volume has few such titles, however
+    many scans it has. Titles of fewer scans come from ``near_titles_of``.
     """
 
     @F.pandas_udf("array<struct<form:string,sure:boolean>>")
@@ -340,15 +382,43 @@ def titles_of(paged: DataFrame) -> DataFrame:
     forms = paged.select("volume", "scan_number", F.inline(edges(texts))).groupBy("volume", "form").agg(
         F.approx_count_distinct("scan_number").alias("k"), F.max("sure").alias("sure")
     )
-    # Only frequent forms stay: a volume has few of them, however many scans it has.
     frequent = forms.join(scans.withColumnRenamed("volume", "_vf_v"), F.col("volume").eqNullSafe(F.col("_vf_v"))).where(
         (F.col("k") >= F.greatest(F.lit(3), F.col("n") / 8)) | (F.col("sure") & (F.col("k") >= F.col("n") / 50))
     )
-    return frequent.groupBy("volume").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "form")), asc=False), 1, MAX_TITLES).alias("t")).select(
+    return frequent.groupBy("volume").agg(F.sort_array(F.collect_list(F.struct("k", "form")), asc=False).alias("t")).select(
         "volume", F.transform("t", lambda x: x["form"]).alias("titles")
     )
 
 
+def near_titles_of(paged: DataFrame) -> DataFrame:
+    """volume, scan_number, titles: the forms at a scan's edges that recur on scans near it.
+
+    Scans are grouped by (volume, block of 4 * ``NEAR`` numbers) with the scans near
+    the block, so no group grows with its volume. A null scan number has none near it.
+    """
+    forms = "array<struct<form:string,top:boolean,chapter:string,capital:boolean>>"
+
+    @F.pandas_udf(forms)
+    def edges(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"form": f, "top": top, "chapter": c, "capital": u} for f, top, c, u in edge_forms(list(t))])
+
+    @F.pandas_udf("array<struct<scan_number:int,titles:array<string>>>")
+    def recurring(blocks: pd.Series, scans: pd.Series) -> pd.Series:
+        out = []
+        for block, rows in zip(blocks, scans):
+            found = near_titles([(int(r["scan_number"]), [(f["form"], bool(f["top"]), f["chapter"], bool(f["capital"])) for f in r["e"]]) for r in rows])
+            out.append([{"scan_number": n, "titles": t} for n, t in found.items() if n // size == block])
+        return pd.Series(out)
+
+    size = 4 * NEAR
+    block = lambda shift: F.floor((F.col("scan_number") + shift) / size)
+    rows = paged.where("scan_number is not null").select("volume", "scan_number", edges(F.transform("lines", lambda x: x["text"])).alias("e")).where(F.size("e") > 0)
+    # A scan near the border of its block also goes to the block beyond it.
+    rows = rows.select("volume", "scan_number", "e", F.explode(F.array_distinct(F.array(block(-NEAR), block(0), block(NEAR)))).alias("block"))
+    groups = rows.groupBy("volume", "block").agg(F.collect_list(F.struct("scan_number", "e")).alias("scans"))
+    return groups.select("volume", F.inline(recurring("block", "scans")))
+
+
 def lexicon_of(paged: DataFrame) -> Lexicon:
     """The lexicon of all lines: words by count (inner tokens of lines, which are whole), at most ``MAX_LEXICON``."""
     bare = rf"^[{re.escape(_EDGES)}]+|[{re.escape(_EDGES)}]+$"
@@ -448,7 +518,10 @@ def _with_context(paged: DataFrame) -> DataFrame:
     titles = titles_of(paged).select(F.col("volume").alias("_vf_v"), "titles")
     shifts = offsets_of(paged).select(F.col("volume").alias("_vf_w"), "shift")
     known = paged.join(titles, F.col("volume").eqNullSafe(F.col("_vf_v")), "left").join(shifts, F.col("volume").eqNullSafe(F.col("_vf_w")), "left")
-    known = known.select("rec_id", "volume", "scan_number", "lines", F.coalesce("titles", F.array().cast("array<string>")).alias("titles"), (F.col("scan_number") + F.col("shift")).alias("expected"))
+    near = near_titles_of(paged).select(F.col("volume").alias("_vf_x"), F.col("scan_number").alias("_vf_s"), F.col("titles").alias("near"))
+    known = known.join(near, F.col("volume").eqNullSafe(F.col("_vf_x")) & (F.col("scan_number") == F.col("_vf_s")), "left")
+    none = F.array().cast("array<string>")
+    known = known.select("rec_id", "volume", "scan_number", "lines", F.array_union(F.coalesce("titles", none), F.coalesce("near", none)).alias("titles"), (F.col("scan_number") + F.col("shift")).alias("expected"))
 
     @F.pandas_udf("first string, last string")
     def ends(texts: pd.Series, titles: pd.Series, expected: pd.Series) -> pd.DataFrame:
