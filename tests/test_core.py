@@ -189,6 +189,23 @@ def test_gazetteer_search_finds_what_comparing_every_pair_finds(spark):
     assert got == brute and got
 
 
+def test_gazetteer_search_loses_no_pair_above_its_limit(spark):
+    rng = random.Random(3)
+    names = ["Oder", "tönengrave", "daledoven", "Y", "Ee", "Oer"] + ["".join(rng.choice("abe") for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    texts = ["Frankfurt an der Oder", "Nieuw Stoltengrave", "Altensnachaldoven", "Ypern", "Odr", "Oderr"] + ["".join(rng.choice("abe") for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    gaz = spark.createDataFrame([(i, n, n, None, 0, "S") for i, n in enumerate(names)], "geonameid long, name string, asciiname string, alternatenames string, population long, feature_class string")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "mention_key long, text string")
+    got = {(r.mention_key, r.geonameid) for r in linking.gazetteer_search(df, gaz, top=1000).collect()}
+    brute = {(i, k) for i, t in enumerate(texts) for k, n in enumerate(names) if max(linking.indel_ratio(t.lower(), n.lower()), linking.partial_ratio(t.lower(), n.lower())) >= 85}
+    assert got == brute and {(0, 0), (1, 1), (2, 2), (3, 3)} <= got
+
+
+def test_gazetteer_search_reads_every_alternate_name(spark):
+    gaz = spark.createDataFrame([(1, "Bad Wiler", "Bad Wiler", "Wiler, Karaliere", 0, "S")], "geonameid long, name string, asciiname string, alternatenames string, population long, feature_class string")
+    df = spark.createDataFrame([(0, "Roorkaliere")], "mention_key long, text string")
+    assert [(r.geonameid, r.score) for r in linking.gazetteer_search(df, gaz).collect()] == [(1, 87.5)]
+
+
 def test_common_subsequence_equals_the_plain_table():
     rng = random.Random(8)
     for _ in range(200):

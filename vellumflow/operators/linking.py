@@ -155,23 +155,79 @@ def _grams(text: Column, n: int = 3) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), ends), lambda k: F.substring(plain, k, F.lit(n))))
 
 
+def _blocking(size: int, least: float) -> tuple[int, int]:
+    """(length of grams, grams lost at most) of the shorter text of a pair whose similarity is ``least`` or more.
+
+    With d characters of it left out and i put in, 2 * (size - d) / (2 * size - d + i)
+    has to reach the ratio r, so d * (2 - r) + i * r <= 2 * (1 - r) * size. A
+    character left out takes n grams, one put in n - 1. The longest grams are taken of
+    which one has to stay.
+    """
+    r = least / 100
+    room = 2 * (1 - r) * size + 1e-9
+    for n in (3, 2, 1):
+        lost = max(n * d + (n - 1) * int(min((room - d * (2 - r)) / r, 2 * size)) for d in range(int(room / (2 - r)) + 1))
+        if n == 1 or lost < size - n + 1:
+            return n, lost
+    raise AssertionError
+
+
+def _alike(texts: DataFrame, names: DataFrame, least: float, longest: int = 256) -> DataFrame:
+    """t, geonameid, form: every pair whose whole or partial ratio may reach ``least``.
+
+    The shorter one gives as many grams as can be lost and one more; at least one of
+    them is among the grams of the longer one. The pairs that meet are then held to
+    the number of grams shared. Texts over ``longest`` characters are told by the
+    bound of that length, which is a larger share.
+    """
+    table = [_blocking(k, least) for k in range(1, longest + 1)]
+    size = F.length(F.lower("x"))
+    at = F.least(F.greatest(size, F.lit(1)), F.lit(longest))
+    length = F.element_at(F.array(*[F.lit(n) for n, _ in table]), at)
+    lost = F.when(size <= longest, F.element_at(F.array(*[F.lit(k) for _, k in table]), at)).otherwise(F.ceil(F.lit((table[-1][1] + 1) / longest) * size)).cast("int")
+    of = lambda n: _grams(F.col("x"), n)
+    by_length = F.when(length == 3, of(3)).when(length == 2, of(2)).otherwise(of(1))
+    name = names.withColumnRenamed("form", "x")
+    text = texts.withColumnRenamed("t", "x")
+
+    def short(rows: DataFrame) -> DataFrame:
+        kept = rows.withColumns({"size": size, "own": by_length, "lost": lost}).withColumn("need", F.greatest(F.size("own") - F.col("lost"), F.lit(1)))
+        return kept.withColumn("g", F.explode(F.slice("own", F.lit(1), F.size("own") - F.col("need") + 1)))
+
+    # Grams of one letter only answer texts so short that they ask for them.
+    def long(rows: DataFrame, others: DataFrame) -> DataFrame:
+        asks = others.where(length == 1).limit(1).count() > 0
+        return rows.withColumns({"size": size, "all": F.array_union(F.array_union(of(3), of(2)), of(1) if asks else F.array().cast("array<string>"))}).withColumn("g", F.explode("all"))
+
+    def met(a: DataFrame, b: DataFrame, t: str, form: str, sizes: Column) -> DataFrame:
+        own = [F.col("b.geonameid")] if form == "b" else [F.col("a.geonameid")]
+        pairs = a.alias("a").join(b.alias("b"), (F.col("a.g") == F.col("b.g")) & sizes)
+        pairs = pairs.where(F.size(F.array_intersect("a.own", "b.all")) >= F.col("a.need"))
+        return pairs.select(F.col(f"{t}.x").alias("t"), *own, F.col(f"{form}.x").alias("form"))
+
+    one = met(short(text), long(name, text), "a", "b", F.col("a.size") <= F.col("b.size"))
+    other = met(short(name), long(text, name), "b", "a", F.col("a.size") < F.col("b.size"))
+    return one.unionByName(other).distinct()
+
+
 def gazetteer_search(mentions: DataFrame, gazetteer: DataFrame, key: str = "mention_key", text: str = "text", least: float = 85.0, top: int = 10) -> DataFrame:
     """key, geonameid, name, score, pos: the gazetteer entries whose name is like a mention's text.
 
-    Distinct texts only; candidates share at least a third of the mention's
-    three-letter grams with a name (blocking by an equi join in place of every pair).
+    Distinct texts only. Candidates are found by an equi join on grams in place of
+    every pair: the shorter of text and name shares at least as many with the longer
+    one as ``least`` implies (``_blocking``), so no pair of that score is left out.
     Score: name similarity; ten more if one holds the other, up to twenty by
     population, five for populated places, three for waters and areas; never over 100.
     """
-    listed = F.filter(F.transform(F.split(F.coalesce("alternatenames", F.lit("")), ","), F.trim), lambda a: a != "")
+    listed = F.filter(F.transform(F.split(F.coalesce("alternatenames", F.lit("")), ","), lambda a: F.trim(a)), lambda a: a != "")
     names = gazetteer.select("geonameid", "name", "population", "feature_class", F.explode(F.array_distinct(F.array_compact(F.concat(F.array("name", "asciiname"), listed)))).alias("form"))
     texts = mentions.where(F.trim(F.col(text)) != "").select(F.col(text).alias("t")).distinct()
-    left = texts.select("t", F.size(_grams(F.col("t"))).alias("n"), F.explode(_grams(F.col("t"))).alias("g"))
-    right = names.select("geonameid", "form", F.explode(_grams(F.col("form"))).alias("g"))
-    shared = left.join(right, "g").groupBy("t", "n", "geonameid", "form").agg(F.count(F.lit(1)).alias("k")).where("3 * k >= n")
+    shared = _alike(texts, names.select("geonameid", "form"), least)
     # Few bytes but much work by row: keep all partitions, which coalescing by bytes would merge.
     shared = shared.repartition(int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", "geonameid", "form")
-    scored = shared.withColumn("s", name_similarity("t", "form")).where(F.col("s") >= least).groupBy("t", "geonameid").agg(F.max("s").alias("s"))
+    # Nondeterministic by name only: else the filter is pushed below the partitions and the distinct pairs.
+    similar = F.pandas_udf(name_similarity.func, DoubleType()).asNondeterministic()
+    scored = shared.withColumn("s", similar("t", "form")).where(F.col("s") >= least).groupBy("t", "geonameid").agg(F.max("s").alias("s"))
     everything = F.lower(F.concat_ws(" ", "name", "asciiname", F.array_join(listed, " "))).alias("everything")
     info = gazetteer.select("geonameid", "name", F.coalesce("population", F.lit(0)).alias("population"), "feature_class", everything)
     full = scored.join(info, "geonameid")
