@@ -1,9 +1,9 @@
 """Repair of text recognised from scanned pages.
 
-A line's tokens are decoded against a lexicon counted over all lines: a token may
-stand as it is, be a confusion of a known word, or, at a line's end, be the first
-part of a word that goes on in the next line of the running text (joint
-segmentation of the stream without line breaks). Running titles and page numbers
+A line's tokens are tested one by one against a lexicon counted over all lines: a
+token may stand as it is, be a confusion of a known word, or, at a line's end, be the
+first part of a word that goes on in the next line of the running text. Words inside
+a line are neither split nor merged. Running titles and page numbers
 are told from the running text at the edges of the scans of a volume. Paragraph
 boundaries are chosen by dynamic programming over the lines of a scan.
 
