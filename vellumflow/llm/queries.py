@@ -19,6 +19,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual.not_plain(mentions, "mention_id", ["text", "wikidata_label"]).select("mention_id", "field")
 
 
+def p4_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both values of each mention in their one consistent form."""
+    mentions = table(spark, sf_dir, "qrank_matched").select("mention_id", "text", "wikidata_label")
+    return visual.normalized(mentions, ["text", "wikidata_label"]).select("mention_id", "text_plain", "wikidata_label_plain")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.noise(table(spark, sf_dir, "page_scans")).distinct()
 
@@ -32,6 +38,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that leak no item, by their keys."""
+    return leaks.clean(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "source", "n_chars")
+
+
 def p7_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.selection(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
@@ -50,7 +61,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("wrong").select("doc_id", F.explode("held").alias("lang"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_paragraphs, p6_found, p7_selected, p7_shares, p8_found, p8_passages)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_normalized, p5_found, p5_paragraphs, p6_found, p6_clean, p7_selected, p7_shares, p8_found, p8_passages)}
 # A value is not in plain form if it isn't composed, holds a wide form, a ligature, another space or hyphen or something invisible, or mixes Latin with Greek or Cyrillic.
 _NOT_PLAIN = r"""
 nfc_normalize(v) <> v

@@ -130,37 +130,40 @@ def _script(ch: str) -> str:
 
 
 def _words_fixed(text: str) -> str:
-    """Look-alike letters of a folded text set right, by words; the text is returned as it is if it has no mixture."""
-    letters = unicodedata.normalize("NFD", text)
-    if not any("LATIN" == _script(c) for c in letters if c.isalpha()):
+    """Look-alike letters of a folded text set right, by words; only words with a letter of another script change."""
+    if not any(_script(c) == "LATIN" for c in text if c.isalpha()):
         return text
 
     def word(m: re.Match) -> str:
-        w = m[0]
+        if not _OTHER.search(m[0]):
+            return m[0]
+        w = unicodedata.normalize("NFD", m[0])
         own = [c for c in w if c.isalpha()]
-        foreign = [c for c in own if _script(c) != "LATIN"]
-        if not foreign:
-            return w
-        firm = [c for c in foreign if c not in LOOK_ALIKES]
+        firm = [c for c in own if _script(c) != "LATIN" and c not in LOOK_ALIKES]
         if not firm:
-            return "".join(LOOK_ALIKES.get(c, c) for c in w)
+            return unicodedata.normalize("NFC", "".join(LOOK_ALIKES.get(c, c) for c in w))
         back = _TO_OTHER.get(_script(firm[0]), {})
         if all(c in back for c in own if _script(c) == "LATIN"):
-            return "".join(back.get(c, c) for c in w)
-        return w
+            return unicodedata.normalize("NFC", "".join(back.get(c, c) for c in w))
+        return m[0]
 
-    fixed = re.sub(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*", word, letters)
-    return unicodedata.normalize("NFC", fixed)
+    return re.sub(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*", word, text)
 
 
-@lru_cache(200_000)
-def plain(text: str) -> str:
-    """The plain form of a text."""
+def _plain(text: str) -> str:
     pattern, folds, _ = _classes()
     spliced = pattern.sub(lambda m: unicodedata.normalize("NFC", "".join(folds.get(c, c) for c in m[0])), text)
     return _words_fixed(spliced) if _OTHER.search(spliced) else spliced
 
 
+_plain_known = lru_cache(100_000)(_plain)
+
+
+def plain(text: str) -> str:
+    """The plain form of a text; short values are remembered."""
+    return _plain_known(text) if len(text) <= 100 else _plain(text)
+
+
 #: What no value in plain form needs to be looked at for: ASCII and the composed letters of Latin-1 and Latin Extended-A.
 _STABLE = r"^[ -~¡-¬®-ıĴ-ľŁ-ňŊ-žƀ]*\z"
 
