@@ -6,17 +6,22 @@ token-set similarity. Both run over two writings: the value as it stands (plain
 characters, no case), and a skeleton in which old and new spellings fall together.
 
 The reference list goes to the executors as automata, in shards of at most
-``MAX_NAMES`` names, so what is broadcast at a time has a bound; a value is held
-against every shard in the same projection and the best answer of all is kept.
-There is no shuffle, so a value that fills a third of the rows does no harm; each
-worker remembers what it has resolved.
+``MAX_NAMES`` names. Every answer carries all that it was chosen by (stage, length
+and place of the match or edits, main name, rank, id), so the best answer over shards
+is the one that a single list gives. Up to ``ROUND`` shards are asked in one
+projection over the rows, without a shuffle, so a value that fills a third of the
+rows does no harm; longer lists go over the distinct values in rounds of ``ROUND``
+shards, which bounds what is broadcast and held at a time.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -24,10 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumflow.llm.visual import plain, plain_form
+from vellumflow.session import cut
 
 #: Names in one automaton at most (about 50 MB in a worker).
 MAX_NAMES = 50_000
-#: Values that one worker remembers at most.
+#: Shards that are broadcast and asked at a time.
+ROUND = 4
+#: Values that one worker remembers for a shard at most.
 MEMORY = 200_000
 
 # Words that are added to a place name.
@@ -40,7 +48,8 @@ SPELLINGS = (
     ("sch", "sg"), ("ph", "f"), ("gh", "g"), ("ch", "g"), ("ck", "k"), ("qu", "k"), ("c", "k"), ("th", "t"), ("dt", "t"), ("z", "s"), ("v", "w"),
 )
 
-_EMPTY = (0, 0.0, 0, -1)
+#: No answer: (stage, two measures of the fit, main name, rank, -id).
+_EMPTY = (0, 0.0, 0.0, False, 0, 1)
 
 
 def words_of(value: str) -> list[str]:
@@ -75,108 +84,134 @@ def distance(a: str, b: str, most: int) -> int:
     return min(last[-1], most + 1)
 
 
+def grams(form: str) -> set[str]:
+    """Pairs of neighbouring letters of a word, its ends marked."""
+    return {f"^{form}$"[k : k + 2] for k in range(len(form) + 1)}
+
+
+class _Index:
+    """Forms by their letter pairs: gives those that may be within a number of edits."""
+
+    def __init__(self, forms: list[str]):
+        found: dict[str, list[int]] = defaultdict(list)
+        for n, form in enumerate(forms):
+            for g in grams(form):
+                found[g].append(n)
+        self.places = {g: np.array(n, dtype=np.int32) for g, n in found.items()}
+        self.lengths = np.array([len(f) for f in forms], dtype=np.int32)
+
+    def within(self, form: str, share: int) -> np.ndarray:
+        """Forms that can be at most max(1, shorter length // share) edits away: an edit takes three pairs away at most, so none in reach is left out."""
+        wanted = grams(form)
+        hits = [self.places[g] for g in wanted if g in self.places]
+        shared = np.bincount(np.concatenate(hits), minlength=len(self.lengths)) if hits else np.zeros(len(self.lengths), dtype=int)
+        most = np.maximum(1, np.minimum(self.lengths, len(form)) // share)
+        return np.flatnonzero((shared >= len(wanted) - 3 * most) & (np.abs(self.lengths - len(form)) <= most))
+
+
 class Resolver:
     """The names of one shard, ready for look-up.
 
-    entries: (id, rank, names), names[0] being the main name; of entries that fit
-    equally well the higher rank wins, then the smaller id.
+    names: (id, rank, whether it is the main name, name). Of names that fit equally
+    well a main name wins, then the higher rank, then the smaller id.
     """
 
-    def __init__(self, entries: list[tuple[int, int, list[str]]], edits_per: int = 5, additions: frozenset = ADDITIONS):
+    def __init__(self, names: list[tuple[int, int, bool, str]], edits_per: int = 5, additions: frozenset = ADDITIONS):
         import ahocorasick
 
         self.edits_per, self.additions = edits_per, additions
-        self.rank = {i: r for i, r, _ in entries}
         self.exact, self.folded = ahocorasick.Automaton(), ahocorasick.Automaton()
-        exact, folded, targets = {}, {}, {}
-        for i, r, names in entries:
-            for k, name in enumerate(names):
-                words = words_of(name)
-                if not words:
-                    continue
-                best = (k == 0, r, -i)
-                skeletons = [skeleton(w) for w in words]
-                for table, form in ((exact, " ".join(words)), (folded, " ".join(skeletons))):
-                    if form not in table or table[form][0] < best:
-                        table[form] = (best, i)
-                form = "".join(skeletons)
-                if form not in targets or targets[form][0] < best:
-                    targets[form] = (best, i, skeletons, "".join(words))
+        exact, folded, targets, prefixed = {}, {}, {}, {}
+        for i, r, main, name in names:
+            words = words_of(name)
+            if not words:
+                continue
+            best = (bool(main), r, -i)
+            skeletons = tuple(skeleton(w) for w in words)
+            for table, form in ((exact, " ".join(words)), (folded, " ".join(skeletons)), (targets, (skeletons, "".join(words)))):
+                if form not in table or table[form] < best:
+                    table[form] = best
+            form = " ".join(words)
+            prefixed[form] = max(prefixed.get(form, best[1:]), best[1:])
         for automaton, table in ((self.exact, exact), (self.folded, folded)):
-            for form, (_, i) in table.items():
-                automaton.add_word(f" {form} ", (i, len(form)))
+            for form, best in table.items():
+                automaton.add_word(f" {form} ", (best, len(form)))
             automaton.make_automaton()
         # For abbreviations: the names in order, so that those with a prefix stand together.
-        self.sorted = sorted((form, i) for form, (_, i) in exact.items())
-        self.targets = [(form, *x[1:]) for form, x in targets.items()]
-        grams: dict[str, list[int]] = defaultdict(list)
-        for n, (form, *_) in enumerate(self.targets):
-            for g in {f"^{form}$"[k : k + 2] for k in range(len(form) + 1)}:
-                grams[g].append(n)
-        self.grams = {g: np.array(n, dtype=np.int32) for g, n in grams.items()}
-        self.sizes = np.array([len({f"^{t[0]}$"[k : k + 2] for k in range(len(t[0]) + 1)}) for t in self.targets], dtype=np.float32)
+        self.sorted = sorted(prefixed.items())
+        self.targets = [("".join(parts), parts, whole, best) for (parts, whole), best in targets.items()]
+        self.near_form, self.near_written = _Index([t[0] for t in self.targets]), _Index([t[2] for t in self.targets])
+        self.with_word: dict[str, list[int]] = defaultdict(list)
+        for n, (_, parts, *_) in enumerate(self.targets):
+            for p in set(parts):
+                self.with_word[p].append(n)
         self.known: dict[str, tuple] = {}
 
-    def _embedded(self, automaton, words: list[str]) -> int | None:
-        """The entry of the longest match (leftmost of equals), None if there is none."""
+    def _embedded(self, automaton, words: list[str]) -> tuple | None:
+        """The longest match (leftmost of equals) as (words' length, -end, *its entry), None if there is none."""
         if not len(automaton):
             return None
-        found = [(n, -end, i) for end, (i, n) in automaton.iter(f" {' '.join(words)} ")]
-        return max(found)[2] if found else None
-
-    def _abbreviated(self, words: list[str]) -> int | None:
-        from bisect import bisect_left
+        found = [(float(n), float(-end), *best) for end, (best, n) in automaton.iter(f" {' '.join(words)} ")]
+        return max(found) if found else None
 
+    def _abbreviated(self, words: list[str]) -> tuple | None:
         start = " ".join(words)
-        at, fits = bisect_left(self.sorted, (start,)), []
+        at, best = bisect_left(self.sorted, (start,)), None
         while at < len(self.sorted) and self.sorted[at][0].startswith(start):
-            fits.append(self.sorted[at][1])
+            best = max(best or self.sorted[at][1], self.sorted[at][1])
             at += 1
-        return max(set(fits), key=lambda i: (self.rank[i], -i)) if fits else None
-
-    def _similar(self, words: list[str]) -> tuple[float, int] | None:
-        """Cost (edits relative to length) and entry of the closest name, None if none is close."""
-        skeletons = [skeleton(w) for w in words]
-        form, raw = "".join(skeletons), "".join(words)
-        if len(form) < 4:
-            return None
-        wanted = {f"^{form}$"[k : k + 2] for k in range(len(form) + 1)}
-        hits = [self.grams[g] for g in wanted if g in self.grams]
-        if not hits:
-            return None
-        shared = np.bincount(np.concatenate(hits), minlength=len(self.targets))
-        dice = 2 * shared / (self.sizes + len(wanted))
-        best = None
-        # One edit changes two bigrams (a swap three), so a name in reach shares at least this part.
-        for n in np.flatnonzero(dice >= 0.35):
-            target, i, parts, whole = self.targets[n]
-            most = max(1, min(len(form), len(target)) // self.edits_per)
+        return best
+
+    def similarity(self, skeletons: list[str], raw: str, n: int) -> tuple[float, float] | None:
+        """(edits, edits as written), negative, between the words of a value and target n as token sets; None if they are too far apart.
+
+        Words that both have are taken away; what is left of each, in order of the
+        alphabet, may differ by one edit for every ``edits_per`` letters, and so may
+        the whole texts with their words in order, folded or as written.
+        """
+        target, parts, whole, _ = self.targets[n]
+        form = "".join(skeletons)
+        most = max(1, min(len(form), len(target)) // self.edits_per)
+        d = distance(form, target, most)
+        if d > most:
             common = set(skeletons) & set(parts)
-            mine = "".join(sorted(s for s in skeletons if s not in common)) if common else form
-            theirs = "".join(sorted(p for p in parts if p not in common)) if common else target
-            d = distance(form, target, most)
-            if d > most and common:
+            if common:
+                mine, theirs = ("".join(sorted(x for x in own if x not in common)) for own in (skeletons, parts))
                 d = distance(mine, theirs, most)
+        if d > most:
             reach = max(1, min(len(raw), len(whole)) // self.edits_per)
-            if d > most and distance(raw, whole, reach) > reach:
-                continue
-            written = distance(raw, whole, 6)
-            cost = (min(d, written), written, -self.rank[i], i)
-            if best is None or cost < best:
-                best = cost
-        return None if best is None else (best[0] + best[1] / 10, best[3])
-
-    def _resolve(self, value: str) -> tuple[int, float, int, int]:
-        """(stage, -cost, rank, entry): the larger the better; stage 0 is no answer."""
+            if distance(raw, whole, reach) > reach:
+                return None
+        written = distance(raw, whole, 6)
+        return -float(min(d, written)), -float(written)
+
+    def _similar(self, words: list[str]) -> tuple | None:
+        """(-edits, -edits as written, *entry) of the closest name, None if none is close."""
+        skeletons, raw = [skeleton(w) for w in words], "".join(words)
+        form = "".join(skeletons)
+        if len(form) < 4 or not self.targets:
+            return None
+        near = {*self.near_form.within(form, self.edits_per).tolist(), *self.near_written.within(raw, self.edits_per).tolist()}
+        for s in set(skeletons):
+            near.update(self.with_word.get(s, ()))
+        best = None
+        for n in near:
+            fit = self.similarity(skeletons, raw, n)
+            if fit is not None and (best is None or (*fit, *self.targets[n][3]) > best):
+                best = (*fit, *self.targets[n][3])
+        return best
+
+    def _resolve(self, value: str) -> tuple:
+        """(stage, two measures of the fit, main name, rank, -entry): the larger the better; stage 0 is no answer."""
         words = words_of(value)
         if not words:
             return _EMPTY
-        i = self._embedded(self.exact, words)
-        if i is not None:
-            return (4, 0.0, self.rank[i], i)
-        i = self._embedded(self.folded, [skeleton(w) for w in words])
-        if i is not None:
-            return (3, 0.0, self.rank[i], i)
+        found = self._embedded(self.exact, words)
+        if found is not None:
+            return (4, *found)
+        found = self._embedded(self.folded, [skeleton(w) for w in words])
+        if found is not None:
+            return (3, *found)
         core = words
         while core and core[0] in self.additions:
             core = core[1:]
@@ -185,13 +220,13 @@ class Resolver:
         if not core:
             return _EMPTY
         if re.search(r"[^\W\d_]\.\s*$", plain(value)) and len("".join(core)) >= 4:
-            i = self._abbreviated(core)
-            if i is not None:
-                return (2, 0.0, self.rank[i], i)
-        near = self._similar(core)
-        return _EMPTY if near is None else (1, -near[0], self.rank[near[1]], near[1])
+            found = self._abbreviated(core)
+            if found is not None:
+                return (2, 0.0, 0.0, False, *found)
+        found = self._similar(core)
+        return _EMPTY if found is None else (1, *found)
 
-    def resolve(self, value: str) -> tuple[int, float, int, int]:
+    def resolve(self, value: str) -> tuple:
         known = self.known.get(value)
         if known is None:
             if len(self.known) >= MEMORY:
@@ -201,46 +236,82 @@ class Resolver:
 
 
 _BUILT: dict[tuple, Resolver] = {}
+_ANSWER = "stage int, fit double, fit2 double, main boolean, rank long, back long"
 
 
 def _resolver_udf(broadcast, key: tuple, edits_per: int):
-    """A pandas UDF over one shard; a worker builds the automata once."""
+    """A pandas UDF over one shard; a worker builds the automata once and keeps those of a round."""
 
-    @F.pandas_udf("stage int, score double, rank long, entry long")
+    @F.pandas_udf(_ANSWER)
     def resolved(values: pd.Series) -> pd.DataFrame:
-        if key not in _BUILT:
-            _BUILT.clear() if len(_BUILT) > 8 else None
-            _BUILT[key] = Resolver(broadcast.value, edits_per)
-        own = _BUILT[key]
+        own = _BUILT.get(key)
+        if own is None:
+            while len(_BUILT) >= ROUND:
+                del _BUILT[next(iter(_BUILT))]
+            own = _BUILT[key] = Resolver(broadcast.value, edits_per)
+            vars(broadcast).pop("_value", None)
         rows = [_EMPTY if v is None else own.resolve(v) for v in values]
-        return pd.DataFrame(rows, columns=["stage", "score", "rank", "entry"])
+        return pd.DataFrame(rows, columns=["stage", "fit", "fit2", "main", "rank", "back"])
 
     return resolved
 
 
+def _shards(entries: DataFrame, max_names: int) -> Iterator[list[tuple[int, int, bool, str]]]:
+    """The names of a reference list in parts of at most ``max_names``; it is read once, and the driver holds one part at a time."""
+    names = entries.where(F.col("id").isNotNull()).select(
+        F.col("id").cast("long").alias("id"), F.coalesce(F.col("rank").cast("long"), F.lit(0)).alias("rank"), F.posexplode(F.array_compact("names")).alias("k", "name")
+    )
+    own: list[tuple[int, int, bool, str]] = []
+    for r in names.toLocalIterator():
+        own.append((r.id, r["rank"], r.k == 0, r.name))
+        if len(own) >= max_names:
+            yield own
+            own = []
+    if own:
+        yield own
+
+
 def resolved(df: DataFrame, value: Column, entries: DataFrame, out: str = "entry", max_names: int = MAX_NAMES, edits_per: int = 5) -> DataFrame:
     """Add ``out``: a struct (stage, score, rank, entry) of the closest entry of a reference list.
 
     entries: id long (unique), rank long (breaks ties; null counts as 0), names
     array<string>, the main name first. stage is 4 for an embedded name, 3 for one
     in another spelling, 2 for an abbreviation, 1 for a similar name, and 0 (entry
-    -1) if none is close or the value is null or empty. An empty list gives stage 0
-    everywhere. Entries with a null id are ignored, null names skipped.
+    -1) if none is close or the value is null or empty; score is minus the edits of
+    a similar name, else 0. An empty list gives stage 0 everywhere. Entries with a
+    null id are ignored, null names skipped. The answer doesn't depend on max_names.
     """
-    spark = df.sparkSession
-    clean = entries.where(F.col("id").isNotNull()).select(
-        F.col("id").cast("long"), F.coalesce(F.col("rank").cast("long"), F.lit(0)).alias("rank"), F.filter("names", lambda n: n.isNotNull()).alias("names")
-    )
-    total = clean.agg(F.sum(F.size("names"))).first()[0] or 0
-    shards = max(1, -(-total // max_names))
-    best = []
-    for k in range(shards):
-        own = clean if shards == 1 else clean.where(F.pmod(F.xxhash64("id"), F.lit(shards)) == k)
-        rows = [(r.id, r.rank, list(r.names)) for r in own.collect()]
-        shard = spark.sparkContext.broadcast(rows)
-        best.append(_resolver_udf(shard, (spark.sparkContext.applicationId, shard._jbroadcast.id(), edits_per), edits_per)(value))
-    ranked = [F.struct(b["stage"].alias("stage"), b["score"].alias("score"), b["rank"].alias("rank"), b["entry"].alias("entry")) for b in best]
-    return df.withColumn(out, ranked[0] if shards == 1 else F.greatest(*ranked))
+    context = df.sparkSession.sparkContext
+    none = F.struct(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(_EMPTY, (x.split() for x in _ANSWER.split(", ")))])
+
+    def asked(column: Column, names: list) -> tuple[Column, object]:
+        shared = context.broadcast(names)
+        return _resolver_udf(shared, (context.applicationId, shared._jbroadcast.id(), edits_per), edits_per)(column), shared
+
+    def finished(best: Column) -> Column:
+        return F.struct(
+            best["stage"].alias("stage"),
+            F.when(best["stage"] == 1, best["fit"] + best["fit2"] / 10).otherwise(F.lit(0.0)).alias("score"),
+            best["rank"].alias("rank"),
+            (-best["back"]).alias("entry"),
+        )
+
+    shards = _shards(entries, max_names)
+    first = list(islice(shards, ROUND + 1))
+    if len(first) <= ROUND:
+        best = [asked(value, names)[0] for names in first]
+        return df.withColumn("_vf_best", F.greatest(*best) if len(best) > 1 else best[0] if best else none).withColumn(out, finished(F.col("_vf_best"))).drop("_vf_best")
+    # A longer list is asked about each different value once, round by round.
+    rows = df.withColumn("_vf_value", value)
+    values = cut(rows.select(F.col("_vf_value").alias("_vf_v")).where("_vf_v is not null").distinct().withColumn("_vf_best", none))
+    shards = chain(first, shards)
+    while own := list(islice(shards, ROUND)):
+        answers = [asked(F.col("_vf_v"), names) for names in own]
+        values = cut(values.withColumn("_vf_best", F.greatest("_vf_best", *[a for a, _ in answers])))
+        for _, shared in answers:
+            shared.destroy()
+    joined = rows.join(values, F.col("_vf_value") == F.col("_vf_v"), "left").withColumn(out, finished(F.coalesce("_vf_best", none)))
+    return joined.drop("_vf_value", "_vf_v", "_vf_best")
 
 
 def number_in(value: Column) -> Column:
