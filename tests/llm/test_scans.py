@@ -69,12 +69,135 @@ def test_page_numbers_and_titles():
     assert scans.noise_lines([], []) == []
 
 
-def test_boundaries_bound_every_page():
-    assert scans.boundaries([]) == [] and scans.boundaries([1.0]) == []
-    for n in range(2, 60):
-        got = scans.boundaries([1.0] * n)
-        assert got and all(0 < k < n for k in got) and got == sorted(set(got))
-    assert scans.boundaries([1.0] * 5 + [0.0] + [1.0] * 5) == [5]
+def test_boundaries_bound_every_paragraph():
+    assert scans.boundaries([], []) == [] and scans.boundaries([1.0], [1]) == []
+    for n in range(2, 90):
+        got = scans.boundaries([3.0] * n, list(range(n)) if n % 2 else [1] * n)
+        cuts = [0, *got, n]
+        assert got == sorted(set(got)) and all(b - a <= (5 if n % 2 else 24) for a, b in zip(cuts, cuts[1:]))
+    assert scans.boundaries([1.0] * 5 + [0.0] + [1.0] * 5, [1] * 11) == [5]
+
+
+def _brute_boundaries(costs, scans_, usual=6, reach=4):
+    n, best = len(costs), (float("inf"), [])
+    for mask in range(1 << (n - 1)):
+        cuts = [0, *(k for k in range(1, n) if mask >> (k - 1) & 1), n]
+        cost = sum(costs[k] for k in cuts[1:-1])
+        for a, b in zip(cuts, cuts[1:]):
+            cost += ((b - a - usual) / usual) ** 2 if scans_[b - 1] - scans_[a] <= reach else float("inf")
+        best = min(best, (cost, cuts[1:-1]))
+    return best[0]
+
+
+def test_boundaries_equal_brute_force():
+    rng = random.Random(9)
+    for _ in range(40):
+        n = rng.randint(2, 11)
+        costs = [rng.choice([0.2, 1.0, 2.0, -100.0]) for _ in range(n)]
+        where = sorted(rng.randint(1, 9) for _ in range(n))
+        cuts = [0, *scans.boundaries(costs, where), n]
+        cost = sum(costs[k] for k in cuts[1:-1]) + sum(((b - a - 6) / 6) ** 2 for a, b in zip(cuts, cuts[1:]))
+        assert abs(cost - _brute_boundaries(costs, where)) < 1e-9
+
+
+def test_words_of_a_stream_equal_brute_force():
+    rng = random.Random(11)
+    words = {w: rng.randint(5, 400) for w in "van het huis huizen de den gewoon woon ge wagen en markt meester marktmeester toren rent torent".split()}
+    lexicon = scans.Lexicon(words, {("ge", "woon"): 7}, {}, 9000)
+
+    def cheapest(lines, apart):
+        tokens = [t for x in lines for t in x]
+        ends, k = {}, 0
+        for x, a in zip(lines, apart):
+            k += len(x)
+            ends[k] = a
+
+        def rest(k):
+            if k == len(tokens):
+                return 0.0
+            gap = 0.0
+            if 0 < k:
+                gap = (lexicon.across(tokens[k - 1], tokens[k], ends[k]) if k in ends else lexicon.within(tokens[k - 1], tokens[k]))[1]
+            at_end = k + 1 in ends
+            t = tokens[k]
+            out = lexicon.whole(t.rstrip(scans.HYPHENS) if at_end else t) + rest(k + 1)
+            if not (at_end and t[-1] in scans.HYPHENS):
+                out = min(out, lexicon.divided(t)[0] + rest(k + 1))
+            if k + 1 < len(tokens):
+                one = (lexicon.across(t, tokens[k + 1], ends[k + 1]) if at_end else lexicon.within(t, tokens[k + 1]))[0]
+                out = min(out, one + rest(k + 2))
+            return gap + out
+
+        return rest(0)
+
+    def cost(lines, apart, found):
+        tokens = [t for x in lines for t in x]
+        ends, k, out = {}, 0, 0.0
+        for x, a in zip(lines, apart):
+            k += len(x)
+            ends[k] = a
+        for w in found:
+            pair = lambda i: lexicon.across(tokens[i - 1], tokens[i], ends[i]) if i in ends else lexicon.within(tokens[i - 1], tokens[i])  # noqa: B023, E731
+            out += pair(w.start)[1] if w.start else 0.0
+            t = tokens[w.start]
+            if w.end - w.start == 1:
+                out += lexicon.divided(t)[0] if w.at else lexicon.whole(t.rstrip(scans.HYPHENS) if w.end in ends else t)
+            else:
+                out += pair(w.end - 1)[0]
+        return out
+
+    forms = [*words, "vanhet", "huls", "marktmcester", "mees", "ter", "hui", "zen", "Xyz", "to", "ge-", "markt-", "hui-"]
+    for _ in range(300):
+        lines = [[rng.choice(forms) for _ in range(rng.randint(2, 4))] for _ in range(rng.randint(1, 3))]
+        apart = [False] * len(lines)
+        assert abs(cost(lines, apart, scans.words_of_stream(lines, apart, lexicon)) - cheapest(lines, apart)) < 1e-6
+
+
+def test_words_are_divided_joined_and_corrected_in_the_stream():
+    words = dict.fromkeys("in van het huis gewoon water marktschip kerk buurman riep by vuur".split(), 50)
+    lexicon = scans.Lexicon(words, {}, {}, 6000)
+    out = scans.decode(["water vanhet huis ge woon", "water markt-", "scbip by het kcrk", "buurman"], [], None, None, None, lexicon)
+    assert [" ".join(t for t in x.texts if t) for x in out] == ["water van het huis gewoon", "water marktschip", "by het kerk", "buurman"]
+    assert [x.broken for x in out] == [False, True, False, False] and [any(x.wrong) for x in out] == [False, False, True, False]
+
+
+def test_a_heading_does_not_cut_a_sentence():
+    words = dict.fromkeys("want myn buurman riep by het vuur den wynglas stond daar".split(), 50)
+    lexicon = scans.Lexicon(words, {}, {}, 6000)
+    lines = ["want myn buurman riep", "ACHTSTE DAG.", "by het vuur. den wyn-", "TWEEDE HOOFDSTUK.", "glas stond daar. myn"]
+    one, two = (scans.pieces_of(scans.decode(ls, [], None, None, None, lexicon)) for ls in (lines, ["buurman riep.", "daar stond het."]))
+    got = scans.paragraphs_of([(1, one), (2, two)], 0)
+    assert got == [
+        (1, 0, "want myn buurman riep by het vuur."), (1, 1, "ACHTSTE DAG."), (1, 2, "den wynglas stond daar."),
+        (1, 3, "TWEEDE HOOFDSTUK."), (1, 4, "myn buurman riep. daar stond het."),
+    ]
+
+
+def test_groups_of_scans_give_every_sentence_once():
+    rng = random.Random(13)
+    pages, n = [], 0
+    for s in range(200):
+        own = []
+        for _ in range(rng.choice([0, 1, 1, 3, 8])):
+            n += 1
+            own.append(scans.Piece(f"w{n}", rng.random() < 0.7, 1.0, rng.random() < 0.1))
+        if rng.random() < 0.95:
+            pages.append((s, own))
+    out = []
+    for g in range(14):
+        out += scans.paragraphs_of([(s, p) for s, p in pages if g * scans.GROUP - 1 <= s <= (g + 1) * scans.GROUP + 5], g)
+    held = " ".join(t for *_, t in out).split()
+    assert sorted(held) == sorted(p.text for _, own in pages for p in own) and len(held) == len(set(held))
+    assert len({(s, k) for s, k, _ in out}) == len(out) and max(len(t.split()) for *_, t in out) < 80
+
+
+def test_a_lexicon_beyond_its_bound_gives_the_same(spark, monkeypatch):
+    df = _scans(spark)
+    noise = sorted(map(tuple, scans.noise(df).collect()))
+    text = sorted(map(str, scans.paragraphs(df).collect()))
+    monkeypatch.setattr(scans, "MAX_LEXICON", 3)
+    assert noise == sorted(map(tuple, scans.noise(df).collect()))
+    assert text == sorted(map(str, scans.paragraphs(df).collect()))
 
 
 def test_digits_in_words_are_misread_at_every_size():

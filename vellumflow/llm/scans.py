@@ -18,7 +18,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,11 +27,10 @@ from pyspark.sql import functions as F
 
 from vellumflow.llm.canonical import distance
 from vellumflow.operators.nested import index_of
-from vellumflow.operators.ordered import with_neighbours
 from vellumflow.session import cut
 
-#: Words (and joined pairs) of the lexicon at most, most frequent first.
-MAX_LEXICON = 60_000
+#: Entries of a lexicon that goes to every worker at most; of a longer one each page gets its part.
+MAX_LEXICON = 100_000
 #: A word is known from so many occurrences on.
 KNOWN = 4
 #: A token may be a misreading if it occurs at most this part as often as the word.
@@ -39,6 +39,10 @@ RARE = 0.03
 NEAR = 8
 #: Lines at the top and at the bottom of a scan that may be a title or a page number.
 EDGE = 2
+#: Bits that a word costs besides its own: with a space lost inside, with one too many, broken at a line's end without a hyphen.
+SPLIT, MERGE, BREAK = 10.0, 6.0, 2.0
+#: Bits of a hyphen at a line's end that breaks no word; of one that stands apart.
+ALONE, DASH = 60.0, 16.0
 
 # Characters that end a line inside a word.
 HYPHENS = "-¬=⸗­‐‑"
@@ -55,8 +59,7 @@ CONFUSED = frozenset(
 # Digits that stand for a letter.
 DIGITS = str.maketrans({"0": "o", "1": "l", "5": "s", "4": "a", "8": "b", "6": "b", "9": "g", "3": "e", "2": "z", "7": "t"})
 
-# Marks a compound's hyphen at a line's end in decoded tokens.
-_KEPT = "\x1f"
+_NOT_BLANK = r"[^\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _EDGES = ".,;:!?()[]{}«»„“”‘\"…—–<>*"
 _NUMBER = re.compile(r"^\d+(?:[½¼¾]|[.,:/-]\d+)*(?:den|sten|ten|sche|ste|de|te|th|st|nd|rd|er|re|e|me|ème|o)?[½¼¾]?$|^[½¼¾]$", re.I)
 _ELISION = re.compile(r"^(?:[ldjmnstc]|qu|jusqu|lorsqu|puisqu|quoiqu|presqu|quelqu|aujourd)['’]", re.I)
@@ -176,10 +179,10 @@ def noise_lines(lines: list[str], titles: list[str], expected: int | None = None
 
 
 class Lexicon:
-    """Counts of words, of neighbouring words whose letters joined are a word, and of abbreviated first members."""
+    """Counts of words, of neighbouring words whose letters joined are a word, and of abbreviated first members, inside lines and at their ends."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], suspended: dict[str, int], total: int):
-        self.words, self.pairs, self.suspended = words, pairs, suspended
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], suspended: dict[str, int], total: int, at_ends: dict[str, int] | None = None):
+        self.words, self.pairs, self.suspended, self.at_ends = words, pairs, suspended, at_ends or {}
         self.total = max(total, 1)
         self.deleted: dict[str, list[str]] = defaultdict(list)
         for w, n in words.items():
@@ -187,6 +190,16 @@ class Lexicon:
                 for v in {w[:i] + w[i + 1 :] for i in range(len(w))}:
                     self.deleted[v].append(w)
         self.memory: dict[tuple, bool] = {}
+        self.edges: dict[str, float] = {}
+        self.divisions: dict[str, tuple[float, int]] = {}
+
+    @classmethod
+    def of(cls, entries: Iterable[tuple[str, str, str, int]], total: int) -> Lexicon:
+        """From (kind, a, b, n): ``word``, ``pair``, ``member``, ``end``; b is the second word of a pair."""
+        kinds: dict[str, dict] = {"word": {}, "pair": {}, "member": {}, "end": {}}
+        for kind, a, b, n in entries:
+            kinds[kind][(a, b) if kind == "pair" else a] = n
+        return cls(kinds["word"], kinds["pair"], kinds["member"], total, kinds["end"])
 
     def count(self, word: str) -> int:
         return self.words.get(word, 0)
@@ -233,13 +246,22 @@ class Lexicon:
             return False
         low = word.lower()
         plain = _ELISION.sub("", low)
+        if plain != low and self.count(low) < KNOWN and self.count(plain) < max((self.count(w) for w, _ in self.near(low)), default=0):
+            plain = low  # a mark in place of a letter
         plain = re.sub(r"['’]s$|['’]$", "", plain)
         if any(not c.isalpha() and c not in "-‐" for c in plain):
             # A digit or a mark inside the word; an abbreviation's stop or a known form is none.
             return not (self._own_form(low, plain) or re.fullmatch(r"(?:\w\.)+\w?", low) and not any(c.isdigit() for c in low))
         if any(c.islower() and d.isupper() for c, d in zip(word, word[1:])):
             return True
-        return any(self._unlikely(p, word[:1].isupper()) for p in ([plain] if "-" not in plain or self.count(plain) >= KNOWN else plain.split("-")) if p)
+        parts = [plain] if "-" not in plain or self.count(plain) >= KNOWN else plain.split("-")
+        if word[-1] in HYPHENS and len(parts) > 1 and self.is_member(parts[-2]):
+            parts = parts[:-2]  # the first member of compounds, abbreviated
+        return any(self._unlikely(p, word[:1].isupper()) for p in parts if p)
+
+    def is_member(self, head: str) -> bool:
+        """Whether a form is known as an abbreviated first member of compounds."""
+        return self.suspended.get(head, 0) >= KNOWN or self.at_ends.get(head, 0) >= KNOWN
 
     def _own_form(self, low: str, plain: str) -> bool:
         """Whether a form with a digit or mark inside is known as such: it occurs more often than every word it may be read as."""
@@ -282,8 +304,43 @@ class Lexicon:
             best = min(best, 9.0 - math.log2(self.count(w) / self.total))
         return best
 
-    def broken(self, last: str, following: str | None, set_off: bool = False) -> bool:
-        """Whether a line's last token is the first part of a word that ``following`` (first token of the next line) goes on with.
+    def whole(self, token: str) -> float:
+        """Bits of a token that is one word as it stands, known or misread."""
+        known = self.edges.get(token)
+        if known is None:
+            if len(self.edges) > 300_000:
+                self.edges.clear()
+            known = self.edges[token] = self.cost(token)
+        return known
+
+    def divided(self, token: str) -> tuple[float, int]:
+        """(bits, place) of the best division of a token into two known words; infinite bits if there is none."""
+        known = self.divisions.get(token)
+        if known is None:
+            if len(self.divisions) > 300_000:
+                self.divisions.clear()
+            best = (math.inf, 0)
+            word = core(token)
+            if len(word) > 4 and word.isalpha() and self.count(word.lower()) < 2:
+                low, at = word.lower(), token.find(word)
+                for i in range(2, len(low) - 1):
+                    if self.count(low[:i]) >= KNOWN and self.count(low[i:]) >= KNOWN and not word[i].isupper():
+                        best = min(best, (SPLIT + self.cost(low[:i]) + self.cost(low[i:]), at + i))
+            known = self.divisions[token] = best
+        return known
+
+    def within(self, a: str, b: str) -> tuple[float, float]:
+        """(bits of two neighbouring tokens of a line as one word, bits that their standing apart costs besides their own)."""
+        if not (a[-1:].isalpha() and b[:1].islower()):
+            return math.inf, 0.0
+        low = (core(a).lower(), core(b).lower())
+        joined = low[0] + low[1]
+        if self.count(joined) < KNOWN or self.count(low[0]) >= 2 and self.count(low[1]) >= 2:
+            return math.inf, 0.0
+        return MERGE + self.cost(joined), 0.0
+
+    def across(self, last: str, following: str, set_off: bool = False) -> tuple[float, float]:
+        """(bits of a line's last token and the first of the next as one word, bits that their standing apart costs besides their own).
 
         set_off: the hyphen stood apart, so it may as well be a dash.
         """
@@ -291,33 +348,28 @@ class Lexicon:
         hyphen = bare[-1:] in HYPHENS and len(bare) > 1
         first = bare.rstrip(HYPHENS)
         if not first or not first[-1:].isalpha():
-            return False
-        head = core(first)
-        if following is None:
-            return hyphen
-        nxt = core(following)
+            return math.inf, 0.0
+        head, nxt = core(first), core(following)
+        joined = (head + re.match(r"[^\W\d_]*", nxt)[0]).lower()
         if hyphen:
             if nxt.lower() in CONJUNCTIONS:
                 # An abbreviated first member, unless the two parts make a known word and the first is no known member.
-                joined = self.count((head + nxt).lower())
-                return joined >= KNOWN and self.suspended.get(head.lower(), 0) < KNOWN and self.count(head.lower()) < joined
+                n = self.count((head + nxt).lower())
+                return (self.cost(head + nxt) + self.cost(nxt) if n >= KNOWN else math.inf), (-ALONE if self.suspended.get(head.lower(), 0) >= KNOWN else 0.0)
             if set_off and nxt:
-                if nxt[0].isupper() and not head[0].isupper():
-                    return False
-                joined = (head + re.match(r"[^\W\d_]*", nxt)[0]).lower()
-                return self.count(joined) >= 2 or not (self.count(head.lower()) >= KNOWN and self.count(nxt.lower()) >= KNOWN)
-            return True
+                apart = nxt[0].isupper() and not head[0].isupper() or not any(c.isalpha() for c in nxt)
+                apart = apart or self.count(joined) < 2 and self.count(head.lower()) >= KNOWN and self.count(nxt.lower()) >= KNOWN
+                return (math.inf if apart else self.cost(joined)), DASH
+            return self.cost(joined), ALONE
         if last != last.rstrip(_EDGES) or not nxt or not nxt[0].islower():
-            return False
-        joined = (head + re.match(r"[^\W\d_]*", nxt)[0]).lower()
+            return math.inf, 0.0
         if self.count(joined) < 2 and not (len(joined) > 5 and self.near(joined)):
             # Both parts unknown (a name, say): one word if neither could stand alone.
-            return False if self.count(head.lower()) >= 2 or self.count(nxt.lower()) >= 2 else len(head) > 1 and len(nxt) > 1 and self._part(head, nxt)
-        apart = self.cost(head) + self.cost(nxt)
+            if self.count(head.lower()) >= 2 or self.count(nxt.lower()) >= 2 or len(head) < 2 or len(nxt) < 2 or not self._part(head, nxt):
+                return math.inf, 0.0
         seen = self.pairs.get((head.lower(), nxt.lower()), 0)
-        if seen:
-            apart = min(apart, -math.log2(seen / self.total))
-        return self.cost(joined) + 2.0 < apart
+        apart = self.cost(head) + self.cost(nxt)
+        return BREAK + self.cost(joined), (min(apart, -math.log2(seen / self.total)) - apart if seen else 0.0)
 
     def _part(self, head: str, nxt: str) -> bool:
         near = lambda x: any(self.count(w) >= 10 for w, _ in self.near(x.lower()))
@@ -356,7 +408,7 @@ def pages(scans: DataFrame) -> DataFrame:
             )
 
         held = F.filter(F.coalesce(g["text_lines"], F.array()), lambda x: x.isNotNull())
-        return F.filter(F.transform(held, line), lambda x: F.trim(F.coalesce(x["text"], F.lit(""))) != "")
+        return F.filter(F.transform(held, line), lambda x: F.coalesce(x["text"], F.lit("")).rlike(_NOT_BLANK))
 
     regions = F.filter(F.coalesce(F.col("regions"), F.array()), lambda g: g.isNotNull())
     lines = F.array_sort(F.flatten(F.transform(regions, region)))
@@ -364,7 +416,30 @@ def pages(scans: DataFrame) -> DataFrame:
     return scans.select("rec_id", "volume", "scan_number", kept.alias("lines"))
 
 
-def titles_of(paged: DataFrame) -> DataFrame:
+_EDGE = "struct<form:string,sure:boolean,top:boolean,chapter:string,capital:boolean>"
+
+
+def edges_of(paged: DataFrame) -> DataFrame:
+    """rec_id, volume, scan_number, edges, numbers: what the lines at the edges of each record may be, titles and page numbers."""
+
+    @F.pandas_udf(f"edges array<{_EDGE}>, numbers array<int>")
+    def edges(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            lines = list(t)
+            sure: dict[str, bool] = {}
+            for f, c in edge_titles(lines):
+                sure[f] = sure.get(f, False) or c
+            forms = [{"form": f, "sure": sure[f], "top": top, "chapter": c, "capital": u} for f, top, c, u in edge_forms(lines)]
+            at = {*range(min(EDGE, len(lines))), *range(max(0, len(lines) - EDGE), len(lines))}
+            found = {page_value(lines[k]) for k in at if is_page_number(lines[k])}
+            out.append((forms, sorted(n for n in found if n is not None and n < 100_000)))
+        return pd.DataFrame(out, columns=["edges", "numbers"])
+
+    return paged.select("rec_id", "volume", "scan_number", edges(F.transform("lines", lambda x: x["text"])).alias("e")).select("rec_id", "volume", "scan_number", "e.*")
+
+
+def titles_of(edges: DataFrame) -> DataFrame:
     """volume, titles: the running titles of each volume, most frequent first.
 
     A title is a line at a scan's edge whose letters recur at the edge of every
@@ -372,86 +447,188 @@ def titles_of(paged: DataFrame) -> DataFrame:
     fiftieth. A scan has few edge lines, so a volume has few such titles, however
     many scans it has. Titles of fewer scans come from ``near_titles_of``.
     """
-
-    @F.pandas_udf("array<struct<form:string,sure:boolean>>")
-    def edges(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"form": f, "sure": s} for f, s in edge_titles(list(t))])
-
-    texts = F.transform("lines", lambda x: x["text"])
-    scans = paged.groupBy("volume").agg(F.approx_count_distinct("scan_number").alias("n"))
-    forms = paged.select("volume", "scan_number", F.inline(edges(texts))).groupBy("volume", "form").agg(
-        F.approx_count_distinct("scan_number").alias("k"), F.max("sure").alias("sure")
-    )
+    scans = edges.select("volume", "scan_number").distinct().groupBy("volume").agg(F.count("scan_number").alias("n"))
+    forms = edges.select("volume", "scan_number", F.inline("edges")).groupBy("volume", "form", "scan_number").agg(F.max("sure").alias("sure"))
+    forms = forms.groupBy("volume", "form").agg(F.count("scan_number").alias("k"), F.max("sure").alias("sure"))
     frequent = forms.join(scans.withColumnRenamed("volume", "_vf_v"), F.col("volume").eqNullSafe(F.col("_vf_v"))).where(
-        (F.col("k") >= F.greatest(F.lit(3), F.col("n") / 8)) | (F.col("sure") & (F.col("k") >= F.col("n") / 50))
+        (F.col("k") >= F.greatest(F.lit(3), F.col("n") / 8)) | (F.col("sure") & (F.col("k") >= F.greatest(F.lit(1), F.col("n") / 50)))
     )
     return frequent.groupBy("volume").agg(F.sort_array(F.collect_list(F.struct("k", "form")), asc=False).alias("t")).select(
         "volume", F.transform("t", lambda x: x["form"]).alias("titles")
     )
 
 
-def near_titles_of(paged: DataFrame) -> DataFrame:
+def near_titles_of(edges: DataFrame) -> DataFrame:
     """volume, scan_number, titles: the forms at a scan's edges that recur on scans near it.
 
     Scans are grouped by (volume, block of 4 * ``NEAR`` numbers) with the scans near
     the block, so no group grows with its volume. A null scan number has none near it.
     """
-    forms = "array<struct<form:string,top:boolean,chapter:string,capital:boolean>>"
-
-    @F.pandas_udf(forms)
-    def edges(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"form": f, "top": top, "chapter": c, "capital": u} for f, top, c, u in edge_forms(list(t))])
 
     @F.pandas_udf("array<struct<scan_number:int,titles:array<string>>>")
     def recurring(blocks: pd.Series, scans: pd.Series) -> pd.Series:
         out = []
         for block, rows in zip(blocks, scans):
-            found = near_titles([(int(r["scan_number"]), [(f["form"], bool(f["top"]), f["chapter"], bool(f["capital"])) for f in r["e"]]) for r in rows])
+            found = near_titles([(int(r["scan_number"]), [(f["form"], bool(f["top"]), f["chapter"], bool(f["capital"])) for f in r["edges"]]) for r in rows])
             out.append([{"scan_number": n, "titles": t} for n, t in found.items() if n // size == block])
         return pd.Series(out)
 
     size = 4 * NEAR
     block = lambda shift: F.floor((F.col("scan_number") + shift) / size)
-    rows = paged.where("scan_number is not null").select("volume", "scan_number", edges(F.transform("lines", lambda x: x["text"])).alias("e")).where(F.size("e") > 0)
+    rows = edges.where(F.col("scan_number").isNotNull() & (F.size("edges") > 0)).select("volume", "scan_number", "edges")
     # A scan near the border of its block also goes to the block beyond it.
-    rows = rows.select("volume", "scan_number", "e", F.explode(F.array_distinct(F.array(block(-NEAR), block(0), block(NEAR)))).alias("block"))
-    groups = rows.groupBy("volume", "block").agg(F.collect_list(F.struct("scan_number", "e")).alias("scans"))
+    rows = rows.select("*", F.explode(F.array_distinct(F.array(block(-NEAR), block(0), block(NEAR)))).alias("block"))
+    groups = rows.groupBy("volume", "block").agg(F.collect_list(F.struct("scan_number", "edges")).alias("scans"))
     return groups.select("volume", F.inline(recurring("block", "scans")))
 
 
-def lexicon_of(paged: DataFrame) -> Lexicon:
-    """The lexicon of all lines: words by count (inner tokens of lines, which are whole), at most ``MAX_LEXICON``."""
+def lexicon_of(paged: DataFrame) -> tuple[DataFrame, int]:
+    """(kind, a, b, n) of all that the decisions count over all lines, and the number of words.
+
+    ``word``: inner tokens of lines, which are whole, and their parts between
+    hyphens; ``pair``: neighbouring tokens whose letters joined are a word;
+    ``member``: an abbreviated first member before a conjunction inside a line,
+    ``end``: one at a line's end. Forms seen once are left out.
+    """
     bare = rf"^[{re.escape(_EDGES)}]+|[{re.escape(_EDGES)}]+$"
-    lines = paged.select(F.inline("lines")).select(F.split(F.trim("text"), r"\s+").alias("t"))
+    tokens = F.transform("lines", lambda x: F.split(F.trim(x["text"]), r"\s+"))
+    lines = paged.select(F.posexplode(tokens).alias("k", "t"), tokens.alias("all"))
+    following = F.lower(F.get(F.get("all", F.col("k") + 1), F.lit(0)))
+    lines = lines.select("t", following.alias("following"))
     inner = lines.select(F.when(F.size("t") > 2, F.slice("t", F.lit(2), F.size("t") - 2)).otherwise(F.array()).alias("t"))
     whole = F.transform("t", lambda x: F.lower(F.regexp_replace(x, bare, "")))
     parts = F.flatten(F.transform(F.filter(whole, lambda x: F.instr(x, "-") > 1), lambda x: F.split(x, "-")))
-    words = inner.select(F.explode(F.concat(whole, parts)).alias("w")).where("w <> ''").groupBy("w").count()
-    top = words.where(F.col("count") >= 2).orderBy(F.desc("count"), "w").limit(MAX_LEXICON)
-    counts = {r.w: r["count"] for r in top.collect()}
-    total = words.agg(F.sum("count")).first()[0] or 1
-    known = paged.sparkSession.sparkContext.broadcast(frozenset(counts))
+    forms = inner.select(F.filter(F.concat(whole, parts), lambda x: x != "").alias("w"))
+    total = forms.agg(F.sum(F.size("w"))).first()[0] or 1
+    words = cut(forms.select(F.explode("w").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n >= 2"))
 
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["kind", "a", "b", "joined", "n"]
         seen: Counter = Counter()
+        rows = lambda: pd.DataFrame([(*k, n) for k, n in seen.items()], columns=columns)
         for batch in batches:
-            for ts in batch["t"]:
+            for ts, nxt in zip(batch["t"], batch["following"]):
                 ts = [str(x) for x in ts]
                 for a, b in zip(ts, ts[1:]):
                     if a[-1:] in HYPHENS and core(b).lower() in CONJUNCTIONS:
-                        seen[core(a).rstrip(HYPHENS).lower(), ""] += 1
+                        seen["member", core(a).rstrip(HYPHENS).lower(), "", ""] += 1
                     elif core(a) == a and a[-1:].isalpha():
                         low = (a.lower(), core(b).lower())
-                        if low[1] and low[0] + low[1] in known.value:
-                            seen[low] += 1
+                        if low[1]:
+                            seen["pair", *low, low[0] + low[1]] += 1
+                if ts and ts[-1][-1:] in HYPHENS and core(nxt or "") in CONJUNCTIONS:
+                    seen["end", core(ts[-1]).rstrip(HYPHENS).lower(), "", ""] += 1
             if len(seen) > 200_000:
-                yield pd.DataFrame([(a, b, n) for (a, b), n in seen.items()], columns=["a", "b", "n"])
+                yield rows()
                 seen.clear()
-        yield pd.DataFrame([(a, b, n) for (a, b), n in seen.items()], columns=["a", "b", "n"])
+        yield rows()
+
+    counted = lines.mapInPandas(others, "kind string, a string, b string, joined string, n long").groupBy("kind", "a", "b", "joined").agg(F.sum("n").alias("n"))
+    joined = counted.where("kind = 'pair'").join(words.select(F.col("a").alias("joined")), "joined", "left_semi")
+    rest = counted.where("kind <> 'pair'")
+    out = words.select(F.lit("word").alias("kind"), "a", F.lit("").alias("b"), "n")
+    return cut(out.unionByName(joined.select("kind", "a", "b", "n")).unionByName(rest.select("kind", "a", "b", "n"))), total
+
 
-    both = lines.mapInPandas(pairs, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    rows = both.orderBy(F.desc("n"), "a", "b").limit(MAX_LEXICON).collect()
-    return Lexicon(counts, {(r.a, r.b): r.n for r in rows if r.b}, {r.a: r.n for r in rows if not r.b}, total)
+def forms_asked(lines: list[str]) -> tuple[dict[str, bool], set[tuple[str, str]]]:
+    """What decoding consecutive lines may ask a lexicon: forms (and whether words near them), pairs of words."""
+    forms: dict[str, bool] = {"": False}
+    pairs: set[tuple[str, str]] = set()
+
+    def near(word: str) -> None:
+        low = word.lower()
+        plain = _ELISION.sub("", low)
+        for x in {low, plain, re.sub(r"['’]s$|['’]$", "", plain), re.sub(r"['’]s$|['’]$", "", low)}:
+            for part in {x, *x.split("-")}:
+                for y in {part, part.translate(DIGITS)}:
+                    for z in (y, re.sub(r"[^\w'’-]", "", y), re.sub(r"[\W\d_]", "", y), re.sub(r"(?<=[^\W\d_])['’](?=[^\W\d_]{3})", "", y), re.sub(r"[^\w'’-]|(?<=[^\W\d_])['’](?=[^\W\d_]{3})", "", y)):
+                        forms[z] = True
+
+    rows = [line.split() for line in lines]
+    for row in rows:
+        for t in row:
+            word = core(t)
+            for x in (word, word.rstrip(HYPHENS), core(t.rstrip(HYPHENS)), core(word.rstrip(HYPHENS))):
+                near(x)
+            low = word.lower()
+            if word.isalpha():
+                for i in range(2, len(low) - 1):
+                    forms.setdefault(low[:i], False)
+                    forms.setdefault(low[i:], False)
+        for a, b in zip(row, row[1:]):
+            low = core(a).lower(), core(b).lower()
+            forms.setdefault("".join(low), False)
+            pairs.add(low)
+    # Lines that stand next to each other in the running text may have headings between them.
+    for n, row in enumerate(rows):
+        heads = [row[-1]] if len(row) < 2 else [row[-1], row[-2] + row[-1]]
+        for m in range(n + 1, len(rows)):
+            nxt = core(rows[m][0])
+            for head in heads if row else ():
+                h = core(head.rstrip(_EDGES).rstrip(HYPHENS))
+                letters = re.match(r"[^\W\d_]*", nxt)[0]
+                for x in (h + nxt, h + letters, f"{h}-{nxt}", core(head.rstrip(HYPHENS)) + nxt):
+                    near(x)
+                pairs.add((h.lower(), nxt.lower()))
+                if len(rows[m]) == 1 and m + 1 < len(rows):
+                    for far in range(m + 1, min(len(rows), m + 6)):
+                        beyond = core(rows[far][0])
+                        middle = core(rows[m][0].rstrip(HYPHENS))
+                        for x in (h + middle + beyond, h + middle + re.match(r"[^\W\d_]*", beyond)[0]):
+                            near(x)
+            if not interrupts(" ".join(rows[m])) and m > n + EDGE:
+                break
+    return forms, pairs
+
+
+def _variants(word: str) -> set[str]:
+    """A form and what it is with one character less or with one confused group, by which near words meet."""
+    out = {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+    for a, b in CONFUSED_GROUPS:
+        for x, y in ((a, b), (b, a)):
+            at = word.find(x)
+            while at >= 0:
+                out.add(word[:at] + y + word[at + len(x) :])
+                at = word.find(x, at + 1)
+    return out
+
+
+def _parts_of_lexicon(known: DataFrame, entries: DataFrame) -> DataFrame:
+    """rec_id, lexicon: for each page the entries that its decoding may ask for, found by joins.
+
+    Each different form is looked up once, by itself and by its variants; the pages
+    get the answers by form.
+    """
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, ls, b, f in zip(batch["rec_id"], batch["texts"], batch["before"], batch["following"]):
+                forms, pairs = forms_asked([x for x in (b, *ls, f) if x])
+                rows += [(i, "near" if n else "word", x, "") for x, n in forms.items()]
+                rows += [(i, "pair", x, y) for x, y in pairs]
+            yield pd.DataFrame(rows, columns=["rec_id", "kind", "a", "b"])
+
+    def variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, a, v) for k, a in zip(batch["kind"], batch["a"]) for v in (_variants(a) if k == "near" else (a,))]
+            yield pd.DataFrame(rows, columns=["kind", "a", "v"])
+
+    texts = F.transform("lines", lambda x: x["text"])
+    wanted = cut(known.select("rec_id", texts.alias("texts"), "before", "following").mapInPandas(asked, "rec_id long, kind string, a string, b string"))
+    forms = wanted.where("kind <> 'pair'").select("kind", "a").distinct()
+    by_variant = forms.mapInPandas(variants, "kind string, a string, v string")
+    words = entries.where("kind = 'word'").select(F.lit("near").alias("k"), F.col("a").alias("w"), "n").mapInPandas(
+        lambda batches: (pd.DataFrame([(w, n, v) for w, n in zip(x["w"], x["n"]) for v in _variants(w)], columns=["w", "n", "v"]) for x in batches), "w string, n long, v string"
+    )
+    found = by_variant.join(words, "v").where("kind = 'near' or a = w").select("kind", "a", F.lit("word").alias("is"), "w", F.lit("").alias("b"), "n").distinct()
+    # First members are few words, and each word may be one.
+    members = entries.where("kind in ('member', 'end')").select(F.col("kind").alias("is"), F.col("a").alias("w"), "n")
+    found = found.unionByName(forms.join(members, forms.a == members.w).select("kind", "a", "is", "w", F.lit("").alias("b"), "n"))
+    found = found.groupBy("kind", "a").agg(F.collect_set(F.struct(F.col("is").alias("kind"), F.col("w").alias("a"), "b", "n")).alias("e"))
+    pairs = entries.where("kind = 'pair'").select("kind", "a", "b", F.array(F.struct("kind", "a", "b", "n")).alias("e"))
+    held = wanted.where("kind <> 'pair'").join(found, ["kind", "a"]).select("rec_id", "e").unionByName(wanted.join(pairs, ["kind", "a", "b"]).select("rec_id", "e"))
+    return held.groupBy("rec_id").agg(F.array_distinct(F.flatten(F.collect_list("e"))).alias("lexicon"))
 
 
 def _tail(text: str) -> tuple[list[str], bool]:
@@ -463,114 +640,226 @@ def _tail(text: str) -> tuple[list[str], bool]:
 
 
 def _first_and_last(lines: list[str], titles: list[str], expected: int | None) -> tuple[str | None, str | None]:
-    """First token, last line of the running text of a page."""
+    """First and last line of the running text of a page."""
     kept = [t for t, k in zip(lines, noise_lines(lines, titles, expected)) if not k and not interrupts(t)]
-    return (kept[0].split()[0], kept[-1]) if kept else (None, None)
+    return (kept[0], kept[-1]) if kept else (None, None)
+
 
+class Word(NamedTuple):
+    """A word of the decoded stream: tokens from ``start`` to before ``end``, ``at`` > 0 if it is divided there."""
 
-def decode(lines: list[str], titles: list[str], expected: int | None, before: str | None, following: str | None, lexicon: Lexicon) -> list[tuple[str, list[str], bool, list[bool]]]:
-    """Of each line of a page (kind, tokens, broken, misread tokens).
+    start: int
+    end: int
+    at: int = 0
 
-    before: the last line of the scan before; following: the first token of the next
-    scan. kind is as in ``noise_lines``; the first token of a line that goes on with
-    a broken word, and the last of one that is broken, are no whole words.
+
+def words_of_stream(lines: list[list[str]], set_off: list[bool], lexicon: Lexicon) -> list[Word]:
+    """The cheapest reading of lines of tokens as one stream of words, by Viterbi over all places where a word may end.
+
+    A word is a token as it stands (known, unknown, or a confusion of a known word),
+    a token divided in two, two tokens of a line in one, or the end of a line with
+    the beginning of the next (through a line of one token, also with the one after).
+    set_off says of each line whether its closing hyphen stood apart.
+    """
+    tokens = [t for line in lines for t in line]
+    breaks: dict[int, bool] = {}
+    k = 0
+    for line, apart in zip(lines, set_off):
+        k += len(line)
+        breaks[k] = apart
+    n = len(tokens)
+    best, back = [0.0] + [math.inf] * n, [Word(0, 0)] * (n + 1)
+    # What it costs that a word ends at a place.
+    ends = [0.0] * (n + 1)
+    one_word: list[float] = [math.inf] * (n + 1)
+    for k in range(1, n):
+        a, b = tokens[k - 1], tokens[k]
+        one_word[k], ends[k] = lexicon.across(a, b, breaks[k]) if k in breaks else lexicon.within(a, b)
+    for k in range(n):
+        here, token = best[k] + ends[k], tokens[k]
+        at_break = k + 1 in breaks
+        own = here + lexicon.whole(token.rstrip(HYPHENS) if at_break else token)
+        if own < best[k + 1]:
+            best[k + 1], back[k + 1] = own, Word(k, k + 1)
+        if not at_break or token[-1:] not in HYPHENS:
+            bits, at = lexicon.divided(token)
+            if here + bits < best[k + 1]:
+                best[k + 1], back[k + 1] = here + bits, Word(k, k + 1, at)
+        if k + 1 < n and here + one_word[k + 1] < best[k + 2]:
+            best[k + 2], back[k + 2] = here + one_word[k + 1], Word(k, k + 2)
+        if k + 2 < n and at_break and k + 2 in breaks and one_word[k + 1] < math.inf and tokens[k + 1][-1:] in HYPHENS:
+            bits = lexicon.across(token.rstrip(HYPHENS) + tokens[k + 1], tokens[k + 2], breaks[k + 2])[0]
+            if here + bits < best[k + 3]:
+                best[k + 3], back[k + 3] = here + bits, Word(k, k + 3)
+    out, k = [], n
+    while k:
+        out.append(back[k])
+        k = back[k].start
+    return out[::-1]
+
+
+def goes_on(before: str | None, following: str | None, lexicon: Lexicon) -> bool:
+    """Whether the last word of a scan's last line goes on in the first line of the next scan; both scans decide alike."""
+    if not before:
+        return False
+    tokens, apart = _tail(before)
+    if not following:
+        return not apart and len(tokens[-1]) > 1 and tokens[-1][-1] in HYPHENS and tokens[-1].rstrip(HYPHENS)[-1:].isalpha()
+    words = words_of_stream([tokens, following.split()], [apart, False], lexicon)
+    return any(w.start < len(tokens) < w.end for w in words)
+
+
+class Line(NamedTuple):
+    """A decoded line: kind of noise, tokens, whether it ends inside a word, of each token whether it is misread and its text in the repaired stream (empty if it belongs to the word before)."""
+
+    kind: str
+    tokens: list[str]
+    broken: bool
+    wrong: list[bool]
+    texts: list[str]
+
+
+def decode(lines: list[str], titles: list[str], expected: int | None, before: str | None, following: str | None, lexicon: Lexicon) -> list[Line]:
+    """The lines of a page, decoded as one stream.
+
+    before: the last line of the scan before; following: the first line of the next
+    scan. kind is as in ``noise_lines``. A word over a line's end has its whole
+    repaired text at its first token. Headings stand outside the stream, so a word
+    may go on behind them.
     """
     kinds = noise_lines(lines, titles, expected)
     text = [k for k, kind in enumerate(kinds) if not kind and not interrupts(lines[k])]
-    after = {k: lines[text[n + 1]].split()[0] if n + 1 < len(text) else following for n, k in enumerate(text)}
-    into = False
-    if before and text:
-        tokens, apart = _tail(before)
-        into = lexicon.broken(tokens[-1], lines[text[0]].split()[0], apart)
-    out = []
+    tails = [_tail(lines[k]) for k in text]
+    into = bool(text) and goes_on(before, lines[text[0]], lexicon)
+    onward = bool(text) and goes_on(lines[text[-1]], following, lexicon)
+    # Words that are shared with a neighbouring scan are decided already.
+    own = [t for t, _ in tails]
+    if into:
+        own = [own[0][1:], *own[1:]]
+    if onward:
+        own = [*own[:-1], own[-1][:-1]]
+    words = words_of_stream(own, [apart for _, apart in tails], lexicon)
+    stream = [(n, k) for n, line in enumerate(own) for k in range(len(line))]
+    shift = lambda n: 1 if into and n == 0 else 0
+    wrong = [[False] * len(t) for t, _ in tails]
+    texts = [list(t) for t, _ in tails]
+    broken = [False] * len(text)
+    for w in words:
+        n, k = stream[w.start]
+        last = k == len(own[n]) - 1
+        k += shift(n)
+        token = tails[n][0][k]
+        if w.end - w.start == 1:
+            if w.at:
+                texts[n][k] = f"{token[: w.at]} {token[w.at :]}"
+            elif lexicon.misread(token.rstrip(HYPHENS) if last and tails[n][1] else token):
+                wrong[n][k] = True
+                texts[n][k] = corrected(token, lexicon)
+            continue
+        parts = [stream[x] for x in range(w.start, w.end)]
+        for (m, _), (other, _) in zip(parts, parts[1:]):
+            broken[m] = broken[m] or m != other
+        pieces = [tails[m][0][j + shift(m)] for m, j in parts]
+        texts[n][k] = repaired(pieces, lexicon)
+        for m, j in parts[1:]:
+            texts[m][j + shift(m)] = ""
+    if into:
+        texts[0][0] = ""
+    if onward:
+        pieces = [tails[-1][0][-1], following.split()[0]] if following else [tails[-1][0][-1]]
+        texts[-1][-1] = repaired(pieces, lexicon)
+        broken[-1] = True
+    out, at = [], {k: n for n, k in enumerate(text)}
     for k, kind in enumerate(kinds):
-        tokens, apart = _tail(lines[k])
-        broken = False
-        if kind or not tokens:
-            wrong = [False] * len(tokens)
-        elif k not in after:
+        n = at.get(k)
+        if n is None:
+            tokens = lines[k].split()
             # Headings and numbers: known words in capitals are few, so only marks and digits inside a word tell.
-            wrong = [any(c.isalpha() for c in t) and not core(t).replace("-", "").isalpha() and lexicon.misread(t) for t in tokens]
+            marks = [not kind and any(c.isalpha() for c in t) and not core(t).replace("-", "").isalpha() and lexicon.misread(t) for t in tokens]
+            out.append(Line(kind, tokens, False, marks, [corrected(t, lexicon) if m else t for t, m in zip(tokens, marks)]))
+            continue
+        tokens, apart = tails[n]
+        if apart and not broken[n]:
+            # The hyphen that stood apart was a dash.
+            plain = lines[k].split()
+            out.append(Line(kind, plain, False, [*wrong[n], False], [*texts[n][:-1], texts[n][-1].rstrip(HYPHENS), plain[-1]]))
         else:
-            broken = lexicon.broken(tokens[-1], after[k], apart)
-            if apart and not broken:
-                tokens = lines[k].split()
-            last = len(tokens) - 1
-            wrong = [
-                not (n == 0 and into or n == last and broken) and lexicon.misread(t.rstrip(HYPHENS) if n == last else t)
-                for n, t in enumerate(tokens)
-            ]
-            into = broken
-            if broken and after[k] and tokens[-1][-1:] in HYPHENS:
-                # The hyphen of a compound stays.
-                parts = core(tokens[-1].rstrip(HYPHENS)).lower(), core(after[k]).lower()
-                if lexicon.count("-".join(parts)) > lexicon.count("".join(parts)):
-                    tokens = [*tokens[:-1], tokens[-1].rstrip(HYPHENS) + _KEPT]
-        out.append((kind, tokens, broken, wrong))
+            out.append(Line(kind, tokens, broken[n], wrong[n], texts[n]))
     return out
 
 
+def repaired(pieces: list[str], lexicon: Lexicon) -> str:
+    """Tokens that are parts of one word as that word: hyphens go, but for those of a compound, and a misreading of a known word is set right."""
+    text = pieces[0]
+    for nxt in pieces[1:]:
+        head = text.rstrip(HYPHENS) if text[-1:] in HYPHENS else text
+        low = core(head).lower(), core(nxt).lower()
+        hyphen = text != head and lexicon.count("-".join(low)) > lexicon.count("".join(low))
+        text = head + "-" * hyphen + nxt
+    word = core(text)
+    return corrected(text, lexicon) if word.isalpha() and lexicon.count(word.lower()) < 2 else text
+
+
 _LEXICONS: dict[tuple, Lexicon] = {}
+_ENTRIES = "array<struct<kind:string,a:string,b:string,n:bigint>>"
+
+
+def offsets_of(edges: DataFrame) -> DataFrame:
+    """volume, shift: page number minus scan number, where at least three scans of the volume, and most of those with a number, agree."""
+    shifts = edges.select("volume", "scan_number", F.explode("numbers").alias("n")).select("volume", "scan_number", (F.col("n") - F.col("scan_number")).alias("shift")).distinct()
+    counts = shifts.groupBy("volume", "shift").agg(F.count("scan_number").alias("k"))
+    return counts.groupBy("volume").agg(F.max_by("shift", F.struct("k", "shift")).alias("shift"), F.max("k").alias("k"), F.sum("k").alias("all")).where("k >= 3 and 2 * k >= all")
 
 
 def _with_context(paged: DataFrame) -> DataFrame:
-    """Pages with titles, expected page number, last line of the scan before and first token of the next scan."""
-    titles = titles_of(paged).select(F.col("volume").alias("_vf_v"), "titles")
-    shifts = offsets_of(paged).select(F.col("volume").alias("_vf_w"), "shift")
+    """Pages with titles, expected page number, last line of the scan before and first line of the next scan."""
+    edges = cut(edges_of(paged))
+    titles = titles_of(edges).select(F.col("volume").alias("_vf_v"), "titles")
+    shifts = offsets_of(edges).select(F.col("volume").alias("_vf_w"), "shift")
+    near = near_titles_of(edges).select(F.col("volume").alias("_vf_x"), F.col("scan_number").alias("_vf_s"), F.col("titles").alias("near"))
     known = paged.join(titles, F.col("volume").eqNullSafe(F.col("_vf_v")), "left").join(shifts, F.col("volume").eqNullSafe(F.col("_vf_w")), "left")
-    near = near_titles_of(paged).select(F.col("volume").alias("_vf_x"), F.col("scan_number").alias("_vf_s"), F.col("titles").alias("near"))
     known = known.join(near, F.col("volume").eqNullSafe(F.col("_vf_x")) & (F.col("scan_number") == F.col("_vf_s")), "left")
     none = F.array().cast("array<string>")
-    known = known.select("rec_id", "volume", "scan_number", "lines", F.array_union(F.coalesce("titles", none), F.coalesce("near", none)).alias("titles"), (F.col("scan_number") + F.col("shift")).alias("expected"))
 
     @F.pandas_udf("first string, last string")
     def ends(texts: pd.Series, titles: pd.Series, expected: pd.Series) -> pd.DataFrame:
         rows = [_first_and_last(list(t), list(h), None if pd.isna(e) else int(e)) for t, h, e in zip(texts, titles, expected)]
         return pd.DataFrame(rows, columns=["first", "last"])
 
-    texts = F.transform("lines", lambda x: x["text"])
-    edge = known.select("rec_id", "volume", "scan_number", ends(texts, F.col("titles"), F.col("expected")).alias("e"))
+    known = known.select("rec_id", "volume", "scan_number", "lines", F.array_union(F.coalesce("titles", none), F.coalesce("near", none)).alias("titles"), (F.col("scan_number") + F.col("shift")).alias("expected"))
+    known = cut(known.withColumn("ends", ends(F.transform("lines", lambda x: x["text"]), F.col("titles"), F.col("expected"))))
     # Deliveries of a scan hold the same text; the first one stands for the scan.
-    edge = edge.groupBy("volume", "scan_number").agg(F.min_by("e", "rec_id").alias("e"))
-    nxt = edge.select(F.col("volume").alias("_vf_nv"), (F.col("scan_number") - 1).alias("_vf_ns"), F.col("e.first").alias("following"))
-    prev = edge.select(F.col("volume").alias("_vf_pv"), (F.col("scan_number") + 1).alias("_vf_ps"), F.col("e.last").alias("before"))
-    both = known.join(nxt, F.col("volume").eqNullSafe(F.col("_vf_nv")) & (F.col("scan_number") == F.col("_vf_ns")), "left")
-    both = both.join(prev, F.col("volume").eqNullSafe(F.col("_vf_pv")) & (F.col("scan_number") == F.col("_vf_ps")), "left")
-    return both.select(*known.columns, "following", "before")
-
-
-def offsets_of(paged: DataFrame) -> DataFrame:
-    """volume, shift: page number minus scan number, where at least three scans of the volume, and most of those with a number, agree."""
-
-    @F.pandas_udf("array<int>")
-    def numbers(texts: pd.Series) -> pd.Series:
-        def of(lines: list[str]) -> list[int]:
-            at = {*range(min(EDGE, len(lines))), *range(max(0, len(lines) - EDGE), len(lines))}
-            found = {page_value(lines[k]) for k in at if is_page_number(lines[k])}
-            return sorted(n for n in found if n is not None and n < 100_000)
-
-        return texts.map(lambda t: of(list(t)))
-
-    texts = F.transform("lines", lambda x: x["text"])
-    counts = paged.select("volume", "scan_number", F.explode(numbers(texts)).alias("n")).groupBy("volume", (F.col("n") - F.col("scan_number")).alias("shift")).agg(
-        F.approx_count_distinct("scan_number").alias("k")
-    )
-    return counts.groupBy("volume").agg(F.max_by("shift", F.struct("k", "shift")).alias("shift"), F.max("k").alias("k"), F.sum("k").alias("all")).where("k >= 3 and 2 * k >= all")
+    edge = known.where("scan_number is not null").groupBy("volume", "scan_number").agg(F.min_by("ends", "rec_id").alias("e"))
+    to_next = F.struct((F.col("scan_number") + 1).alias("_vf_ns"), F.col("e.last").alias("before"), F.lit(None).cast("string").alias("following"))
+    to_last = F.struct((F.col("scan_number") - 1).alias("_vf_ns"), F.lit(None).cast("string").alias("before"), F.col("e.first").alias("following"))
+    around = edge.select(F.col("volume").alias("_vf_nv"), F.inline(F.array(to_next, to_last))).groupBy("_vf_nv", "_vf_ns").agg(F.max("before").alias("before"), F.max("following").alias("following"))
+    both = known.join(around, F.col("volume").eqNullSafe(F.col("_vf_nv")) & (F.col("scan_number") == F.col("_vf_ns")), "left")
+    return both.select("rec_id", "volume", "scan_number", "lines", "titles", "expected", "before", "following")
 
 
-def _lexicon_udf(paged: DataFrame, lexicon: Lexicon):
-    """A function that gives the broadcast lexicon inside a worker, built once."""
-    context = paged.sparkSession.sparkContext
-    shared = context.broadcast((lexicon.words, lexicon.pairs, lexicon.suspended, lexicon.total))
-    key = (context.applicationId, shared._jbroadcast.id())
+def _with_lexicon(paged: DataFrame, context: DataFrame):
+    """(pages with context and, in ``lexicon``, their part of the lexicon; a function that gives a page's lexicon inside a worker).
 
-    def own() -> Lexicon:
+    A lexicon of up to ``MAX_LEXICON`` entries goes to every worker, which builds it
+    once, and ``lexicon`` is null; of a longer one each page gets what it may ask for.
+    """
+    entries, total = lexicon_of(paged)
+    small = entries.limit(MAX_LEXICON + 1).count() <= MAX_LEXICON
+    spark = paged.sparkSession.sparkContext
+    shared = spark.broadcast([tuple(r) for r in entries.select("kind", "a", "b", "n").collect()] if small else [])
+    key = (spark.applicationId, shared._jbroadcast.id())
+
+    def own(part) -> Lexicon:
+        if not small:
+            return Lexicon.of([(r["kind"], r["a"], r["b"], r["n"]) for r in part] if part is not None else [], total)
         if key not in _LEXICONS:
             _LEXICONS.clear()
-            _LEXICONS[key] = Lexicon(*shared.value)
+            _LEXICONS[key] = Lexicon.of(shared.value, total)
         return _LEXICONS[key]
 
-    return own
+    if small:
+        return context.withColumn("lexicon", F.lit(None).cast(_ENTRIES)), own
+    return context.join(_parts_of_lexicon(context, entries), "rec_id", "left"), own
 
 
 def noise(scans: DataFrame) -> DataFrame:
@@ -582,21 +871,20 @@ def noise(scans: DataFrame) -> DataFrame:
     neighbour.
     """
     paged = cut(pages(scans))
-    lexicon = _lexicon_udf(paged, lexicon_of(paged))
+    context, lexicon = _with_lexicon(paged, _with_context(paged))
 
     @F.pandas_udf("array<struct<region_id:string,line_id:string,noise:string>>")
-    def found(lines: pd.Series, titles: pd.Series, expected: pd.Series, before: pd.Series, following: pd.Series) -> pd.Series:
-        lex, out = lexicon(), []
-        for ls, hs, e, b, f in zip(lines, titles, expected, before, following):
-            ls = list(ls)
+    def found(lines: pd.Series, titles: pd.Series, expected: pd.Series, before: pd.Series, following: pd.Series, part: pd.Series) -> pd.Series:
+        out = []
+        for ls, hs, e, b, f, p in zip(lines, titles, expected, before, following, part):
             rows = []
-            for x, (kind, _, broken, wrong) in zip(ls, decode([x["text"] for x in ls], list(hs), None if pd.isna(e) else int(e), b or None, f or None, lex)):
-                kinds = [kind] if kind else ["broken_word"] * broken + ["misread"] * any(wrong)
+            for x, line in zip(ls, decode([x["text"] for x in ls], list(hs), None if pd.isna(e) else int(e), b or None, f or None, lexicon(p))):
+                kinds = [line.kind] if line.kind else ["broken_word"] * line.broken + ["misread"] * any(line.wrong)
                 rows += [{"region_id": x["region_id"], "line_id": x["line_id"], "noise": k} for k in kinds]
             out.append(rows)
         return pd.Series(out)
 
-    rows = _with_context(paged).select("rec_id", F.inline(found("lines", "titles", "expected", "before", "following")))
+    rows = context.select("rec_id", F.inline(found("lines", "titles", "expected", "before", "following", "lexicon")))
     return rows.select("rec_id", "region_id", "line_id", "noise")
 
 
@@ -615,49 +903,78 @@ def corrected(token: str, lexicon: Lexicon) -> str:
     return token[:at] + best + token[at + len(word) :]
 
 
-def _sentences(decoded: list[tuple[str, list[str], bool, list[bool]]], lexicon: Lexicon) -> list[tuple[str, bool, float]]:
-    """(text, joins the next, cost of a boundary before it) of the sentences of a page, repaired."""
-    widths = sorted(sum(map(len, t)) + len(t) for kind, t, *_ in decoded if not kind)
+class Piece(NamedTuple):
+    """A part of a page: text, whether it ends a sentence, what a paragraph boundary after it costs, and whether it is a block of its own (a heading, numbers)."""
+
+    text: str
+    ends: bool
+    cost: float
+    block: bool
+
+
+_STOP = re.compile(r"[.!?…][»”\"')\]]*$")
+_NO_STOP = re.compile(r"\d\.$|(?<!\w)[^\W\d_]\.$")
+
+
+def pieces_of(decoded: list[Line]) -> list[Piece]:
+    """The sentences of a page, repaired, the last one perhaps open; lines that stand between those of the text are blocks."""
+    text = [x for x in decoded if not x.kind]
+    widths = sorted(sum(map(len, x.tokens)) + len(x.tokens) for x in text)
     usual = widths[len(widths) // 2] if widths else 0
-    out: list[list] = [["", False, 1.0]]
-    glue = True
-    for kind, tokens, broken, wrong in decoded:
-        if kind:
+    out: list[Piece] = []
+    words: list[str] = []
+    blocks: list[Piece] = []  # those that wait for the end of a sentence
+    held: list[str] = []
+
+    def close(ends: bool, cost: float) -> None:
+        if words:
+            out.append(Piece(" ".join(words), ends, cost, False))
+            words.clear()
+        out.extend(blocks)
+        blocks.clear()
+
+    def shut() -> None:
+        if held:
+            blocks.append(Piece(" ".join(held), True, 0.0, True))
+            held.clear()
+        if not words:
+            close(True, 0.0)
+
+    for x in text:
+        if interrupts(" ".join(x.tokens)):
+            held += x.texts
             continue
-        short = sum(map(len, tokens)) + len(tokens) < 0.75 * usual
-        heading = _in_capitals(" ".join(tokens))
-        for n, (t, w) in enumerate(zip(tokens, wrong)):
-            last = n == len(tokens) - 1
-            t = corrected(t, lexicon) if w else t
-            if last and broken:
-                t = t[:-1] + "-" if t[-1:] == _KEPT else t.rstrip(HYPHENS)
-            out[-1][0] += t if glue else (" " + t if out[-1][0] else t)
-            glue = last and broken
-            if re.search(r"[.!?…][»”\"')\]]*$", t) and not re.search(r"\d\.$|\b[A-Z]?[a-z]?\.$", t) or heading and last:
-                # A boundary costs little after a short last line, and nothing around a heading.
-                out.append(["", False, 0.0 if heading else 0.2 if last and short else 1.0 if last else 2.0])
-                glue = True
-    out[-1][1] = glue and bool(out[-1][0])
-    return [tuple(x) for x in out if x[0]]
-
-
-def boundaries(costs: list[float], usual: int = 6) -> list[int]:
-    """Sentences that begin a paragraph, by dynamic programming.
-
-    A boundary before sentence k costs costs[k], a paragraph of n sentences
-    ((n - usual) / usual) squared. The first sentence of a page is no boundary (it
-    may go on from the page before), but a page with a second sentence gets one at
-    least, so no paragraph grows without bound.
+        shut()
+        # A boundary costs little after a short last line.
+        short = sum(map(len, x.tokens)) + len(x.tokens) < 0.75 * usual
+        for n, t in enumerate(x.texts):
+            if t:
+                words.append(t)
+            if t and _STOP.search(t) and not _NO_STOP.search(t):
+                last = not any(x.texts[n + 1 :])
+                close(True, 0.2 if last and short else 1.0 if last else 2.0)
+    shut()
+    close(False, 4.0)
+    return out
+
+
+def boundaries(costs: list[float], scans: list[int], usual: int = 6, reach: int = 4) -> list[int]:
+    """Sentences after the first that begin a paragraph, by dynamic programming.
+
+    A boundary before sentence k costs costs[k] (less than nothing where there has to
+    be one), a paragraph of n sentences ((n - usual) / usual) squared. A paragraph
+    has at most 4 * usual sentences and its sentences begin on at most ``reach``
+    scans after its first.
     """
     n = len(costs)
     if n < 2:
         return []
     best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
     for end in range(1, n + 1):
-        for start in range(max(0, end - 4 * usual), end):
-            if start == 0 and end == n:
-                continue  # one boundary at least
-            size = 0.0 if start == 0 or end == n else ((end - start - usual) / usual) ** 2
+        for start in range(end - 1, max(-1, end - 4 * usual - 1), -1):
+            if scans[end - 1] - scans[start] > reach:
+                break
+            size = ((end - start - usual) / usual) ** 2
             cost = best[start] + (costs[start] if start else 0.0) + size
             if cost < best[end]:
                 best[end], back[end] = cost, start
@@ -668,42 +985,98 @@ def boundaries(costs: list[float], usual: int = 6) -> list[int]:
     return out[::-1]
 
 
+#: Scans whose paragraphs are set together; a paragraph begins with the first sentence of each such group.
+GROUP = 16
+#: What a boundary costs where a block stands between two sentences.
+_FORCED = -100.0
+
+
+def paragraphs_of(pages_: list[tuple[int, list[Piece]]], group: int) -> list[tuple[int, int, str]]:
+    """(scan number, paragraph, text) of the paragraphs of a group of ``GROUP`` scan numbers.
+
+    pages_: the pages of the group with the one before it and the six after it. A sentence belongs to the scan on which it begins. It goes on
+    over a page's end, and past blocks, which stand behind it; a page without a
+    sentence's end ends its sentence. Group after group decides alike which sentence
+    is the first of a group.
+    """
+    first, beyond = group * GROUP, (group + 1) * GROUP
+    sentences: list[list] = []  # scan, text, cost of a boundary after it, whether it is a block
+    held: list[list] = []
+    open_ = False
+    before = None
+    for number, own in sorted(pages_, key=lambda x: x[0]):
+        if before is not None and number != before + 1:
+            open_ = False
+        before = number
+        sentences += held if not open_ else []
+        held = held if open_ else []
+        for p in own:
+            if p.block:
+                (held if open_ else sentences).append([number, p.text, _FORCED, True])
+                continue
+            if open_:
+                last = next(x for x in reversed(sentences) if not x[3])
+                last[1] += " " + p.text
+                last[2] = p.cost
+            else:
+                sentences.append([number, p.text, p.cost, False])
+            open_ = not p.ends
+            if not open_:
+                sentences += held
+                held = []
+        if not any(p.ends and not p.block for p in own):
+            open_ = False
+    sentences += held
+    # The page before gives only what goes on from it; the first sentence beyond the group ends it.
+    own = [x for x in sentences if x[0] >= first]
+    own = own[: next((k for k, x in enumerate(own) if x[0] >= beyond), len(own))]
+    costs = [0.0] + [_FORCED if b[3] else a[2] for a, b in zip(own, own[1:])]
+    starts = [0, *boundaries(costs, [x[0] for x in own]), len(own)] if own else []
+    out: list[tuple[int, int, str]] = []
+    numbers: Counter = Counter()
+    for a, b in zip(starts, starts[1:]):
+        number = own[a][0]
+        out.append((number, numbers[number], " ".join(x[1] for x in own[a:b])))
+        numbers[number] += 1
+    return out
+
+
 def paragraphs(scans: DataFrame) -> DataFrame:
     """volume, scan_number, paragraph, text: the repaired text of each volume in paragraphs.
 
-    scan_number and paragraph say where the paragraph begins; of several deliveries
-    of a scan the first is read. Titles, page numbers and margin notes are left out,
-    broken words joined, misread words set right where a known word is in reach. The
-    text before a volume's first boundary is paragraph 0 of its first scan.
+    scan_number and paragraph (from 0) say where the paragraph begins; of several
+    deliveries of a scan the first is read, records without a scan number stand for
+    themselves. Titles, page numbers and margin notes are left out, words joined and
+    divided, misread words set right where a known word is in reach. Headings and
+    lines of bare numbers are paragraphs of their own behind the sentence they
+    stand in.
     """
     paged = cut(pages(scans))
-    lexicon = _lexicon_udf(paged, lexicon_of(paged))
-
-    @F.pandas_udf("array<struct<seq:int,starts:boolean,joins:boolean,text:string>>")
-    def pieces(lines: pd.Series, titles: pd.Series, expected: pd.Series, before: pd.Series, following: pd.Series) -> pd.Series:
-        lex, out = lexicon(), []
-        for ls, hs, e, b, f in zip(lines, titles, expected, before, following):
-            decoded = decode([x["text"] for x in ls], list(hs), None if pd.isna(e) else int(e), b or None, f or None, lex)
-            own = _sentences(decoded, lex)
-            cuts = [0, *boundaries([c for *_, c in own]), len(own)]
-            rows = []
-            for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
-                if x < y:
-                    rows.append({"seq": k, "starts": k > 0, "joins": own[y - 1][1], "text": " ".join(t for t, *_ in own[x:y])})
-            out.append(rows)
+    context, lexicon = _with_lexicon(paged, _with_context(paged))
+
+    @F.pandas_udf("array<struct<text:string,ends:boolean,cost:double,block:boolean>>")
+    def pieces(lines: pd.Series, titles: pd.Series, expected: pd.Series, before: pd.Series, following: pd.Series, part: pd.Series) -> pd.Series:
+        out = []
+        for ls, hs, e, b, f, p in zip(lines, titles, expected, before, following, part):
+            decoded = decode([x["text"] for x in ls], list(hs), None if pd.isna(e) else int(e), b or None, f or None, lexicon(p))
+            out.append([x._asdict() for x in pieces_of(decoded)])
         return pd.Series(out)
 
-    context = _with_context(paged)
-    first = context.groupBy("volume", "scan_number").agg(F.min_by(F.struct("lines", "titles", "expected", "before", "following"), "rec_id").alias("p"))
-    rows = first.select("volume", "scan_number", F.inline(pieces("p.lines", "p.titles", "p.expected", "p.before", "p.following")))
-    rows = rows.withColumn("_key", F.when(F.col("starts"), F.struct("scan_number", "seq")))
-    rows = with_neighbours(rows, ["volume"], ["scan_number", "seq"], last_seen={"_open": "_key"})
-    rows = rows.withColumn("_key", F.coalesce("_key", "_open"))
-    whole = rows.groupBy("volume", "_key").agg(F.sort_array(F.collect_list(F.struct("scan_number", "seq", "joins", "text"))).alias("x"))
-    text = F.aggregate(
-        "x",
-        F.struct(F.lit("").alias("t"), F.lit(True).alias("j")),
-        lambda acc, p: F.struct(F.concat(acc["t"], F.when(acc["j"], F.lit("")).otherwise(F.lit(" ")), p["text"]).alias("t"), p["joins"].alias("j")),
-        lambda acc: acc["t"],
-    )
-    return whole.select("volume", F.coalesce("_key.scan_number", F.get("x", F.lit(0))["scan_number"]).alias("scan_number"), F.coalesce("_key.seq", F.lit(0)).alias("paragraph"), text.alias("text"))
+    @F.pandas_udf("array<struct<scan_number:int,paragraph:int,text:string>>")
+    def set_out(groups: pd.Series, rows: pd.Series) -> pd.Series:
+        out = []
+        for group, own in zip(groups, rows):
+            found = paragraphs_of([(int(r["scan_number"]), [Piece(p["text"], bool(p["ends"]), float(p["cost"]), bool(p["block"])) for p in r["p"]]) for r in own], int(group))
+            out.append([{"scan_number": n, "paragraph": k, "text": t} for n, k, t in found])
+        return pd.Series(out)
+
+    first = paged.groupBy("volume", "scan_number", F.when(F.col("scan_number").isNull(), F.col("rec_id")).alias("_vf_solo")).agg(F.min("rec_id").alias("_vf_first"))
+    decoded = context.join(first.select("_vf_first"), F.col("rec_id") == F.col("_vf_first"), "left_semi")
+    decoded = decoded.select("rec_id", "volume", "scan_number", pieces("lines", "titles", "expected", "before", "following", "lexicon").alias("p"))
+    number = F.coalesce("scan_number", F.lit(0))
+    solo = F.when(F.col("scan_number").isNull(), F.col("rec_id"))
+    block = lambda shift: F.floor((number + shift) / GROUP)
+    rows = decoded.select("volume", solo.alias("solo"), number.alias("scan_number"), "p", F.explode(F.when(solo.isNull(), F.array_distinct(F.array(block(1), block(0), block(-6)))).otherwise(F.array(block(0)))).alias("block"))
+    groups = rows.groupBy("volume", "solo", "block").agg(F.collect_list(F.struct("scan_number", "p")).alias("rows"))
+    out = groups.select("volume", "solo", F.inline(set_out("block", "rows")))
+    return out.select("volume", F.when(F.col("solo").isNull(), F.col("scan_number")).alias("scan_number"), "paragraph", "text")
