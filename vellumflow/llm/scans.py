@@ -41,6 +41,8 @@ NEAR = 8
 EDGE = 2
 #: Bits that a word costs besides its own: with a space lost inside, with one too many, broken at a line's end without a hyphen.
 SPLIT, MERGE, BREAK = 10.0, 6.0, 2.0
+#: A form at lines' ends before a conjunction is a first member if it stands there more often than this part of the word that both make.
+AT_ENDS = 0.1
 #: Bits of a hyphen at a line's end that breaks no word; of one that stands apart.
 ALONE, DASH = 60.0, 16.0
 
@@ -355,7 +357,8 @@ class Lexicon:
             if nxt.lower() in CONJUNCTIONS:
                 # An abbreviated first member, unless the two parts make a known word and the first is no known member.
                 n = self.count((head + nxt).lower())
-                return (self.cost(head + nxt) + self.cost(nxt) if n >= KNOWN else math.inf), (-ALONE if self.suspended.get(head.lower(), 0) >= KNOWN else 0.0)
+                member = self.suspended.get(head.lower(), 0) >= KNOWN or self.at_ends.get(head.lower(), 0) >= max(KNOWN, AT_ENDS * n)
+                return (self.cost(head + nxt) + self.cost(nxt) if n >= KNOWN else math.inf), (-ALONE if member else 0.0)
             if set_off and nxt:
                 apart = nxt[0].isupper() and not head[0].isupper() or not any(c.isalpha() for c in nxt)
                 apart = apart or self.count(joined) < 2 and self.count(head.lower()) >= KNOWN and self.count(nxt.lower()) >= KNOWN
