@@ -23,6 +23,8 @@ from vellumflow.session import cut, spread
 #: Vocabulary of the public tokenizer that sizes are counted with.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bits of the hash, in three levels.
+#: Rows of the plan (a mix and a source each) that are broadcast at most; more are joined by a shuffle.
+MAX_OPEN = 100_000
 BITS = (12, 12, 24)
 # How the byte-level tokenizer cuts a text before it merges.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -110,7 +112,8 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
             histogram = inside.groupBy("_vf_s", "b").agg(F.sum("n_tokens").alias("n"))
             joined = open_.join(histogram, F.col("source") == F.col("_vf_s"))
         else:
-            joined = inside.join(F.broadcast(open_), (F.col("source") == F.col("_vf_s")) & (F.col("prefix") == F.col("_vf_p")))
+            small = open_.count() <= MAX_OPEN
+            joined = inside.join(F.broadcast(open_) if small else open_, (F.col("source") == F.col("_vf_s")) & (F.col("prefix") == F.col("_vf_p")))
             joined = joined.groupBy(*keys, "left", "prefix", "b").agg(F.sum("n_tokens").alias("n"))
         run = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
         before = joined.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)))
@@ -124,8 +127,8 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
                 F.col("e.n").alias("n"),
             )
         )
-    # The last document is taken if that comes closer to the budget, and repeats allow no more than the budget at most.
-    exact = open_.select(F.col("mix_name").alias("_vf_m"), F.col("source").alias("_vf_s"), (F.col("prefix") + F.when(F.col("left") >= F.col("n"), 1).otherwise(0)).alias("threshold"))
+    # The document in which the budget ends is taken only if it fits, so no budget is exceeded.
+    exact = open_.select(F.col("mix_name").alias("_vf_m"), F.col("source").alias("_vf_s"), (F.col("prefix") + (F.col("left") >= F.col("n")).cast("int")).alias("threshold"))
     joined = wanted.join(exact, (F.col("mix_name").eqNullSafe(F.col("_vf_m"))) & (F.col("source") == F.col("_vf_s")), "left")
     return joined.select(*wanted.columns, F.coalesce("threshold", F.lit(-1)).alias("threshold"))
 
@@ -146,9 +149,10 @@ def selection(documents: DataFrame, targets: DataFrame, total_tokens: int | None
     """mix_name, doc_id, source, n_tokens, copies: how often each document is used in each mix (1 or more).
 
     Documents without a source, or of a source in no mix, are in none. Documents with
-    equal ids have equal hashes and are taken together. Of the document at the end of
-    a budget the part that would go beyond it decides: it is left out, so no budget
-    is exceeded. An empty table gives an empty selection.
+    equal ids have equal hashes and are taken together. The document in which a
+    budget ends is left out if it goes beyond it, so no budget is exceeded and a
+    source stays below it by less than one document. An empty table gives an empty
+    selection.
     """
     return _selected(*_plan(documents, targets, total_tokens, parameters))
 
