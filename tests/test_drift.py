@@ -39,6 +39,14 @@ def test_changes_by_hand(spark):
     assert _changes(df.limit(0)) == [] and drift.unified(df.limit(0)).count() == 0
 
 
+def test_fields_moved_several_objects_deep_are_renamed(spark):
+    deep = lambda n, inner: inner if n == 0 else {f"o{n}": deep(n - 1, inner)}
+    df = _files(spark, ['{"epg_temp": 0.1}', *(json.dumps(deep(n, {"epgTemp": 0.5})) for n in (1, 2, 4, 5)), '{"run": {"host": {"type": "hpc"}}, "epg_temp": 1}'])
+    assert _changes(df) == [(1, "epg_temp", "renamed"), (2, "epg_temp", "renamed"), (3, "epg_temp", "renamed"), (4, "epg_temp", "removed"), (5, "epg_temp", "added"), (5, "inference_type", "added")]
+    rows = {r.file_id: r for r in drift.unified(df).collect()}
+    assert [rows[k].epg_temp for k in range(6)] == [0.1, 0.5, 0.5, 0.5, None, 1.0] and [rows[k]._deeper for k in range(6)] == [False] * 4 + [True, False]
+
+
 def test_rescued_values_are_kept_and_replayed(spark):
     df = _files(spark, ['{"a \\"q\\"": [1, {"b": 2}], "epg_temp": "warm", "other": "x"}'])
     first = drift.ingest(df).collect()[0]

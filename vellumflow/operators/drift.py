@@ -20,6 +20,8 @@ from vellumflow.operators.ordered import with_neighbours
 
 # Closes the object into which a body is put; a body that isn't exactly one value hides it.
 _END = "_vf_end_of_body"
+#: Objects in objects that are looked into, counted from the body; what lies deeper stays rescued and is reported.
+DEPTH = 5
 
 
 @dataclass(frozen=True)
@@ -27,7 +29,7 @@ class Field:
     """A column of the target schema.
 
     name: canonical name. kind: ``double`` or ``string``. promoted: a regular
-    expression over paths (``key`` or ``object.key``, written in snake case) that
+    expression over paths (``key``, ``object.key`` and so on, in snake case) that
     are approved to mean this field. wrappers: keys that may wrap the value in an
     object of its own.
     """
@@ -40,9 +42,9 @@ class Field:
 
 #: Approved names, written in snake case, of the fields of run files.
 RUN_FIELDS = (
-    Field("epg_temp", "double", r"^(\w+\.)?(epg_temp(erature)?|temp(erature)?_epg)$|^temp(erature)?s?\.epg$"),
-    Field("think", "string", r"^(\w+\.)?(think|thinking|reasoning)(_mode|_level)?$"),
-    Field("inference_type", "string", r"^(\w+\.)?(inference|infer)(_type|_kind|_mode)?$|^host\.(type|kind)$"),
+    Field("epg_temp", "double", r"^(\w+\.)*(epg_temp(erature)?|temp(erature)?_epg)$|(^|\.)temp(erature)?s?\.epg$"),
+    Field("think", "string", r"^(\w+\.)*(think|thinking|reasoning)(_mode|_level)?$"),
+    Field("inference_type", "string", r"^(\w+\.)*(inference|infer)(_type|_kind|_mode)?$|(^|\.)host\.(type|kind)$"),
 )
 
 
@@ -84,15 +86,25 @@ def _described(path: Column, v: Column) -> Column:
     return F.struct(path.alias("path"), _kind(v).alias("kind"), F.to_json(v).alias("json"))
 
 
-def entries(v: Column) -> Column:
-    """Members of an object and of the objects in it: array<struct<path, kind, json>>."""
+def _inside(level: Column) -> Column:
+    """Members of the objects among array<struct<path, v>>, their paths with the object's before."""
 
-    def one(e: Column) -> Column:
-        own = F.array(_described(e["key"], e["value"]))
-        inner = F.transform(_members(e["value"]), lambda c: _described(F.concat(e["key"], F.lit("."), c["key"]), c["value"]))
-        return F.when(_kind(e["value"]) == "object", F.concat(own, inner)).otherwise(own)
+    def members(e: Column) -> Column:
+        held = F.when(F.schema_of_variant(e["v"]).startswith("OBJECT"), F.map_entries(e["v"].try_cast("map<string,variant>")))
+        return F.transform(F.coalesce(held, F.array().cast("array<struct<key:string,value:variant>>")), lambda c: F.struct(F.concat(e["path"], F.lit("."), c["key"]).alias("path"), c["value"].alias("v")))
 
-    return F.flatten(F.transform(_members(v), one))
+    return F.flatten(F.transform(level, members))
+
+
+def entries(v: Column, depth: int = DEPTH) -> tuple[Column, Column]:
+    """(members of an object and of the objects in it, ``depth`` objects deep: array<struct<path, kind, json>>; whether objects lie deeper)."""
+    level = F.transform(_members(v), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("v")))
+    levels = [level]
+    for _ in range(depth - 1):
+        level = _inside(level)
+        levels.append(level)
+    described = [F.transform(x, lambda e: _described(e["path"], e["v"])) for x in levels]
+    return F.concat(*described), F.exists(level, lambda e: F.schema_of_variant(e["v"]).startswith("OBJECT<"))
 
 
 def _scalar(found: Column, field: Field) -> Column:
@@ -156,9 +168,11 @@ def replay(ingested: DataFrame, fields: tuple[Field, ...] = RUN_FIELDS) -> DataF
     by code points. A member that holds null is present with kind ``null``. A
     promoted member at the top leaves ``_rescued`` if its value could be cast (or is
     null); one inside another object stays there as well, so nothing is lost.
+    ``_deeper`` says that objects lie more than ``DEPTH`` deep, which no rule sees.
     """
     df = ingested.withColumn("_vf_v", F.when(F.col("_readable"), F.try_parse_json("_rescued")))
-    df = df.withColumn("_vf_all", entries(F.col("_vf_v")))
+    members, deeper = entries(F.col("_vf_v"))
+    df = df.withColumn("_vf_all", members).withColumn("_deeper", F.coalesce(deeper, F.lit(False)))
     for f in fields:
         approved = F.filter("_vf_all", lambda e: _snake(e["path"]).rlike(f.promoted))
         ranked = F.array_sort(F.transform(approved, lambda e: F.struct((e["path"] != f.name).alias("r"), e["path"].alias("path"), e["kind"].alias("kind"), e["json"].alias("json"))))
@@ -173,7 +187,8 @@ def replay(ingested: DataFrame, fields: tuple[Field, ...] = RUN_FIELDS) -> DataF
         new[f.name] = F.coalesce(f.name, f"_vf_{f.name}_v")
         new[f"{f.name}_path"] = F.coalesce(f"{f.name}_path", f"_vf_{f.name}.path")
         new[f"{f.name}_kind"] = F.coalesce(f"{f.name}_kind", f"_vf_{f.name}.kind")
-    return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in ingested.columns])
+    kept = [c for c in ingested.columns if c != "_deeper"]
+    return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in kept], "_deeper")
 
 
 def unified(files: DataFrame, fields: tuple[Field, ...] = RUN_FIELDS, body: str = "body") -> DataFrame:

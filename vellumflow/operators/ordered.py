@@ -33,7 +33,8 @@ def with_neighbours(
     are reserved.
     """
     previous, following, last_seen = previous or {}, following or {}, last_seen or {}
-    ranged = cut(df.repartitionByRange(*keys, *order).withColumn("_vf_chunk", F.spark_partition_id()))
+    # Finding the ranges reads the rows once before they are shuffled, so what made them is not done twice.
+    ranged = cut(cut(df).repartitionByRange(*keys, *order).withColumn("_vf_chunk", F.spark_partition_id()))
     inside = Window.partitionBy("_vf_chunk", *keys).orderBy(*order)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     rows = ranged

@@ -43,11 +43,12 @@ _PATHS = {
 }
 
 
-def _changes_sql() -> str:
+def _changes_sql(whole: bool = False) -> str:
+    """p1_found, or with ``whole`` p1_changes with paths and kinds."""
     def cases(paths: list[str], what: str) -> str:
         return "case " + " ".join(f"when json_exists(b, '$.{p}') then " + what.format(p=p) for p in paths) + " end"
 
-    kinds = "case {t} when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'NULL' then null when null then null else 'number' end"
+    kinds = "case when {t} is not null then case {t} when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'NULL' then null else 'number' end end"
     columns = ", ".join(
         f"{cases(paths, chr(39) + '{p}' + chr(39))} as path_{f}, {cases(paths, 'json_type(b, ' + chr(39) + '$.{p}' + chr(39) + ')')} as type_{f}" for f, paths in _PATHS.items()
     )
@@ -61,12 +62,13 @@ def _changes_sql() -> str:
             ("renamed", f"was_{f} <> path_{f}"),
             ("retyped", f"was_{f} is not null and path_{f} is not null and seen_{f} <> kind_{f}"),
         ):
-            parts.append(f"select file_id, '{f}' as field, '{change}' as change from o where before is not null and {when}")
+            more = f", series, was_{f} as was_path, path_{f} as is_path, seen_{f} as was_kind, kind_{f} as is_kind" if whole else ""
+            parts.append(f"select file_id, '{f}' as field, '{change}' as change{more} from o where before is not null and {when}")
     return f"""with f as (select file_id, series, modified_at, ltrim(body, chr(65279)) as b from run_files), ok as (select * from f where json_valid(b) and json_type(b) = 'OBJECT'),
     k as (select file_id, series, modified_at, {columns} from ok), n as (select file_id, series, modified_at, {plain} from k),
     o as (select *, lag(file_id) over w as before, {before} from n window w as (partition by series order by modified_at, file_id))
-    """ + " union ".join(parts)
+    """ + (" union all " if whole else " union ").join(parts)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_table, p3_found, p3_regions, p3_lines)}
-SQL: dict[str, str] = {"p1_found": _changes_sql(), "p3_found": POINTS_SQL}
+SQL: dict[str, str] = {"p1_found": _changes_sql(), "p1_changes": _changes_sql(True), "p3_found": POINTS_SQL}
