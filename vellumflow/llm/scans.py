@@ -494,43 +494,48 @@ def lexicon_of(paged: DataFrame) -> tuple[DataFrame, int]:
     ``end``: one at a line's end. Forms seen once are left out.
     """
     bare = rf"^[{re.escape(_EDGES)}]+|[{re.escape(_EDGES)}]+$"
-    tokens = F.transform("lines", lambda x: F.split(F.trim(x["text"]), r"\s+"))
-    lines = paged.select(F.posexplode(tokens).alias("k", "t"), tokens.alias("all"))
-    following = F.lower(F.get(F.get("all", F.col("k") + 1), F.lit(0)))
-    lines = lines.select("t", following.alias("following"))
-    inner = lines.select(F.when(F.size("t") > 2, F.slice("t", F.lit(2), F.size("t") - 2)).otherwise(F.array()).alias("t"))
+    texts = F.transform("lines", lambda x: x["text"])
+    lines = paged.select(F.inline(F.transform(texts, lambda x, i: F.struct(x.alias("text"), F.get(texts, i + 1).alias("following")))))
+    tokens = lines.select(F.split(F.trim("text"), r"\s+").alias("t"))
+    inner = tokens.select(F.when(F.size("t") > 2, F.slice("t", F.lit(2), F.size("t") - 2)).otherwise(F.array()).alias("t"))
     whole = F.transform("t", lambda x: F.lower(F.regexp_replace(x, bare, "")))
-    parts = F.flatten(F.transform(F.filter(whole, lambda x: F.instr(x, "-") > 1), lambda x: F.split(x, "-")))
-    forms = inner.select(F.filter(F.concat(whole, parts), lambda x: x != "").alias("w"))
-    total = forms.agg(F.sum(F.size("w"))).first()[0] or 1
-    words = cut(forms.select(F.explode("w").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n >= 2"))
+    inner = inner.select(whole.alias("t"))
+    parts = F.flatten(F.transform(F.filter("t", lambda x: F.instr(x, "-") > 1), lambda x: F.split(x, "-")))
+    counted = cut(inner.select(F.explode(F.concat("t", parts)).alias("a")).where("a <> ''").groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 1
+    words = counted.where("n >= 2")
+    # Pairs are counted only where their letters joined are a word: in the worker if it can hold all words, else by a join.
+    held = [r.a for r in words.select("a").limit(MAX_LEXICON + 1).collect()]
+    known = paged.sparkSession.sparkContext.broadcast(frozenset(held) if len(held) <= MAX_LEXICON else None)
 
     def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["kind", "a", "b", "joined", "n"]
         seen: Counter = Counter()
         rows = lambda: pd.DataFrame([(*k, n) for k, n in seen.items()], columns=columns)
+        words = known.value
         for batch in batches:
-            for ts, nxt in zip(batch["t"], batch["following"]):
-                ts = [str(x) for x in ts]
+            for text, following in zip(batch["text"], batch["following"]):
+                ts = text.split()
                 for a, b in zip(ts, ts[1:]):
-                    if a[-1:] in HYPHENS and core(b).lower() in CONJUNCTIONS:
-                        seen["member", core(a).rstrip(HYPHENS).lower(), "", ""] += 1
-                    elif core(a) == a and a[-1:].isalpha():
+                    if a[-1] in HYPHENS:
+                        if core(b).lower() in CONJUNCTIONS:
+                            seen["member", core(a).rstrip(HYPHENS).lower(), "", ""] += 1
+                    elif a[-1].isalpha() and core(a) == a:
                         low = (a.lower(), core(b).lower())
-                        if low[1]:
-                            seen["pair", *low, low[0] + low[1]] += 1
-                if ts and ts[-1][-1:] in HYPHENS and core(nxt or "") in CONJUNCTIONS:
+                        joined = low[0] + low[1]
+                        if low[1] and (words is None or joined in words):
+                            seen["pair", *low, joined] += 1
+                if ts and following and ts[-1][-1] in HYPHENS and core(following.split()[0]).lower() in CONJUNCTIONS:
                     seen["end", core(ts[-1]).rstrip(HYPHENS).lower(), "", ""] += 1
             if len(seen) > 200_000:
                 yield rows()
                 seen.clear()
         yield rows()
 
-    counted = lines.mapInPandas(others, "kind string, a string, b string, joined string, n long").groupBy("kind", "a", "b", "joined").agg(F.sum("n").alias("n"))
-    joined = counted.where("kind = 'pair'").join(words.select(F.col("a").alias("joined")), "joined", "left_semi")
-    rest = counted.where("kind <> 'pair'")
-    out = words.select(F.lit("word").alias("kind"), "a", F.lit("").alias("b"), "n")
-    return cut(out.unionByName(joined.select("kind", "a", "b", "n")).unionByName(rest.select("kind", "a", "b", "n"))), total
+    rest = lines.mapInPandas(others, "kind string, a string, b string, joined string, n long").groupBy("kind", "a", "b", "joined").agg(F.sum("n").alias("n"))
+    if known.value is None:
+        rest = rest.join(words.select(F.col("a").alias("w")), F.col("joined") == F.col("w"), "left").where("kind <> 'pair' or w is not null")
+    return cut(words.select(F.lit("word").alias("kind"), "a", F.lit("").alias("b"), "n").unionByName(rest.select("kind", "a", "b", "n"))), total
 
 
 def forms_asked(lines: list[str]) -> tuple[dict[str, bool], set[tuple[str, str]]]:
