@@ -19,6 +19,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -97,6 +98,8 @@ def page_value(line: str) -> int | None:
 
 
 def _in_capitals(line: str) -> bool:
+    if sum(map(str.isupper, line)) < 7:
+        return False
     letters = [c for c in line if c.isalpha()]
     return len(letters) >= 8 and sum(c.isupper() for c in letters) >= 0.8 * len(letters) and len(line.split()) >= 2
 
@@ -135,6 +138,19 @@ def _alike(a: str, grams: set[str], b: str, others: set[str]) -> bool:
     return a == b or abs(len(a) - len(b)) <= most and len(grams & others) >= len(grams) - 4 * most and distance(a, b, most) <= most
 
 
+@lru_cache(20_000)
+def _grams(form: str) -> frozenset[str]:
+    return frozenset(form[i : i + 3] for i in range(len(form) - 2))
+
+
+def _is_title(form: str, title: str) -> bool:
+    """Whether a title form is a title, an edit in six letters allowed; few pairs need the distance, as an edit takes four three-letter grams at most."""
+    most = max(1, len(title) // 6)
+    if form == title or abs(len(form) - len(title)) > most or len(_grams(form) & _grams(title)) < len(_grams(title)) - 4 * most:
+        return form == title
+    return distance(form, title, most) <= most
+
+
 def near_titles(scans: list[tuple[int, list[tuple[str, bool, str, bool]]]]) -> dict[int, list[str]]:
     """Of each scan the forms that recur, misreadings allowed, on the same edge of another scan at most ``NEAR`` numbers away.
 
@@ -173,7 +189,7 @@ def noise_lines(lines: list[str], titles: list[str], expected: int | None = None
             bare = re.fullmatch(r"[\d½¼¾., ]+", lines[k].strip())
             if is_page_number(lines[k]) and not (bare and expected is not None and page_value(lines[k]) != expected):
                 out[k] = "page_no"
-            elif len(form) >= 6 and (_looks_like_title(lines[k]) or any(distance(form, t, max(1, len(t) // 6)) <= max(1, len(t) // 6) for t in titles)):
+            elif len(form) >= 6 and (_looks_like_title(lines[k]) or any(_is_title(form, t) for t in titles)):
                 out[k] = "header"
             else:
                 break
