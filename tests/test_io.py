@@ -17,9 +17,11 @@ def test_page_xml(spark, tmp_path):
     (tmp_path / "0552_0179_0032.xml").write_text("kapot <")
     files = readers.page_xml(spark, str(tmp_path / "*.xml"))
     assert sorted(r.scan for r in files.collect()) == [30, 32]
-    by_index = [(r.region_id, r.line_id, r.plain_text, r.unicode_text, r.conf) for r in readers.page_lines(files).orderBy("region_idx", "line_idx").collect()]
+    by_index = [(r.region_id, r.line_id, r.plain_text, r.unicode_text, r.conf) for r in readers.page_lines(files).where("error is null").orderBy("region_idx", "line_idx").collect()]
+    (bad,) = readers.page_lines(files).where("error is not null").collect()
+    assert bad.path.endswith("0032.xml") and bad.line_id is None
     assert by_index == [("r2", "r0l0", "", None, None), ("r1", "l1", "een", "eén", 0.5), ("r3", "l9", None, None, None)]
-    assert [r.region_id for r in readers.page_lines(files, "document").orderBy("region_idx").collect()] == ["r1", "r2"]
+    assert [r.region_id for r in readers.page_lines(files, "document").where("error is null").orderBy("region_idx").collect()] == ["r1", "r2"]
 
 
 def test_annotations_and_tables(spark, tmp_path):
@@ -41,6 +43,15 @@ def test_annotations_and_tables(spark, tmp_path):
     (tmp_path / "scan.csv").write_text("Scan Number,Page Number\n17,XII\nx,1\n19,XII\n")
     mapping = readers.scan_map(spark, str(tmp_path / "scan.csv"))
     assert mapping.count() == 2 and readers.page_to_scan(mapping).first().scan == 19
+    (tmp_path / "scan2.csv").write_text("Scan Number,Page Number\n9,16\n3,16\n4,17\n5,x\n")
+    mapping = readers.scan_map(spark, str(tmp_path / "scan2.csv"))
+    assert {r.page: r.scan for r in readers.page_to_scan(mapping).collect()} == {"16": 3, "17": 4, "x": 5}
+    lines = spark.createDataFrame([(3, 0, 1, "b", "twee"), (3, 0, 0, "a", "een"), (4, 0, 0, "c", " "), (9, 0, 0, "d", "niet"), (5, 0, 0, "e", None)], "scan int, region_idx int, line_idx int, line_id string, text string")
+    texts, spans = readers.page_texts(lines, mapping)
+    assert [tuple(r) for r in texts.collect()] == [("16", 3, "een\ntwee")]
+    assert sorted(tuple(r) for r in spans.collect()) == [("16", 0, 0, 4, "a"), ("16", 1, 4, 9, "b")]
+    assert [(r.page, r.line_id) for r in readers.pages_in_range(lines, mapping, 16, 25).collect()] == [("16", "a"), ("16", "b"), ("17", "c")]
+    assert {r.scan: r.empty for r in readers.is_empty_page(lines).collect()} == {3: False, 4: True, 5: True, 9: False}
     (tmp_path / "letter_1.txt").write_text("﻿tekst\nregel")
     row = readers.letters(spark, str(tmp_path / "letter_1.txt")).first()
     assert (row.letter_id, row.text) == ("letter_1", "tekst\nregel")

@@ -181,29 +181,44 @@ def mode_of(label: Column) -> Column:
     return F.when(F.contains(F.lower(label), F.lit(" met ")), F.rtrim(F.substring_index(label, " met ", -1), F.lit(".")))
 
 
+def _closed(text: str, at: int) -> tuple[tuple[int, int] | None, int | None]:
+    """(first brace from ``at`` on that closes, with its end; first brace that stands in quotes), read from the brace at ``at``."""
+    open_: list[int] = []
+    quoted, best, hidden = False, None, None
+    for m in _MARKS.finditer(text, at):
+        c = m[0]
+        if c == '"':
+            quoted = not quoted
+        elif quoted:
+            hidden = m.start() if c == "{" and hidden is None else hidden
+        elif c == "{":
+            open_.append(m.start())
+        elif c == "}":
+            start = open_.pop()
+            best = (start, m.end()) if best is None or start < best[0] else best
+            if not open_:
+                break
+    return best, hidden
+
+
 def balanced_object(text: str | None) -> str | None:
-    """First balanced ``{...}`` of a text, aware of quotes and escapes."""
-    if text is None:
+    """First balanced ``{...}`` of a text, aware of quotes and escapes inside it.
+
+    A brace may never close, and its quotes may hide the one that does: the braces in
+    quotes are read once more, from the first of them on, so two passes tell.
+    """
+    at = -1 if text is None else text.find("{")
+    if at < 0:
         return None
-    at = text.find("{")
-    while at >= 0:
-        depth, quoted, skip = 0, False, False
-        for k in range(at, len(text)):
-            c = text[k]
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = c == "\\", c != '"'
-            elif c == '"':
-                quoted = True
-            elif c == "{":
-                depth += 1
-            elif c == "}":
-                depth -= 1
-                if not depth:
-                    return text[at : k + 1]
-        at = text.find("{", at + 1)
-    return None
+    best, hidden = _closed(text, at)
+    if hidden is not None and (best is None or hidden < best[0]):
+        other, _ = _closed(text, hidden)
+        best = other if best is None or other is not None and other[0] < best[0] else best
+    return text[best[0] : best[1]] if best else None
+
+
+# An escaped character, a quote or a brace.
+_MARKS = re.compile(r'\\.|["{}]', re.S)
 
 
 @F.pandas_udf(StringType())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumflow.functions.ids import CATEGORIES, kb_id
-from vellumflow.operators.spans import matched
+from vellumflow.operators.spans import first_partner, matched
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -100,6 +100,35 @@ def link_scores(pairs: DataFrame, by: list[str], parts: tuple[str, ...] = ("wd",
     return prf(sums.select(*by, F.inline(rows)))
 
 
+def link_pairs(gold: DataFrame, pred: DataFrame, keys: list[str], kbs: tuple[str, ...] = ("wd", "gn")) -> DataFrame:
+    """keys, kb, id, r_id, gold_<kb>, pred_<kb>: every gold and predicted mention, matched or alone.
+
+    gold, pred: keys (page and label), id, start, end and a column for each knowledge
+    base. A gold span goes with its first overlapping prediction, which may serve
+    several; kb is ``match``, ``unmatched_gold``, or ``unmatched_pred`` for one that
+    is no gold span's first. Pages that only one side has count like any other.
+    """
+    picks = first_partner(gold, pred, keys, [*kbs])
+    side = F.when(F.col("r_id").isNull(), "unmatched_gold").otherwise("match")
+    own = picks.select(*keys, side.alias("kb"), "id", "r_id", *[F.col(k).alias(f"gold_{k}") for k in kbs], *[F.col(f"r_{k}").alias(f"pred_{k}") for k in kbs])
+    taken = picks.where("r_id is not null").select(F.col("r_id").alias("_vf_r")).distinct()
+    alone = pred.join(taken, F.col("id") == F.col("_vf_r"), "left_anti")
+    kinds = {k: gold.schema[k].dataType for k in kbs}
+    other = alone.select(*keys, F.lit("unmatched_pred").alias("kb"), F.lit(None).cast(gold.schema["id"].dataType).alias("id"), F.col("id").alias("r_id"), *[F.lit(None).cast(kinds[k]).alias(f"gold_{k}") for k in kbs], *[F.col(k).alias(f"pred_{k}") for k in kbs])
+    return own.unionByName(other)
+
+
+def full_link_scores(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """by, level, part, tp, fp, fn, p, r, f1 of ``link_pairs`` at two levels.
+
+    ``el``: matched pairs only, with the NIL parts. ``full``: unmatched gold with an
+    id is a false negative, an unmatched prediction with one a false positive.
+    """
+    matched_ = link_scores(pairs.where("kb = 'match'"), by, ("wd", "gn", "combined", "nil", "nil_wd", "nil_gn")).select(*by, F.lit("el").alias("level"), "part", "tp", "fp", "fn", "p", "r", "f1")
+    whole = link_scores(pairs, by, ("wd", "gn", "combined")).select(*by, F.lit("full").alias("level"), "part", "tp", "fp", "fn", "p", "r", "f1")
+    return matched_.unionByName(whole)
+
+
 def confusion(pairs: DataFrame, gold: str = "gold", pred: str = "pred", classes: tuple[str, ...] = CATEGORIES) -> DataFrame:
     """gold and one column for each class: counts, 0 where there are none; values that are no class are ignored."""
     known = pairs.where(F.col(gold).isin(*classes) & F.col(pred).isin(*classes))

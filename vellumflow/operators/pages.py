@@ -7,8 +7,8 @@ Bounds are half-open: a page ends where the next one starts, the last has no end
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,14 +141,38 @@ def remapped(spans: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
 def tokenized(df: DataFrame, key: str, text: str = "text", spaces: bool = False) -> DataFrame:
     """key, id (place of the token), token, start, end of the non-space runs of a text (and the runs of space), offsets in code points.
 
-    One linear pass over each text inside its batch, so neither tokens nor texts are
-    shuffled. Null and empty texts give no row.
+    One linear pass over each text inside its Arrow batch, whose columns are built
+    whole, so neither tokens nor texts are shuffled. Null and empty texts give no row.
     """
-
-    pattern = _RUN_OR_SPACE if spaces else _RUN
-
-    @F.pandas_udf("array<struct<id:int,token:string,start:long,end:long>>")
-    def runs(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"id": k, "token": m[0], "start": m.start(), "end": m.end()} for k, m in enumerate(pattern.finditer(t or ""))])
-
-    return spread(df.select(key, text), key).select(F.col(key), F.inline(runs(F.col(text))))
+    import numpy as np
+    import pyarrow as pa
+
+    kind = df.schema[key].dataType.simpleString()
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens: list[str] = []
+            rows, ids, starts = [], [], []
+            for row, value in enumerate(batch.column(1).to_pylist()):
+                runs = _RUN_OR_SPACE.findall(value) if value else []
+                if not runs:
+                    continue
+                places = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
+                if spaces:
+                    own, at = runs, places[:-1]
+                else:
+                    first = 1 if _RUN.match(runs[0]) is None else 0
+                    own, at = runs[first::2], places[first:-1:2]
+                tokens += own
+                starts.append(at)
+                ids.append(np.arange(len(own), dtype=np.int32))
+                rows.append(np.full(len(own), row, dtype=np.int64))
+            if not tokens:
+                continue
+            column = pa.array(tokens, pa.string())
+            start = np.concatenate(starts).astype(np.int64)
+            end = start + np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+            keys = batch.column(0).take(pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(ids)), column, pa.array(start), pa.array(end)], names=[key, "id", "token", "start", "end"])
+
+    return spread(df.select(key, text), key).mapInArrow(cut_up, f"`{key}` {kind}, id int, token string, start long, end long")

@@ -78,6 +78,14 @@ def instances(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     return gold_side.unionByName(alone.select(F.lit("FP").alias("type"), F.lit(None).cast(gold.schema["id"].dataType).alias("id"), "r_id"))
 
 
+def first_partner(gold: DataFrame, pred: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Gold columns, r_id and r_<column>: each gold span with its first overlapping prediction by (start, end, id), nulls without one."""
+    held = F.min(F.when(F.col("r_id").isNotNull(), F.struct("r_start", "r_end", "r_id", *[f"r_{c}" for c in columns])))
+    both = _both_sides(gold, pred, keys).where("id is not null")
+    first = both.groupBy(*gold.columns).agg(held.alias("_vf_f"))
+    return first.select(*gold.columns, "_vf_f.r_id", *[F.col(f"_vf_f.r_{c}") for c in columns])
+
+
 def best_jaccard(gold: DataFrame, mentions: DataFrame, keys: list[str]) -> DataFrame:
     """id, r_id, jaccard: each gold with the mention of the highest Jaccard; of equals the first by r_id. Gold may share one."""
     pairs = overlapping(gold, mentions, keys, "id", "id").withColumn("jaccard", jaccard(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (local tests) a temporary folder of this
-    machine is set instead.
+    Where none is named, a local master gets a temporary folder of this machine,
+    which goes with the process; a cluster has to name a shared one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     context = spark.sparkContext
@@ -25,12 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="vellumflow-"))
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="vellumflow-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
     return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df``: survives the loss of executors, ends the lineage."""
+    """A reliable checkpoint of ``df``: survives the loss of executors, ends the lineage.
+
+    Its files go with the last reference to it where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, which a session has
+    to be built with.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumflow.functions.ids import geonames_of, integral_id, letter_label, mapped, scan_number, wikidata_of
@@ -28,16 +28,16 @@ def page_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_lines(files: DataFrame, order: str = "index") -> DataFrame:
-    """path, region_idx, line_idx, region_id, line_id, coords, baseline, plain_text, unicode_text, conf of PAGE-XML.
+    """path, region_idx, line_idx, region_id, line_id, coords, baseline, plain_text, unicode_text, conf, error of PAGE-XML.
 
     order: ``index`` sorts the references of the reading order by their index and
     appends regions that have none; ``document`` takes the references as they stand
     and only the regions they name. Lines without an id get one from their place. A
-    file that is no XML gives no line.
+    file that is no XML gives one row with its error and nothing else.
     """
     import xml.etree.ElementTree as ET
 
-    schema = "path string, region_idx int, line_idx int, region_id string, line_id string, coords string, baseline string, plain_text string, unicode_text string, conf double"
+    schema = "path string, region_idx int, line_idx int, region_id string, line_id string, coords string, baseline string, plain_text string, unicode_text string, conf double, error string"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         local = lambda e: e.tag.rpartition("}")[2]
@@ -47,7 +47,8 @@ def page_lines(files: DataFrame, order: str = "index") -> DataFrame:
             for path, text in zip(batch["path"], batch["page_xml"]):
                 try:
                     root = ET.fromstring((text or "").lstrip("﻿"))
-                except ET.ParseError:
+                except ET.ParseError as fault:
+                    rows.append((path, *[None] * 9, str(fault)))
                     continue
                 regions = [x for x in root.iter() if local(x) == "TextRegion"]
                 refs = [(int(x.get("index") or 10**9), k, x.get("regionRef")) for k, x in enumerate(root.iter()) if local(x) == "RegionRefIndexed"]
@@ -64,21 +65,51 @@ def page_lines(files: DataFrame, order: str = "index") -> DataFrame:
                         equiv = next(iter(kids(line, "TextEquiv")), None)
                         said = lambda name: None if equiv is None else next((x.text or "" for x in kids(equiv, name)), None)  # noqa: B023, E731
                         conf = None if equiv is None else equiv.get("conf")
-                        rows.append((path, r, k, region.get("id") or f"r{r}", line.get("id") or f"r{r}l{k}", points("Coords"), points("Baseline"), said("PlainText"), said("Unicode"), float(conf) if conf else None))
+                        rows.append((path, r, k, region.get("id") or f"r{r}", line.get("id") or f"r{r}l{k}", points("Coords"), points("Baseline"), said("PlainText"), said("Unicode"), float(conf) if conf else None, None))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     return files.select("path", "page_xml").mapInPandas(read, schema)
 
 
 def scan_map(spark: SparkSession, path: str) -> DataFrame:
-    """scan, page of a scan map; pages are texts (Roman numerals)."""
+    """scan, page, pos (place in the file) of a scan map; pages are texts (Roman numerals)."""
     raw = spark.read.csv(path, header=True)
-    return raw.select(F.col(raw.columns[0]).try_cast("int").alias("scan"), F.trim(F.col(raw.columns[1])).alias("page")).where("scan is not null")
+    rows = raw.select(F.col(raw.columns[0]).try_cast("int").alias("scan"), F.trim(F.col(raw.columns[1])).alias("page"), F.monotonically_increasing_id().alias("pos"))
+    return rows.where("scan is not null")
 
 
 def page_to_scan(mapping: DataFrame) -> DataFrame:
-    """page, scan: of repeated pages the last scan."""
-    return mapping.groupBy("page").agg(F.max("scan").alias("scan"))
+    """page, scan: of a page that is mapped repeatedly the last row of the file."""
+    return mapping.groupBy("page").agg(F.max_by("scan", "pos").alias("scan"))
+
+
+def page_texts(lines: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(page, scan, text; page, line_idx, start, end, line_id) of read pages in scan order, lines joined by line breaks.
+
+    lines: scan, region_idx, line_idx, line_id, text. Scans that aren't mapped and
+    pages without any text are left out; a line's span takes in the break behind it.
+    """
+    scans = page_to_scan(mapping)
+    held = lines.where(F.trim(F.coalesce("text", F.lit(""))) != "").join(scans, "scan")
+    pages = held.groupBy("page", "scan").agg(F.array_sort(F.collect_list(F.struct("region_idx", "line_idx", "line_id", "text"))).alias("l"))
+    texts = F.transform("l", lambda x: x["text"])
+    rows = pages.select("page", "scan", F.posexplode(F.transform("l", lambda x: F.struct(x["line_id"].alias("line_id"), x["text"].alias("text")))).alias("line_idx", "x"))
+    before = Window.partitionBy("page", "scan").orderBy("line_idx").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("x.text") + 1).over(before), F.lit(0)).cast("long")
+    spans = rows.withColumn("start", start).select("page", "line_idx", "start", (F.col("start") + F.length("x.text") + 1).alias("end"), "x.line_id")
+    return pages.select("page", "scan", F.array_join(texts, "\n").alias("text")), spans
+
+
+def pages_in_range(lines: DataFrame, mapping: DataFrame, first: int, last: int) -> DataFrame:
+    """Lines of the scans whose printed page lies in a range, with ``page``, in the order of their scans."""
+    numbered = page_to_scan(mapping).withColumn("n", F.col("page").try_cast("int")).where(F.col("n").between(first, last))
+    return lines.join(numbered.select("scan", "page"), "scan").orderBy("scan", "region_idx", "line_idx")
+
+
+def is_empty_page(lines: DataFrame) -> DataFrame:
+    """scan, text (lines joined by spaces), empty: whether a read page holds nothing but white space."""
+    pages = lines.groupBy("scan").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("region_idx", "line_idx", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), " ").alias("text"))
+    return pages.withColumn("empty", F.trim("text") == "")
 
 
 _BODY = "array<struct<type:string,id:string,value:string,purpose:string,geometry:struct<type:string,coordinates:array<double>>>>"
