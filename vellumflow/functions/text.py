@@ -247,16 +247,14 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def markup(text: Column, spans: Column) -> Column:
     """``[text](LABEL, eN)`` put into a text; spans: array<struct<start,end,label,id>>, without overlaps."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), s["id"].alias("id"))))
-    return F.aggregate(
-        ordered,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.substring(text, s["start"] + 1, s["end"] - s["start"]), F.lit("]("), s["label"], F.lit(", "), s["id"], F.lit(")")).alias("out"),
-            s["end"].cast("int").alias("at"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["label"].alias("label"), s["id"].alias("id"))))
+
+    def piece(s: Column, k: Column) -> Column:
+        before = F.when(k > 0, F.get(ordered, k - 1)["end"]).otherwise(F.lit(0))
+        return F.concat(F.substring(text, before + 1, s["start"] - before), F.lit("["), F.substring(text, s["start"] + 1, s["end"] - s["start"]), F.lit("]("), s["label"], F.lit(", "), s["id"], F.lit(")"))
+
+    last = F.when(F.size(ordered) > 0, F.element_at(ordered, -1)["end"]).otherwise(F.lit(0))
+    return F.concat(F.array_join(F.transform(ordered, piece), ""), F.substring(text, last + 1, F.length(text)))
 
 
 def commenting(bodies: Column) -> Column:

@@ -58,18 +58,14 @@ def tei_body(text: Column, spans: Column) -> Column:
         return F.regexp_replace(noted, r"\n", "<lb/>\n")
 
     ordered = F.array_sort(spans)
-    return F.aggregate(
-        ordered,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.concat(
-                acc["out"], plain(F.substring(text, acc["at"] + 1, s["start"].cast("int") - acc["at"])), F.lit("<"), tei_tag(s["label"]), _attribute("ref", s["ref"]), _attribute("key", s["key"]), F.lit(">"),
-                plain(F.substring(text, s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int"))), F.lit("</"), tei_tag(s["label"]), F.lit(">"),
-            ).alias("out"),
-            s["end"].cast("int").alias("at"),
-        ),
-        lambda acc: F.concat(acc["out"], plain(F.substring(text, acc["at"] + 1, F.length(text)))),
-    )
+    part = lambda start, end: F.substring(text, start.cast("int") + 1, (end - start).cast("int"))
+
+    def piece(s: Column, k: Column) -> Column:
+        before = F.when(k > 0, F.get(ordered, k - 1)["end"]).otherwise(F.lit(0))
+        return F.concat(plain(part(before, s["start"])), F.lit("<"), tei_tag(s["label"]), _attribute("ref", s["ref"]), _attribute("key", s["key"]), F.lit(">"), plain(part(s["start"], s["end"])), F.lit("</"), tei_tag(s["label"]), F.lit(">"))
+
+    last = F.when(F.size(ordered) > 0, F.element_at(ordered, -1)["end"]).otherwise(F.lit(0))
+    return F.concat(F.array_join(F.transform(ordered, piece), ""), plain(F.substring(text, last.cast("int") + 1, F.length(text))))
 
 
 def tei(letters: DataFrame, entities: DataFrame, key: str = "doc_id") -> DataFrame:
