@@ -52,15 +52,23 @@ def roman(value: Column) -> Column:
     return F.when(value.rlike(r"(?i)^[IVXLCDM]+$"), total)
 
 
+#: How far the tables of Roman numerals go that two of the sort keys look up.
+_TABLES = {"to_xl": 40, "to_xx": 20}
+
+
 def page_sort(page: Column, compat: str = "tuple") -> Column:
     """Sort key of a page label.
 
     ``tuple``: numbers, then Roman numerals, then others. ``lookup``: Roman
-    numerals before numbers (as front matter). ``int``: numbers only.
+    numerals before numbers (as front matter). ``to_xl``, ``to_xx``: as ``lookup``,
+    but numerals beyond XL or XX are others, as in a table that ends there. ``int``:
+    numbers only.
     """
     number, numeral = page.try_cast("int"), roman(page)
     if compat == "int":
         return number
+    if compat in _TABLES:
+        numeral = F.when((numeral <= _TABLES[compat]) & (F.upper(page) == page), numeral)
     order = (0, 1) if compat == "tuple" else (1, 0)
     return F.when(number.isNotNull(), F.struct(F.lit(order[0]).alias("kind"), number.alias("n"))).when(
         numeral.isNotNull(), F.struct(F.lit(order[1]).alias("kind"), numeral.alias("n"))

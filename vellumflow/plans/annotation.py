@@ -123,12 +123,6 @@ def spans_not_contained(spark, d):
     return spans.not_contained(_nested_spans(spark, d).withColumn("id", F.col("id").cast("long")), ["doc_id"])
 
 
-@query()
-def spans_greedy_longest(spark, d):
-    kept = spans.greedy(_nested_spans(spark, d), ["doc_id"], "longest")
-    return kept.select("doc_id", F.inline("kept"))
-
-
 @query(
     "with " + _TOKENS + 's as (select doc_id, id, start + 1 as start, "end" + 1 as "end" from tokens where regexp_matches(token, \'^[A-Z]\')) select s.doc_id, s.id, min(t.start) as start, max(t."end") as "end" from s join tokens t on s.doc_id = t.doc_id and s.start < t."end" and t.start < s."end" group by s.doc_id, s.id'
 )
