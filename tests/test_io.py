@@ -100,3 +100,53 @@ def test_stream_of_run_files(spark, tmp_path):
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == files.select("path", "modified_at").distinct().count() and "epg_temp" in out.columns
+
+
+def test_page_xml_takes_corrections(spark):
+    from vellumflow.operators import editions
+
+    xml = '<PcGts xmlns="http://x"><Page><TextRegion id="r"><TextLine id="l1"><TextEquiv conf="0.5"><Unicode>fuot</Unicode></TextEquiv></TextLine><TextLine id="l2"/><TextLine id="l3"><TextEquiv><Unicode>blijft</Unicode></TextEquiv></TextLine></TextRegion></Page></PcGts>'
+    files = spark.createDataFrame([("a.xml", "\ufeff" + xml), ("b.xml", "kapot <"), ("c.xml", None)], "path string, page_xml string")
+    fixes = spark.createDataFrame([("a.xml", "l1", "fout & goed"), ("a.xml", "l2", "nieuw"), ("a.xml", "l9", "x"), ("z.xml", "l1", "y"), ("a.xml", None, "n")], "path string, line_id string, text string")
+    got = {r.path: r for r in editions.updated_page_xml(files, fixes).collect()}
+    assert got["a.xml"].n_updated == 2 and got["a.xml"].error is None and got["b.xml"].error and got["b.xml"].page_xml == "kapot <" and got["c.xml"].n_updated == 0
+    lines = {r.line_id: (r.plain_text, r.unicode_text) for r in readers.page_lines(spark.createDataFrame([("a.xml", got["a.xml"].page_xml)], "path string, page_xml string")).collect()}
+    assert lines == {"l1": ("fout & goed", "fout & goed"), "l2": ("nieuw", "nieuw"), "l3": (None, "blijft")}
+
+
+def test_alto_takes_a_graph(spark):
+    from vellumflow.operators import editions
+
+    pages = spark.createDataFrame([(1, "<?xml?><alto><Layout/></alto>"), (2, "<?xml?><alto/>")], "page int, xml string")
+    graph = spark.createDataFrame([(1, 'ex:a a "<b>" .')], "page int, turtle string")
+    got = {r.page: r.xml for r in editions.spliced(pages, graph, ["page"]).collect()}
+    assert got == {1: "<?xml?><alto><Description><OtherDescription>ex:a a &quot;&lt;b&gt;&quot; .</OtherDescription></Description><Layout/></alto>", 2: "<?xml?><alto/>"}
+
+
+def test_labels_are_fetched_in_parts(spark):
+    from vellumflow.operators import candidates
+
+    def fetch(own):
+        assert len(own) <= 50
+        return {i: ({"nl": f"nl {i}"} if int(i[1:]) % 2 else {"en": f"en {i}", "nl": ""}) for i in own if i != "Q7"}
+
+    ids_ = spark.createDataFrame([(f"Q{k}",) for k in range(130)] * 2 + [(None,)], "id string")
+    got = {r.id: r.label for r in candidates.fetched_labels(ids_, fetch).collect()}
+    assert len(got) == 130 and got["Q3"] == "nl Q3" and got["Q4"] == "en Q4" and got["Q7"] is None
+
+
+def test_candidates_of_all_lanes(spark):
+    from vellumflow.operators import candidates
+
+    mentions = spark.createDataFrame([(1, "Cassel", "E53_Place", "by Cassel", 1), (2, "Cassel", "E53_Place", "", 2), (3, "Kleef", "E53_Place", "", 3), (4, None, "E53_Place", "x", 4), (5, "", "E53_Place", "x", 5)], "mention_id int, text string, label string, context string, pos int")
+    index = spark.createDataFrame([("Q1", "nl", "Cassel", "stad", 1), ("Q1", "de", "cassel", "Stadt", 1), ("Q2", "en", "Cassel", "town in Hessenland", 2), ("Q3", "en", "Cassel", "town in France", 3), ("Q4", "de", "Kleef", None, 4)], "id string, lang string, label string, description string, rank long")
+    gaz = spark.createDataFrame([(7, "Cassel", "Cassel", None, 5.0, 51.0, "P", "PPL", "DE", "05", 100)], "geonameid long, name string, asciiname string, alternatenames string, lat double, lon double, feature_class string, feature_code string, country_code string, admin1_code string, population long")
+    pages = spark.createDataFrame([("Cassel", "Kassel", "Q9", 1), ("Cassel", "Niets", None, 2)], "name string, title string, qid string, pos int")
+    model = lambda prompt: '{"modern_name": "Cassel", "country_or_region": "Duitsland, Hessenland"}'
+    got = {}
+    for r in candidates.generated(mentions, index, gaz, model, pages).collect():
+        got.setdefault((r.mention_id, r.kb), {})[r.pos] = r.id
+    assert got == {(k, kb): v for k in (1, 2) for kb, v in (("wd", {1: "Q1", 2: "Q2", 3: "Q3", 4: "Q9"}), ("gn", {1: "gn:7"}))} | {(3, "wd"): {1: "Q4"}}
+    broken = candidates.generated(mentions, index, gaz, lambda p: "geen JSON", pages).collect()
+    assert {(r.mention_id, r.id) for r in broken} == {(1, "Q1"), (1, "Q2"), (1, "Q3"), (2, "Q1"), (2, "Q2"), (2, "Q3"), (3, "Q4")}
+    assert candidates.generated(mentions.limit(0), index, gaz, model).count() == 0

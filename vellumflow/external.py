@@ -69,6 +69,42 @@ def asked(prompts: DataFrame, model: Callable[[str], str], column: str = "prompt
     return prompts.select(F.col(column).alias("prompt")).where("prompt is not null").distinct().mapInPandas(run, SCHEMA)
 
 
+def asked_json(prompts: DataFrame, model: Callable[[str], str], column: str = "prompt", attempts: int = 3) -> DataFrame:
+    """prompt, body, attempts, failed of each distinct prompt: asked again until the answer holds a JSON object, ``attempts`` times at most.
+
+    Errors of the model and answers without an object count alike; body is null when
+    all fail.
+    """
+    import json
+
+    from vellumflow.functions.text import balanced_object
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for prompt in batch["prompt"]:
+                body, k = None, 0
+                while body is None and k < attempts:
+                    k += 1
+                    try:
+                        found = balanced_object(model(prompt))
+                        body = found if found is not None and isinstance(json.loads(found), dict) else None
+                    except (OSError, TimeoutError, ValueError):
+                        body = None
+                rows.append((prompt, body, k, body is None))
+            yield pd.DataFrame(rows, columns=["prompt", "body", "attempts", "failed"])
+
+    return prompts.select(F.col(column).alias("prompt")).where("prompt is not null").distinct().mapInPandas(run, "prompt string, body string, attempts int, failed boolean")
+
+
+def profile_stub(prompt: str) -> str:
+    """A profile whose modern name is the mention itself, in a region named by its label."""
+    said = re.search(r"^Mention: (.*)$", prompt, re.M)
+    label = re.search(r"^Label: (.*)$", prompt, re.M)
+    name = (said[1] if said else "").replace('"', "")
+    return f'```json\n{{"modern_name": "{name}", "country_or_region": "Deutschland; {"hoogte" if label and "E18" in label[1] else "land"}", "type_keywords": ["stad"]}}\n```'
+
+
 def rerank_stub(prompt: str) -> str:
     """``k: score`` lines for the numbered candidates of a prompt, by a hash."""
     out = []

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from io import StringIO
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,3 +99,61 @@ def check_loss(letters: DataFrame, editions: DataFrame, key: str = "doc_id") ->
         bare = F.replace(bare, F.lit(a), F.lit(b))
     own = editions.select(F.col(key).alias("_vf_k"), bare.alias("_vf_b"))
     return letters.join(own, F.col(key) == F.col("_vf_k")).select(key, (F.col("_vf_b") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
+def updated_page_xml(files: DataFrame, corrections: DataFrame) -> DataFrame:
+    """path, page_xml, n_updated, error of scans whose lines get corrected texts.
+
+    files: path, page_xml; corrections: path, line_id, text. A line's first TextEquiv
+    takes the text as PlainText and Unicode (made where it isn't there); lines without
+    a correction, and all else of the file, stay. A file that is no XML comes out as
+    it is, with its error.
+    """
+    import xml.etree.ElementTree as ET
+
+    texts = corrections.where("line_id is not null and text is not null").groupBy(F.col("path").alias("_vf_p")).agg(F.map_from_entries(F.collect_list(F.struct("line_id", "text"))).alias("texts"))
+    joined = files.join(texts, F.col("path") == F.col("_vf_p"), "left").select("path", "page_xml", "texts")
+
+    def updated(text: str, own: dict[str, str]) -> tuple[str, int]:
+        spaces = dict(e for _, e in ET.iterparse(StringIO(text), events=["start-ns"]))
+        for prefix, uri in spaces.items():
+            ET.register_namespace(prefix, uri)
+        root, n = ET.fromstring(text), 0
+        for line in root.iter():
+            name = line.tag.rpartition("}")
+            if name[2] != "TextLine" or line.get("id") not in own:
+                continue
+            space = f"{name[0]}}}" if name[1] else ""
+            equiv = line.find(f"{space}TextEquiv")
+            equiv = ET.SubElement(line, f"{space}TextEquiv") if equiv is None else equiv
+            for part in ("PlainText", "Unicode"):
+                held = equiv.find(f"{space}{part}")
+                held = ET.SubElement(equiv, f"{space}{part}") if held is None else held
+                held.text = own[line.get("id")]
+            n += 1
+        return ET.tostring(root, encoding="unicode"), n
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, text, own in zip(batch["path"], batch["page_xml"], batch["texts"]):
+                try:
+                    xml, n = updated((text or "").lstrip("\ufeff"), dict(own) if own is not None else {})
+                    rows.append((path, xml, n, None))
+                except ET.ParseError as fault:
+                    rows.append((path, text, 0, str(fault)))
+            yield pd.DataFrame(rows, columns=["path", "page_xml", "n_updated", "error"])
+
+    return joined.mapInPandas(run, "path string, page_xml string, n_updated int, error string")
+
+
+def spliced(pages: DataFrame, graph: DataFrame, keys: list[str]) -> DataFrame:
+    """ALTO pages with a letter's graph put in front of their layout, as escaped text; a page without one stays. graph: keys, turtle."""
+    known = graph.select(*[F.col(k).alias(f"_vf_{k}") for k in keys], "turtle")
+    on = None
+    for k in keys:
+        same = F.col(k) == F.col(f"_vf_{k}")
+        on = same if on is None else on & same
+    block = F.concat(F.lit("<Description><OtherDescription>"), xml_escaped(F.col("turtle")), F.lit("</OtherDescription></Description>"))
+    joined = pages.join(known, on, "left")
+    return joined.select(*keys, F.when(F.col("turtle").isNotNull(), F.concat(F.substring_index("xml", "<alto>", 1), F.lit("<alto>"), block, F.substring_index("xml", "<alto>", -1))).otherwise(F.col("xml")).alias("xml"))

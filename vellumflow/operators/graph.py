@@ -6,6 +6,7 @@ are equi joins on s or o.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,29 +67,30 @@ def via_points(moves: DataFrame, known: DataFrame) -> DataFrame:
 def route(t: DataFrame, max_depth: int = 40) -> DataFrame:
     """head, event, depth: the chain of P183 from each event that has a successor and no predecessor.
 
-    A chain goes on only where there is exactly one successor. Cycles end: positions
-    come by doubling (each round joins jumps of 2^k with themselves), at most
-    2^max_depth events, and a chain that comes back to itself has no head, so it
-    isn't walked. Rounds stop when no jump is left.
+    A chain goes on only where there is exactly one successor. Each event points to
+    the one before it and how far that is; in a round it takes over the pointer of
+    the event it points to, so a chain of n events takes log n rounds of one join and
+    one checkpoint. Rounds end when all pointers lead to a head, or after as many as
+    a chain of all links would take (``max_depth`` at most): what still doesn't is on
+    a cycle, which has no head and isn't walked. An event met at several distances
+    from one head stands at the smallest.
     """
     links = cut(_objects(t, NEXT).distinct())
     single = links.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("o")).where("n = 1").select("s", "o")
-    targets = links.select(F.col("o").alias("s")).distinct()
-    heads = links.select("s").distinct().join(targets, "s", "left_anti")
-    reached = cut(heads.select(F.col("s").alias("head"), F.col("s").alias("event"), F.lit(0).cast("long").alias("depth")))
-    jumps = cut(single.select("s", "o"))
-    step = 1
-    for _ in range(max_depth):
-        further = reached.join(jumps, F.col("event") == F.col("s")).select("head", F.col("o").alias("event"), (F.col("depth") + step).alias("depth"))
-        # An event met twice from one head closes a cycle; its first place stands.
-        grown = cut(reached.unionByName(further).groupBy("head", "event").agg(F.min("depth").alias("depth")))
-        if grown.count() == reached.count():
-            return grown
-        reached = grown
-        a, b = jumps.alias("a"), jumps.alias("b")
-        jumps = cut(a.join(b, F.col("a.o") == F.col("b.s")).select(F.col("a.s").alias("s"), F.col("b.o").alias("o")))
-        step *= 2
-    return reached
+    heads = links.select("s").distinct().join(links.select(F.col("o").alias("s")).distinct(), "s", "left_anti")
+    first = heads.select(F.col("s").alias("_vf_h"))
+    # Pointers of events behind others; an event without one before it is a head or on nothing.
+    marked = single.join(first, F.col("s") == F.col("_vf_h"), "left")
+    rows = cut(marked.select(F.col("o").alias("event"), F.col("s").alias("back"), F.lit(1).cast("long").alias("depth"), F.col("_vf_h").isNotNull().alias("done")))
+    for _ in range(min(max_depth, max(1, math.ceil(math.log2(links.count() + 1)) + 1))):
+        open_ = rows.where("not done")
+        if open_.isEmpty():
+            break
+        other = rows.select(F.col("event").alias("_vf_e"), F.col("back").alias("_vf_b"), F.col("depth").alias("_vf_d"), F.col("done").alias("_vf_done"))
+        further = open_.join(other, F.col("back") == F.col("_vf_e")).select("event", F.col("_vf_b").alias("back"), (F.col("depth") + F.col("_vf_d")).alias("depth"), F.col("_vf_done").alias("done"))
+        rows = cut(rows.where("done").unionByName(further).groupBy("event", "back").agg(F.min("depth").alias("depth"), F.bool_or("done").alias("done")))
+    own = heads.select(F.col("s").alias("head"), F.col("s").alias("event"), F.lit(0).cast("long").alias("depth"))
+    return own.unionByName(rows.where("done").select(F.col("back").alias("head"), "event", "depth"))
 
 
 def children(t: DataFrame) -> DataFrame:
