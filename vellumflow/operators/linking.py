@@ -172,6 +172,10 @@ def _blocking(size: int, least: float) -> tuple[int, int]:
     raise AssertionError
 
 
+#: Letters that make up most of a western text, by which rare grams are told from frequent ones.
+_COMMON = "enatirodslhg "
+
+
 def _alike(texts: DataFrame, names: DataFrame, least: float, longest: int = 256) -> DataFrame:
     """t, geonameid, form: every pair whose whole or partial ratio may reach ``least``.
 
@@ -191,7 +195,9 @@ def _alike(texts: DataFrame, names: DataFrame, least: float, longest: int = 256)
     text = texts.withColumnRenamed("t", "x")
 
     def short(rows: DataFrame) -> DataFrame:
-        kept = rows.withColumns({"size": size, "own": by_length, "lost": lost}).withColumn("need", F.greatest(F.size("own") - F.col("lost"), F.lit(1)))
+        # Any of the grams will do, so those with few of the commonest letters are taken: they meet the fewest names.
+        rare = F.transform(F.array_sort(F.transform(by_length, lambda g: F.struct((-F.length(F.translate(g, _COMMON, ""))).alias("k"), g.alias("g")))), lambda x: x["g"])
+        kept = rows.withColumns({"size": size, "own": rare, "lost": lost}).withColumn("need", F.greatest(F.size("own") - F.col("lost"), F.lit(1)))
         return kept.withColumn("g", F.explode(F.slice("own", F.lit(1), F.size("own") - F.col("need") + 1)))
 
     # Grams of one letter only answer texts so short that they ask for them.

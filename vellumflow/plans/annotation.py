@@ -310,8 +310,8 @@ def gazetteer_descriptions(spark, d):
 
 @query()
 def gazetteer_candidates(spark, d):
-    labels = table(spark, d, "qrank_matched").where("label = 'E53_Place'").select(F.col("wikidata_label").alias("text")).distinct()
-    return linking.gazetteer_search(labels.withColumn("mention_key", F.col("text")), table(spark, d, "gazetteer"))
+    texts = table(spark, d, "qrank_matched").select("text").distinct()
+    return linking.gazetteer_search(texts.withColumn("mention_key", F.col("text")), table(spark, d, "gazetteer"))
 
 
 @query("select mention_id, text, label from (select *, row_number() over (partition by text, label order by tagged_at, mention_id) as n from qrank_matched) where n = 1")
@@ -917,7 +917,7 @@ def alto_editions(spark, d):
 @query()
 def linked_by_model(spark, d):
     """The whole linking pipeline with the deterministic stand-ins: eligible mentions, two lanes, ranking, selection."""
-    mentions = linking.eligible(table(spark, d, "qrank_matched")).select(F.col("wikidata_label").alias("text"), "label", "wikidata_qid", "mention_id")
+    mentions = linking.eligible(table(spark, d, "qrank_matched")).select("text", "label", "wikidata_qid", "mention_id")
     once = linking.once_for_each(mentions.where("text is not null"), ["text", "label"], "wikidata_qid", "mention_id").withColumnRenamed("first", "mention_key")
     by_name = linking.gazetteer_search(once, table(spark, d, "gazetteer")).select("mention_key", F.lit("gn").alias("kb"), F.col("geonameid").cast("string").alias("id"), F.col("name").alias("label"), "pos")
     by_dump = once.where(ids.is_qid(F.col("wikidata_qid"))).select("mention_key", F.lit("wd").alias("kb"), F.col("wikidata_qid").alias("id"), F.col("text").alias("label"), F.lit(1).alias("pos"))
