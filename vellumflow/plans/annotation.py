@@ -156,7 +156,11 @@ def spans_on_pages(spark, d):
     return rows.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("start") - F.col("page_start")).alias("offsets"))
 
 
-@query()
+@query(
+    r"""with x as (select doc_id, regexp_extract_all(text, '\[[0-9]+\]') as ms, string_split_regex(text, '\[[0-9]+\]') as bs from documents), p as (select doc_id, unnest(range(1, len(ms) + 1)) as i, ms, bs from x),
+ q as (select doc_id, i, ms[i] as m, bs[i + 1] as b, list_sum(list_transform(bs[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda z: length(z))), 0) as start_off from p),
+ r as (select *, row_number() over (partition by doc_id, m order by start_off desc) as n from q where trim(regexp_replace(b, '[ \t\n\x0B\f\r]+', ' ', 'g')) <> '') select doc_id, regexp_extract(m, '[0-9]+') as page, start_off::bigint as start_off, m || b as text from r where n = 1"""
+)
 def pages_by_markers(spark, d):
     return pages.by_markers(table(spark, d, "documents"), "doc_id").select(F.col("letter_id").alias("doc_id"), "page", "start_off", "text")
 
@@ -672,6 +676,13 @@ def graph_heads(spark, d):
 
 # Editions.
 
+_OWN_LINES = r"""top as (select rec_id, unnest(l) as r, generate_subscripts(l, 1) as i from (select rec_id, list_filter(coalesce(regions, []), lambda x: x is not null) as l from page_scans)),
+ below as (select rec_id, unnest(l) as r, generate_subscripts(l, 1) as i from (select rec_id, list_filter(coalesce(r.sub_regions, []), lambda x: x is not null) as l from top)),
+ regs as (select rec_id, r.region_id as region_id, i - 1 as region_idx, false as is_sub, r.text_lines as tl from top union all select rec_id, r.region_id, i - 1, true, r.text_lines from below),
+ each as (select rec_id, region_id, region_idx, is_sub, unnest(l) as x, generate_subscripts(l, 1) - 1 as line_idx from (select *, list_filter(coalesce(tl, []), lambda x: x is not null) as l from regs)),
+ own as (select *, list_filter(coalesce(x.text_equiv, []), lambda t: coalesce(t.unicode_text, t.plain_text) is not null)[1].unicode_text as u, list_filter(coalesce(x.text_equiv, []), lambda t: coalesce(t.unicode_text, t.plain_text) is not null)[1].plain_text as pt, coalesce(u, pt) as text,
+ list_filter(regexp_split_to_array(coalesce(x.coords.points, ''), '[ \t\n\x0B\f\r\x{00A0}\x{2000}-\x{200A}\x{3000}]+'), lambda t: regexp_matches(t, '^[+-]?[0-9]+(\.[0-9]+)?,[+-]?[0-9]+(\.[0-9]+)?$')) as ts from each)"""
+
 
 @query("select doc_id, true as lossless from documents")
 def tei_lossless(spark, d):
@@ -719,7 +730,13 @@ def tei_markup(spark, d):
     return editions.tei(letters, ents).select("doc_id", F.md5("xml").alias("h"))
 
 
-@query()
+_OVERLAY = "'<div class=\"line\" style=\"left:' || trunc(x0)::bigint || 'px;top:' || trunc(y0)::bigint || 'px;width:' || trunc(x1 - x0)::bigint || 'px;height:' || trunc(y1 - y0)::bigint || 'px\">' || replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</div>'"
+
+
+@query(
+    "with " + _OWN_LINES + ", box as (select *, list_min(list_transform(ts, lambda t: string_split(t, ',')[1]::double)) as x0, list_min(list_transform(ts, lambda t: string_split(t, ',')[2]::double)) as y0, list_max(list_transform(ts, lambda t: string_split(t, ',')[1]::double)) as x1, list_max(list_transform(ts, lambda t: string_split(t, ',')[2]::double)) as y1 from own where len(ts) > 0)"
+    + f" select rec_id, '<section>' || string_agg({_OVERLAY}, '' order by region_idx, is_sub, region_id, line_idx, text nulls first, x0, y0, x1, y1) || '</section>' as html from box group by rec_id"
+)
 def page_overlay(spark, d):
     rows = _line_rows(spark, d).withColumn("b", geometry.bbox(geometry.point_list(F.col("coords"))))
     return editions.overlay(rows.select("rec_id", F.struct("region_idx", "is_sub", "region_id", "line_idx").alias("seq"), "text", "b.*"), ["rec_id"])

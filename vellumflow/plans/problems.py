@@ -70,5 +70,24 @@ def _changes_sql(whole: bool = False) -> str:
     """ + (" union all " if whole else " union ").join(parts)
 
 
+def _index_sql(custom: str) -> str:
+    return rf"try_cast(nullif(regexp_extract({custom}, 'readingOrder\s*\{{[^}}]*?index\s*:\s*([0-9]+)', 1), '') as int)"
+
+
+_REGIONS_SQL = r"""with held as (select rec_id, list_filter(coalesce(reading_order, []), lambda o: o is not null) as ro, list_filter(coalesce(regions, []), lambda x: x is not null) as l from page_scans),
+ top as (select rec_id, ro, unnest(l) as r, generate_subscripts(l, 1) as i from held), subs as (select rec_id, ro, r.region_id as parent, list_filter(coalesce(r.sub_regions, []), lambda x: x is not null) as l from top),
+ below as (select rec_id, ro, parent, unnest(l) as r, generate_subscripts(l, 1) as i from subs),
+ regs as (select rec_id, ro, '' as parent_region_id, r.region_id as region_id, (i - 1)::int as region_idx, false as is_sub, r.custom as custom, r.coords.points as points, r.text_lines as text_lines from top
+ union all select rec_id, ro, coalesce(parent, ''), r.region_id, (i - 1)::int, true, r.custom, r.coords.points, r.text_lines from below),
+ placed as (select *, coalesce({index}, list_filter(ro, lambda o: o.region_ref = region_id)[1].idx) as place, list_filter(coalesce(text_lines, []), lambda x: x is not null) as ls from regs)
+""".replace("{index}", _index_sql("custom"))
+_LINES_SQL = _REGIONS_SQL + f""", each as (select *, unnest(ls) as x, generate_subscripts(ls, 1) as k from placed),
+ texts as (select *, list_filter(coalesce(x.text_equiv, []), lambda t: coalesce(t.unicode_text, t.plain_text) is not null)[1] as first from each),
+ lines as (select rec_id, parent_region_id, region_id, x.line_id as line_id, is_sub, place as region_reading_idx, region_idx, (k - 1)::int as line_idx, {_index_sql('x.custom')} as reading_idx, x.coords.points as coords, x.baseline.points as baseline, first.conf as conf, coalesce(first.unicode_text, first.plain_text) as text from texts)
+"""
 QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_table, p3_found, p3_regions, p3_lines)}
-SQL: dict[str, str] = {"p1_found": _changes_sql(), "p1_changes": _changes_sql(True), "p3_found": POINTS_SQL}
+SQL: dict[str, str] = {
+    "p1_found": _changes_sql(), "p1_changes": _changes_sql(True), "p3_found": POINTS_SQL,
+    "p3_regions": _REGIONS_SQL + " select rec_id, parent_region_id, region_id, region_idx, is_sub, place as reading_idx, custom, points, len(ls)::int as n_lines from placed",
+    "p3_lines": _LINES_SQL + " select * from lines",
+}
