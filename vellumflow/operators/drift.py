@@ -96,15 +96,18 @@ def _inside(level: Column) -> Column:
     return F.flatten(F.transform(level, members))
 
 
-def entries(v: Column, depth: int = DEPTH) -> tuple[Column, Column]:
-    """(members of an object and of the objects in it, ``depth`` objects deep: array<struct<path, kind, json>>; whether objects lie deeper)."""
-    level = F.transform(_members(v), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("v")))
+def entries(v: Column, depth: int = DEPTH) -> tuple[Column, Column, Column]:
+    """(members of an object; those and the members of objects in it, ``depth`` objects deep, with their paths in snake case; whether objects lie deeper).
+
+    Both arrays hold struct<path, v>, the second also ``snake``.
+    """
+    own = level = F.transform(_members(v), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("v")))
     levels = [level]
     for _ in range(depth - 1):
         level = _inside(level)
         levels.append(level)
-    described = [F.transform(x, lambda e: _described(e["path"], e["v"])) for x in levels]
-    return F.concat(*described), F.exists(level, lambda e: F.schema_of_variant(e["v"]).startswith("OBJECT<"))
+    named = F.transform(F.concat(*levels), lambda e: F.struct(e["path"].alias("path"), _snake(e["path"]).alias("snake"), e["v"].alias("v")))
+    return own, named, F.exists(level, lambda e: F.schema_of_variant(e["v"]).startswith("OBJECT<"))
 
 
 def _scalar(found: Column, field: Field) -> Column:
@@ -171,17 +174,20 @@ def replay(ingested: DataFrame, fields: tuple[Field, ...] = RUN_FIELDS) -> DataF
     ``_deeper`` says that objects lie more than ``DEPTH`` deep, which no rule sees.
     """
     df = ingested.withColumn("_vf_v", F.when(F.col("_readable"), F.try_parse_json("_rescued")))
-    members, deeper = entries(F.col("_vf_v"))
-    df = df.withColumn("_vf_all", members).withColumn("_deeper", F.coalesce(deeper, F.lit(False)))
+    own, members, deeper = entries(F.col("_vf_v"))
+    df = df.withColumns({"_vf_own": own, "_vf_all": members, "_deeper": F.coalesce(deeper, F.lit(False))})
     for f in fields:
-        approved = F.filter("_vf_all", lambda e: _snake(e["path"]).rlike(f.promoted))
-        ranked = F.array_sort(F.transform(approved, lambda e: F.struct((e["path"] != f.name).alias("r"), e["path"].alias("path"), e["kind"].alias("kind"), e["json"].alias("json"))))
-        df = df.withColumn(f"_vf_{f.name}", F.when(F.col(f"{f.name}_path").isNull(), F.get(ranked, F.lit(0))))
+        approved = F.filter("_vf_all", lambda e: e["snake"].rlike(f.promoted))
+        first = F.array_min(F.transform(approved, lambda e: F.struct((e["path"] != f.name).alias("r"), e["path"].alias("path"))))["path"]
+        df = df.withColumn(f"_vf_{f.name}_p", F.when(F.col(f"{f.name}_path").isNull(), first))
+        # Only what is chosen is written as JSON.
+        hit = F.get(F.filter("_vf_all", lambda e: e["path"] == F.col(f"_vf_{f.name}_p")), F.lit(0))
+        df = df.withColumn(f"_vf_{f.name}", F.when(F.col(f"_vf_{f.name}_p").isNotNull(), _described(hit["path"], hit["v"])))
         df = df.withColumn(f"_vf_{f.name}_v", _scalar(F.col(f"_vf_{f.name}"), f))
     placed = F.array_compact(
         F.array(*[F.when(F.col(f"_vf_{f.name}_v").isNotNull() | (F.col(f"_vf_{f.name}.kind") == "null"), F.col(f"_vf_{f.name}.path")) for f in fields])
     )
-    rest = F.filter("_vf_all", lambda e: ~F.array_contains(placed, e["path"]) & (F.instr(e["path"], ".") == 0))
+    rest = F.transform(F.filter("_vf_own", lambda e: ~F.array_contains(placed, e["path"])), lambda e: F.struct(e["path"].alias("path"), F.to_json(e["v"]).alias("json")))
     new = {"_rescued": F.when(F.col("_readable"), _object(rest)).otherwise(F.col("_rescued"))}
     for f in fields:
         new[f.name] = F.coalesce(f.name, f"_vf_{f.name}_v")
