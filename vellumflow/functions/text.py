@@ -253,16 +253,22 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, clean(x), clean(y), autojunk=False).ratio() if x is not None and y is not None else 0.0 for x, y in zip(a, b)])
 
 
+def spans_with_ends(ordered: Column) -> Column:
+    """array<struct<s,before>>: each span of a sorted array with where the one before it ends (0 before the first), and a last element with a null span."""
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(ordered, lambda s: s["end"].cast("long")))
+    return F.transform(F.arrays_zip(ordered.alias("s"), ends.alias("before")), lambda x: F.struct(x["s"].alias("s"), x["before"].alias("before")))
+
+
 def markup(text: Column, spans: Column) -> Column:
     """``[text](LABEL, eN)`` put into a text; spans: array<struct<start,end,label,id>>, without overlaps."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["label"].alias("label"), s["id"].alias("id"))))
 
-    def piece(s: Column, k: Column) -> Column:
-        before = F.when(k > 0, F.get(ordered, k - 1)["end"]).otherwise(F.lit(0))
-        return F.concat(F.substring(text, before + 1, s["start"] - before), F.lit("["), F.substring(text, s["start"] + 1, s["end"] - s["start"]), F.lit("]("), s["label"], F.lit(", "), s["id"], F.lit(")"))
+    def piece(x: Column) -> Column:
+        s, before = x["s"], x["before"].cast("int")
+        entity = F.concat(F.substring(text, before + 1, s["start"] - before), F.lit("["), F.substring(text, s["start"] + 1, s["end"] - s["start"]), F.lit("]("), s["label"], F.lit(", "), s["id"], F.lit(")"))
+        return F.when(s.isNull(), F.substring(text, before + 1, F.length(text))).otherwise(entity)
 
-    last = F.when(F.size(ordered) > 0, F.element_at(ordered, -1)["end"]).otherwise(F.lit(0))
-    return F.concat(F.array_join(F.transform(ordered, piece), ""), F.substring(text, last + 1, F.length(text)))
+    return F.array_join(F.transform(spans_with_ends(ordered), piece), "")
 
 
 def commenting(bodies: Column) -> Column:

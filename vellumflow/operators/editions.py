@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumflow.functions.text import tei_tag, xml_escaped
+from vellumflow.functions.text import spans_with_ends, tei_tag, xml_escaped
 
 
 def _attribute(name: str, value: Column) -> Column:
@@ -61,15 +61,14 @@ def tei_body(text: Column, spans: Column) -> Column:
         noted = F.regexp_replace(marked, r"\[([^\]]+)\]", '<note type="editorial">$1</note>')
         return F.regexp_replace(noted, r"\n", "<lb/>\n")
 
-    ordered = F.array_sort(spans)
     part = lambda start, end: F.substring(text, start.cast("int") + 1, (end - start).cast("int"))
 
-    def piece(s: Column, k: Column) -> Column:
-        before = F.when(k > 0, F.get(ordered, k - 1)["end"]).otherwise(F.lit(0))
-        return F.concat(plain(part(before, s["start"])), F.lit("<"), tei_tag(s["label"]), _attribute("ref", s["ref"]), _attribute("key", s["key"]), F.lit(">"), plain(part(s["start"], s["end"])), F.lit("</"), tei_tag(s["label"]), F.lit(">"))
+    def piece(x: Column) -> Column:
+        s, before = x["s"], x["before"]
+        entity = F.concat(plain(part(before, s["start"])), F.lit("<"), tei_tag(s["label"]), _attribute("ref", s["ref"]), _attribute("key", s["key"]), F.lit(">"), plain(part(s["start"], s["end"])), F.lit("</"), tei_tag(s["label"]), F.lit(">"))
+        return F.when(s.isNull(), plain(F.substring(text, before.cast("int") + 1, F.length(text)))).otherwise(entity)
 
-    last = F.when(F.size(ordered) > 0, F.element_at(ordered, -1)["end"]).otherwise(F.lit(0))
-    return F.concat(F.array_join(F.transform(ordered, piece), ""), plain(F.substring(text, last.cast("int") + 1, F.length(text))))
+    return F.array_join(F.transform(spans_with_ends(F.array_sort(spans)), piece), "")
 
 
 def tei(letters: DataFrame, entities: DataFrame, key: str = "doc_id") -> DataFrame:
