@@ -105,6 +105,16 @@ def linking_run(name: Column) -> Column:
     return F.struct(part(1).alias("source"), model.alias("model"), part(3).try_cast("double").alias("temperature"), part(4).alias("think"))
 
 
+def relation_run(name: Column) -> Column:
+    """(model, temperature, think) of the last ``__`` part of ``<source>__..__<model>_t<temp>[_think<Mode>][_events]``; think in small letters, nulls where it doesn't fit."""
+    base = F.regexp_replace(name, "_events$", "")
+    last = F.when(F.contains(base, F.lit("__")), F.substring_index(base, "__", -1))
+    pattern = r"^(.+)_t(\d+\.?\d*)(?:_think(\w+))?$"
+    thinking = r"^(.+)_t(\d+\.?\d*)_think(\w+)$"
+    part = lambda k: F.nullif(F.coalesce(F.nullif(F.regexp_extract(last, thinking, k), F.lit("")), F.regexp_extract(last, pattern, k)), F.lit(""))
+    return F.struct(part(1).alias("model"), part(2).try_cast("double").alias("temperature"), F.lower(part(3)).alias("think"))
+
+
 def scan_number(filename: Column) -> Column:
     """Last ``_`` part of a file's stem as a number."""
     stem = F.regexp_replace(F.regexp_extract(filename, r"([^/]*)$", 1), r"\.[^.]*$", "")

@@ -276,6 +276,11 @@ def commenting(bodies: Column) -> Column:
     return F.get(F.filter(bodies, lambda b: b["purpose"] == "commenting"), F.lit(0))["value"]
 
 
+def note_of(comment: Column, wd: Column, gn: Column, most: int = 80) -> Column:
+    """The beginning of a comment that gives no id, empty otherwise."""
+    return F.when((F.coalesce(comment, F.lit("")) != "") & wd.isNull() & gn.isNull(), F.substring(comment, 1, most)).otherwise(F.lit(""))
+
+
 #: Prompt cap in characters.
 PROMPT_CAP = 200_000
 

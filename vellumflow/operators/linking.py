@@ -56,6 +56,13 @@ def in_dump(mentions: DataFrame, dump: DataFrame, qid: str = "wikidata_qid") ->
     return mentions.join(known, F.col(qid) == F.col("_vf_e"), "left").withColumn("found", F.col("_vf_e").isNotNull()).drop("_vf_e")
 
 
+def sampled(ranked: DataFrame, n: int = 3000, decades: float = 7.5, rank: str = "rank") -> DataFrame:
+    """Rows of a ranking at n ranks that are spread evenly on a logarithmic scale, from 1 to 10^decades; ranks that fall together stand once."""
+    spark = ranked.sparkSession
+    targets = spark.range(n).select(F.bround(F.pow(F.lit(10.0), F.col("id") * F.lit(decades / max(n - 1, 1)))).cast("long").alias("_vf_t")).distinct()
+    return ranked.join(targets, F.col(rank) == F.col("_vf_t"), "left_semi")
+
+
 def per_entity(mentions: DataFrame) -> DataFrame:
     """wikidata_qid, text, label, qrank, n_mentions, in_qrank of linked mentions."""
     linked = mentions.where(is_qid(F.col("wikidata_qid")))

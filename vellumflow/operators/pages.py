@@ -138,6 +138,16 @@ def remapped(spans: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
     return place(place(spans, "start", "new_start"), "end", "new_end").where("new_end > new_start")
 
 
+def remap_counts(spans: DataFrame, chunks: DataFrame, keys: list[str], span_id: str = "id") -> DataFrame:
+    """keys, n, mapped, missed: how many spans ``remapped`` keeps and leaves out."""
+    kept = remapped(spans, chunks, keys).select(F.col(span_id).alias("_vf_id"), *[F.col(k).alias(f"_vf_{k}") for k in keys]).distinct()
+    on = F.col(span_id) == F.col("_vf_id")
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_vf_{k}"))
+    rows = spans.join(kept, on, "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("_vf_id").alias("mapped"))
+    return rows.withColumn("missed", F.col("n") - F.col("mapped"))
+
+
 def tokenized(df: DataFrame, key: str, text: str = "text", spaces: bool = False) -> DataFrame:
     """key, id (place of the token), token, start, end of the non-space runs of a text (and the runs of space), offsets in code points.
 

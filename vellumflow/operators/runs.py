@@ -162,3 +162,42 @@ def best_existing(candidates: DataFrame, existing: DataFrame, label: str, rank:
 def matching_sidecar(files: DataFrame, key: str, priority: str, path: str) -> DataFrame:
     """Of each key the file of the lowest priority number (exact name before pattern before parsed name)."""
     return first_by(files, [key], [F.asc(priority), F.asc(path)])
+
+
+#: Thinking modes whose runs a legacy name marks.
+THINK_MODES = ("low", "medium", "high")
+
+
+def salvaged(files: DataFrame, wrong: str, right: str, settings: dict[str, float], name: str = "name", info: str = "info") -> DataFrame:
+    """Files of thinking runs under their right name and with corrected settings, from files whose name says a wrong temperature.
+
+    A run is a thinking one if its name holds ``_think<mode>_`` or ends so. The name's
+    ``_t<wrong>_`` becomes ``_t<right>_``; in the info, a JSON object, the settings
+    given stand in place of what was there. Other files and unreadable infos stay.
+    """
+    thinking = F.col(name).rlike(f"_think({'|'.join(THINK_MODES)})(_|$)")
+    renamed = F.replace(F.col(name), F.lit(f"_t{wrong}_"), F.lit(f"_t{right}_"))
+    held = F.from_json(info, "map<string,string>")
+    fixed = F.create_map(*[F.lit(x) for k, v in settings.items() for x in (k, str(v))])
+    merged = F.map_concat(F.map_filter(held, lambda k, _: ~k.isin(*settings)), fixed)
+    return files.withColumns({name: F.when(thinking, renamed).otherwise(F.col(name)), "settings": F.when(held.isNotNull(), F.when(thinking, merged).otherwise(held))})
+
+
+def probe_grid(models: DataFrame, modes: tuple[str | None, ...], prompt: str, model: str = "model") -> DataFrame:
+    """model, think, prompt: every model in every thinking mode, to be asked once each."""
+    each = F.explode(F.array(*[F.lit(m).cast("string") for m in modes]))
+    return models.select(F.col(model).alias("model")).distinct().select("model", each.alias("think")).withColumn("prompt", F.lit(prompt))
+
+
+def correction_summary(pages: DataFrame) -> DataFrame:
+    """One row: lines in all, corrected and unmatched, shares, means of confidence and agreement over the pages that have one, and pages skipped.
+
+    pages: status, total_lines, corrected_lines, unmatched_lines, confidence,
+    fuzzy_accuracy, gt_chars_total, gt_chars_mapped. Shares are null without lines or
+    characters.
+    """
+    out = pages.agg(
+        F.sum("total_lines").alias("total"), F.sum("corrected_lines").alias("corrected"), F.sum("unmatched_lines").alias("unmatched"), F.avg("confidence").alias("confidence"), F.avg("fuzzy_accuracy").alias("fuzzy"),
+        F.sum("gt_chars_total").alias("chars"), F.sum("gt_chars_mapped").alias("mapped"), F.count_if(F.col("status") == "no_mapping").alias("no_mapping"), F.count_if(F.col("status") == "no_gt").alias("no_gt"),
+    )
+    return out.withColumns({"corrected_pct": F.try_divide(F.col("corrected") * 100, F.col("total")), "coverage_pct": F.try_divide(F.col("mapped") * 100, F.col("chars"))})

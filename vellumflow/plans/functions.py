@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellumflow.functions import ids
 from vellumflow.functions import text as tx
-from vellumflow.operators import drift, lookups, relations, runs, spans
+from vellumflow.operators import drift, linking, lookups, pages, relations, runs, spans
 from vellumflow.plans.annotation import _TOKENS, _gold, _nested_spans, _pred, _tokens, query
 from vellumflow.session import table
 
@@ -260,3 +260,75 @@ def pages_sorted(spark, d):
     page = F.when(k == 0, n.cast("string")).when(k == 1, label).when(k == 2, F.lower(label)).otherwise(F.concat(F.lit("p"), n.cast("string")))
     rows = table(spark, d, "part").select("p_partkey", page.alias("page")).withColumn("s", lookups.sort_kinds(F.col("page")))
     return rows.select("p_partkey", "page", F.col("s.tuple.kind").alias("tuple_kind"), F.col("s.tuple.n").alias("tuple_n"), F.col("s.to_xl.kind").alias("xl_kind"), F.col("s.to_xx.kind").alias("xx_kind"), F.col("s.int").alias("int_n"))
+
+
+# Names of runs, notes, samples, counts.
+
+
+@query(
+    r"""with n as (select file_id, case file_id % 5 when 0 then 'brief__el-m_t0.1__re-m' || file_id || '_t0.' || file_id % 10 || '_thinkHigh_events' when 1 then 'brief__m_t1_events' when 2 then 'brief_geen' when 3 then 'a__b_x_t0.5_thinkDefault' else 'a__b' end as name from run_files)
+ select file_id, case file_id % 5 when 0 then 're-m' || file_id when 1 then 'm' when 3 then 'b_x' end as model, case file_id % 5 when 0 then (file_id % 10) / 10.0 when 1 then 1.0 when 3 then 0.5 end::double as temperature, case file_id % 5 when 0 then 'high' when 3 then 'default' end as think from n"""
+)
+def relation_runs(spark, d):
+    k, n = F.col("file_id") % 5, F.col("file_id").cast("string")
+    long = F.concat(F.lit("brief__el-m_t0.1__re-m"), n, F.lit("_t0."), (F.col("file_id") % 10).cast("string"), F.lit("_thinkHigh_events"))
+    name = F.when(k == 0, long).when(k == 1, "brief__m_t1_events").when(k == 2, "brief_geen").when(k == 3, "a__b_x_t0.5_thinkDefault").otherwise("a__b")
+    return table(spark, d, "run_files").select("file_id", ids.relation_run(name).alias("r")).select("file_id", "r.*")
+
+
+@query("select mention_id, case when coalesce(letter_id, '') <> '' and wikidata_qid is null and geonames_id is null then left(letter_id || ' ' || repeat(text, 9), 80) else '' end as note from qrank_matched")
+def notes_of_comments(spark, d):
+    m = table(spark, d, "qrank_matched")
+    comment = F.when(F.coalesce("letter_id", F.lit("")) != "", F.concat("letter_id", F.lit(" "), F.repeat("text", F.lit(9))))
+    return m.select("mention_id", tx.note_of(comment, F.col("wikidata_qid"), F.col("geonames_id")).alias("note"))
+
+
+@query("with r as (select entity, qrank, row_number() over (order by qrank desc, entity) as rank from qrank), t as (select distinct round_even(pow(10.0, i * (3.2 / 199)), 0)::bigint as rank from (select unnest(range(0, 200)) as i)) select entity, qrank, rank from r where rank in (select rank from t)")
+def popularity_sampled(spark, d):
+    ranked = linking.popularity(table(spark, d, "qrank")).select("entity", "qrank", F.col("rank").cast("long").alias("rank"))
+    return linking.sampled(ranked, 200, 3.2)
+
+
+@query(
+    "with " + _T + r""", parts as (select doc_id, unnest(string_split(text, e'\n')) as raw, generate_subscripts(string_split(text, e'\n'), 1) as k from documents),
+ c0 as (select doc_id, k, raw, coalesce(sum(length(raw) + 1) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0)::bigint as raw_start from parts), c1 as (select *, raw_start + length(raw) as raw_end from c0 where trim(raw) <> ''),
+ s as (select doc_id, id, start - 1 as start, "end" as "end" from gold), a as (select s.*, c.k from s left join c1 c on c.doc_id = s.doc_id and s.start <= c.raw_end and s.start > coalesce((select max(raw_end) from c1 x where x.doc_id = s.doc_id and x.k < c.k), -1)),
+ b as (select a.doc_id, a.id, a.k as k1, c.k as k2, a.start, a."end" from a left join c1 c on c.doc_id = a.doc_id and a."end" <= c.raw_end and a."end" > coalesce((select max(raw_end) from c1 x where x.doc_id = a.doc_id and x.k < c.k), -1))
+ select doc_id, count(*) as n, count(*) filter (k1 is not null and k2 is not null) as mapped, count(*) filter (k1 is null or k2 is null) as missed from b group by 1"""
+)
+def spans_remapped(spark, d):
+    """Names, with the character before, in texts whose lines are chunks: those before a text's first line begin nowhere."""
+    docs = table(spark, d, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "raw"))
+    placed = pages.with_offsets(lines, ["doc_id"], ["k"], "raw", gap=1).where(F.trim("raw") != "").withColumnRenamed("start_off", "raw_start")
+    chunks = placed.select("doc_id", "raw_start", (F.col("raw_start") + F.length("raw")).alias("raw_end"), F.col("raw_start").alias("content_start"), (F.col("raw_start") + F.length("raw")).alias("content_end"), F.col("raw_start").alias("out_start"))
+    own = _gold(spark, d).select("doc_id", "id", (F.col("start") - 1).alias("start"), "end")
+    return pages.remap_counts(own, chunks, ["doc_id"])
+
+
+@query("with n as (select file_id, series || case file_id % 4 when 0 then '_t1.0_thinklow' when 1 then '_t1.0_thinkhigh_el' when 2 then '_t1.0_el' else '_t1.0_thinklower' end as name from run_files) select file_id, case when file_id % 4 < 2 then replace(name, '_t1.0_', '_t0.1_') else name end as name, case when file_id % 4 < 2 then '0.1' else '1.0' end as temperature, case when file_id % 4 < 2 then '0.0' end as reranker_temp from n")
+def runs_salvaged(spark, d):
+    k = F.col("file_id") % 4
+    name = F.concat("series", F.when(k == 0, "_t1.0_thinklow").when(k == 1, "_t1.0_thinkhigh_el").when(k == 2, "_t1.0_el").otherwise("_t1.0_thinklower"))
+    files = table(spark, d, "run_files").select("file_id", name.alias("name"), F.lit('{"temperature": "1.0", "model": "m"}').alias("info"))
+    rows = runs.salvaged(files, "1.0", "0.1", {"temperature": 0.1, "reranker_temp": 0.0})
+    return rows.select("file_id", "name", F.try_element_at("settings", F.lit("temperature")).alias("temperature"), F.try_element_at("settings", F.lit("reranker_temp")).alias("reranker_temp"))
+
+
+@query("select p_name as model, t as think, 'zeg iets' as prompt from (select distinct p_name from part), (select unnest([null, 'false', 'low']) as t)")
+def models_probed(spark, d):
+    return runs.probe_grid(table(spark, d, "part"), (None, "false", "low"), "zeg iets", "p_name")
+
+
+@query(
+    "select sum(l_linenumber) as total, sum(case when l_returnflag = 'A' then l_linenumber else 0 end) as corrected, sum(case when l_returnflag = 'N' then 1 else 0 end) as unmatched, round(avg(case when l_linestatus = 'F' then l_discount end), 6) as confidence, round(avg(l_tax), 6) as fuzzy, sum(l_quantity::bigint) as chars, sum(case when l_linestatus = 'F' then l_quantity::bigint end) as mapped, count(*) filter (l_returnflag = 'R') as no_mapping, 0::bigint as no_gt, round(sum(case when l_returnflag = 'A' then l_linenumber else 0 end) * 100.0 / sum(l_linenumber), 6) as corrected_pct, round(sum(case when l_linestatus = 'F' then l_quantity::bigint end) * 100.0 / sum(l_quantity::bigint), 6) as coverage_pct from lineitem"
+)
+def corrections_summed(spark, d):
+    flag, done = F.col("l_returnflag"), F.col("l_linestatus") == "F"
+    rows = table(spark, d, "lineitem").select(
+        F.when(flag == "R", "no_mapping").otherwise("mapping_attempted").alias("status"), F.col("l_linenumber").alias("total_lines"), F.when(flag == "A", F.col("l_linenumber")).otherwise(0).alias("corrected_lines"),
+        (flag == "N").cast("int").alias("unmatched_lines"), F.when(done, F.col("l_discount")).alias("confidence"), F.col("l_tax").alias("fuzzy_accuracy"), F.col("l_quantity").cast("long").alias("gt_chars_total"),
+        F.when(done, F.col("l_quantity").cast("long")).alias("gt_chars_mapped"),
+    )
+    out = runs.correction_summary(rows)
+    return out.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in ("confidence", "fuzzy", "corrected_pct", "coverage_pct")})
