@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,12 +46,20 @@ def tile(text: str, lines: list[str]) -> list[tuple[int, int, str] | None]:
 
     def fuzzy(own: list[str]) -> tuple[int, int] | None:
         best, n = None, len(own)
+        # Places where the line's beginning stands; only stretches that hold one are compared.
+        begins = {tuple(own[a : a + RUN]) for a in (0, 1) if a + RUN <= n}
+        anchors = [k for k in range(len(bare) - RUN + 1) if tuple(bare[k : k + RUN]) in begins]
         for k in range(len(bare)):
             if bare[k] not in own[:2]:
                 continue
+            at = bisect_left(anchors, k)
+            if at == len(anchors):
+                break
             for m in range(n, int(n * FUZZY_STRETCH) + 1):
                 if k + m > len(bare) or not free(words[k][1], words[k + m - 1][2]):
                     break
+                if anchors[at] + RUN > k + m:
+                    continue
                 blocks = difflib.SequenceMatcher(None, own, bare[k : k + m], autojunk=False).get_matching_blocks()
                 agreed = sum(b.size for b in blocks)
                 share = agreed / n

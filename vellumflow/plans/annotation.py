@@ -588,16 +588,6 @@ def word_positions(spark, d):
     return geometry.word_boxes(t, ["doc_id"], "id", "x0", "width", "len").select("doc_id", "id", "w", "x")
 
 
-@query()
-def line_geometry(spark, d):
-    rows = _line_rows(spark, d).withColumn("box", geometry.bbox(geometry.point_list(F.col("coords")))).withColumn("base", geometry.point_list(F.col("baseline")))
-    rows = rows.withColumn("y", geometry.median_y(F.col("base")))
-    near = geometry.neighbours(rows, ["rec_id", "parent_region_id", "region_id"], "y", "line_idx")
-    p = geometry.pitch(rows.where("y is not null"), ["rec_id"], ["parent_region_id", "region_id"], "y", "line_idx").withColumnRenamed("rec_id", "_r")
-    joined = near.join(p, F.col("rec_id") == F.col("_r"), "left")
-    return joined.select("rec_id", "region_id", "line_id", geometry.line_box(F.col("box"), F.col("y"), F.coalesce("pitch", F.lit(geometry.PITCH)), F.col("prev_y"), F.col("next_y")).alias("b"), geometry.angle(F.col("base")).alias("angle"), geometry.baseline_text(F.col("base")).alias("baseline"))
-
-
 # A graph of events: each user's events in order, purchases as moves.
 
 _E = "e as (select 'BRF.' || user_id || '.RS.' || event_id as event, 'L' || event_type as place, * from events)"

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from vellumflow.functions import ids
 from vellumflow.functions import text as tx
-from vellumflow.operators import drift, linking, lookups, pages, relations, runs, spans
-from vellumflow.plans.annotation import _TOKENS, _gold, _nested_spans, _pred, _tokens, query
+from vellumflow.operators import drift, geometry, linking, lookups, pages, relations, runs, spans
+from vellumflow.plans.annotation import _TOKENS, _gold, _line_rows, _nested_spans, _pred, _tokens, query
+from vellumflow.plans.problems import _LINES_SQL
 from vellumflow.session import table
 
 _T = _TOKENS.rstrip().rstrip(",")
@@ -332,3 +333,33 @@ def corrections_summed(spark, d):
     )
     out = runs.correction_summary(rows)
     return out.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in ("confidence", "fuzzy", "corrected_pct", "coverage_pct")})
+
+
+# Geometry of recognised lines.
+
+
+def _points_sql(text: str) -> str:
+    return rf"list_filter(regexp_split_to_array(coalesce({text}, ''), '[ \t\n\x0B\f\r\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{3000}}]+'), lambda t: regexp_matches(t, '^[+-]?[0-9]+(\.[0-9]+)?,[+-]?[0-9]+(\.[0-9]+)?$'))"
+
+
+@query(
+    _LINES_SQL
+    + f""", raw as (select rec_id, parent_region_id, region_id, line_id, line_idx, {_points_sql('coords')} as cs, {_points_sql('baseline')} as bs from lines),
+ pts as (select *, list_transform(cs, lambda t: string_split(t, ',')[1]::double) as cx, list_transform(cs, lambda t: string_split(t, ',')[2]::double) as cy, list_transform(bs, lambda t: string_split(t, ',')[1]::double) as bx, list_transform(bs, lambda t: string_split(t, ',')[2]::double) as yb from raw),
+ ys as (select *, case when len(yb) > 0 then list_median(yb) end as y from pts),
+ nb as (select *, lag(y) over w as prev_y, lead(y) over w as next_y from ys window w as (partition by rec_id, parent_region_id, region_id order by y nulls first, line_idx)),
+ gaps as (select rec_id, y - lag(y) over (partition by rec_id, parent_region_id, region_id order by y, line_idx) as gap from ys where y is not null), pitch as (select rec_id, coalesce(median(gap) filter (gap > 0), 72.0) as pitch from gaps group by 1),
+ box as (select nb.*, coalesce(pitch, 72.0) as pitch, list_min(cx) as x0, list_min(cy) as y0, list_max(cx) as x1, list_max(cy) as y1 from nb left join pitch using (rec_id)),
+ lim as (select *, y - 0.5 * pitch as high, y + 0.2 * pitch as deep, greatest(y0, y - 0.5 * pitch, coalesce((y + prev_y) / 2, y0)) as top, least(y1, y + 0.2 * pitch, coalesce((y + next_y) / 2, y1)) as low from box)
+ select rec_id, region_id, line_id, round_even(x0, 0) as x0, case when len(cx) = 0 then null when y is null then round_even(y0, 0) when low < top then round_even(high, 0) else round_even(top, 0) end as y0, round_even(x1, 0) as x1,
+ case when len(cx) = 0 then null when y is null then round_even(y1, 0) when low < top then round_even(deep, 0) else round_even(low, 0) end as y1, round(case when len(bx) > 1 then degrees(atan2(yb[-1] - yb[1], bx[-1] - bx[1])) else 0 end, 6) as angle,
+ array_to_string(list_transform(range(1, len(bx) + 1), lambda i: round_even(bx[i], 0)::bigint || ',' || round_even(yb[i], 0)::bigint), ' ') as baseline from lim"""
+)
+def line_geometry(spark, d):
+    rows = _line_rows(spark, d).withColumn("box", geometry.bbox(geometry.point_list(F.col("coords")))).withColumn("base", geometry.point_list(F.col("baseline")))
+    rows = rows.withColumn("y", geometry.median_y(F.col("base")))
+    near = geometry.neighbours(rows, ["rec_id", "parent_region_id", "region_id"], "y", "line_idx")
+    p = geometry.pitch(rows.where("y is not null"), ["rec_id"], ["parent_region_id", "region_id"], "y", "line_idx").withColumnRenamed("rec_id", "_r")
+    joined = near.join(p, F.col("rec_id") == F.col("_r"), "left")
+    box = geometry.line_box(F.col("box"), F.col("y"), F.coalesce("pitch", F.lit(geometry.PITCH)), F.col("prev_y"), F.col("next_y"))
+    return joined.select("rec_id", "region_id", "line_id", box.alias("b"), F.round(geometry.angle(F.col("base")), 6).alias("angle"), geometry.baseline_text(F.col("base")).alias("baseline")).select("rec_id", "region_id", "line_id", "b.*", "angle", "baseline")
