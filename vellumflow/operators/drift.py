@@ -231,6 +231,7 @@ def changes(
         ["at", "file_id"],
         previous={"was": ["file_id", *[f"_path_{i}" for i, _ in enumerate(fields)]]},
         last_seen={f"_seen_{i}": f"_kind_{i}" for i, _ in enumerate(fields)},
+        costly=True,
     )
     listed = []
     for i, f in enumerate(fields):

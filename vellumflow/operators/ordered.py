@@ -20,6 +20,7 @@ def with_neighbours(
     previous: dict[str, list[str]] | None = None,
     following: dict[str, list[str]] | None = None,
     last_seen: dict[str, str] | None = None,
+    costly: bool = False,
 ) -> DataFrame:
     """Add neighbouring values in ``order`` within ``keys``.
 
@@ -30,11 +31,11 @@ def with_neighbours(
     Nulls in keys form a key of their own; nulls in order come first. Rows that
     tie on the whole order stand in any order, so give a unique last column.
     An empty table gives an empty table. Columns whose names begin with ``_vf_``
-    are reserved.
+    are reserved. Finding the ranges reads the rows once before they are shuffled:
+    costly says that making them is dear, so they are written first.
     """
     previous, following, last_seen = previous or {}, following or {}, last_seen or {}
-    # Finding the ranges reads the rows once before they are shuffled, so what made them is not done twice.
-    ranged = cut(cut(df).repartitionByRange(*keys, *order).withColumn("_vf_chunk", F.spark_partition_id()))
+    ranged = cut((cut(df) if costly else df).repartitionByRange(*keys, *order).withColumn("_vf_chunk", F.spark_partition_id()))
     inside = Window.partitionBy("_vf_chunk", *keys).orderBy(*order)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     rows = ranged
