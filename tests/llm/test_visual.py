@@ -1,6 +1,6 @@
 import unicodedata
 
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from vellumflow.llm import visual
@@ -36,6 +36,7 @@ def test_other_scripts_stay_unless_something_is_wrong():
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=30))
+@example("\U0002f800")
 def test_plain_is_stable_and_nfc(text):
     once = visual.plain(text)
     assert visual.plain(once) == once

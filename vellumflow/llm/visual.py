@@ -80,8 +80,8 @@ def _look_alike(ch: str) -> bool:
 @lru_cache(1)
 def _classes() -> tuple[re.Pattern, dict[str, str], str]:
     """The pattern of unstable segments, the foldings, and the unstable class as text."""
-    # Ideographs, syllables, surrogates and private use are stable; beyond plane 1 only tags aren't.
-    stable = [range(0x3400, 0xA000), range(0xAC00, 0xD7A4), range(0xD800, 0xF900), range(0x20000, 0xE0000), range(0xE1000, sys.maxunicode + 1)]
+    # Ideographs, syllables, surrogates and private use are stable; beyond plane 1 only compatibility ideographs and tags aren't.
+    stable = [range(0x3400, 0xA000), range(0xAC00, 0xD7A4), range(0xD800, 0xF900), range(0x20000, 0x2F800), range(0x2FA20, 0xE0000), range(0xE1000, sys.maxunicode + 1)]
     skip = {r.start: r.stop for r in stable}
     looked, c = [], 0
     while c <= sys.maxunicode:
